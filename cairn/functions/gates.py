@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.functions.binding import let
 from cairn.functions.filename import decimal, group_core
 from cairn.functions.text import blank_to_null
 
@@ -83,25 +84,30 @@ def parse_constraint(token: Column) -> Column:
     right = F.btrim(F.substring(low, F.instr(low, "=") + 1, F.length(low)))
     reverse = right.endswith("rev")
     value = F.when(reverse, F.btrim(F.regexp_replace(right, "rev$", ""))).otherwise(right)
-    terms = F.regexp_extract_all(left, F.lit(TERM), F.lit(0))
-    gates = F.array_sort(
-        F.array_distinct(F.transform(terms, lambda t: F.regexp_extract(t, GATE_AT_END, 1)))
-    )
-    covered = F.array_join(terms, "") == left
-    single = gates == F.array(F.lit("bg"), F.lit("tg"))
-    split = gates == F.array(F.lit("bg1"), F.lit("bg2"))
-    coefficients = F.when(single, _coefficients(terms, "BG", "TG")).when(
-        split, _coefficients(terms, "BG1", "BG2")
-    )
-    product = F.element_at(coefficients, 1)["value"] * F.element_at(coefficients, 2)["value"]
-    mode = F.when(single & (product > 0), DOPING).when(single & (product < 0), DISPLACEMENT)
-    parsed = F.struct(
-        token.alias("raw_expression"),
-        coefficients.alias("coefficients"),
-        mode.alias("control_mode"),
-        F.when(reverse, F.lit("reverse")).alias("sweep_direction"),
-    )
-    return F.when((value == "0") & covered & (single | split), parsed)
+
+    def from_terms(terms: Column) -> Column:
+        gates = F.array_sort(
+            F.array_distinct(F.transform(terms, lambda t: F.regexp_extract(t, GATE_AT_END, 1)))
+        )
+        pair = F.array_join(gates, "+")
+        coefficients = F.when(pair == "bg+tg", _coefficients(terms, "BG", "TG")).when(
+            pair == "bg1+bg2", _coefficients(terms, "BG1", "BG2")
+        )
+        covered = F.array_join(terms, "") == left
+        return F.when(covered, coefficients)
+
+    def finish(coefficients: Column) -> Column:
+        first, second = F.get(coefficients, 0), F.get(coefficients, 1)
+        product = F.when(second["gate"] == "TG", first["value"] * second["value"])
+        parsed = F.struct(
+            token.alias("raw_expression"),
+            coefficients.alias("coefficients"),
+            F.when(product > 0, DOPING).when(product < 0, DISPLACEMENT).alias("control_mode"),
+            F.when(reverse, F.lit("reverse")).alias("sweep_direction"),
+        )
+        return F.when((value == "0") & coefficients.isNotNull(), parsed)
+
+    return let(let(F.regexp_extract_all(left, F.lit(TERM), F.lit(0)), from_terms), finish)
 
 
 def _token_kind(token: Column) -> Column:
@@ -120,48 +126,58 @@ def _token_kind(token: Column) -> Column:
 
 
 def _read_token(token: Column) -> Column:
-    low = F.lower(token)
-    kind = _token_kind(token)
-    constraint = F.when(kind == "equation", parse_constraint(token))
-    volt_rest = F.regexp_replace(token, "(?i)" + FIXED_TOP_VOLT, "")
-    prefix_rest = F.regexp_replace(token, "(?i)" + FIXED_TOP_PREFIX, "")
+    return let(
+        F.struct(
+            _token_kind(token).alias("kind"),
+            F.lower(token).alias("low"),
+            F.when(F.contains(token, F.lit("=")), parse_constraint(token)).alias("parsed"),
+        ),
+        lambda bound: _token_record(token, bound["kind"], bound["low"], bound["parsed"]),
+    )
+
+
+def _token_record(token: Column, kind: Column, low: Column, parsed: Column) -> Column:
+    constraint = F.when(kind == "equation", parsed)
     rest = F.ltrim(
-        F.when(kind == "fix_volt", volt_rest).when(kind == "fix_prefix", prefix_rest), F.lit("-")
+        F.when(kind == "fix_volt", F.regexp_replace(token, "(?i)" + FIXED_TOP_VOLT, "")).when(
+            kind == "fix_prefix", F.regexp_replace(token, "(?i)" + FIXED_TOP_PREFIX, "")
+        ),
+        F.lit("-"),
     )
     zero_gates = F.split(F.upper(F.regexp_replace(low, "=0$", "")), "=")
+    no_gates = F.array().cast("array<string>")
+    wire = F.struct(
+        token.alias("raw_expression"),
+        F.array(F.lit("BG2"), F.lit("CG")).alias("nodes"),
+        F.lit(TIED).alias("type"),
+        F.lit(BIAS_SOURCE).alias("source_role"),
+    )
+    gates = (
+        F.when(kind.isin("fix", "fix_volt", "fix_prefix") | (low == "tgonly"), F.array(F.lit("TG")))
+        .when(low == "bg1only", F.array(F.lit("BG1")))
+        .when(kind == "wire", F.array(F.lit("BG2"), F.lit("CG")))
+        .when(kind == "zero", zero_gates)
+        .when(constraint.isNotNull(), F.transform(parsed["coefficients"], lambda c: c["gate"]))
+        .otherwise(no_gates)
+    )
+    top = (
+        F.when(kind == "fix", F.regexp_extract(low, FIXED_TOP, 1))
+        .when(kind == "fix_volt", F.regexp_extract(low, FIXED_TOP_VOLT, 1))
+        .when(kind == "fix_prefix", F.regexp_extract(low, FIXED_TOP_PREFIX, 1))
+    )
+    note = F.when((kind == "equation") & parsed.isNull(), F.concat(F.lit(UNSUPPORTED), token)).when(
+        F.length(rest) > 0, F.concat(F.lit(UNSUPPORTED), rest)
+    )
     return F.struct(
-        kind.alias("kind"),
-        decimal(
-            F.when(kind == "fix", F.regexp_extract(low, FIXED_TOP, 1))
-            .when(kind == "fix_volt", F.regexp_extract(low, FIXED_TOP_VOLT, 1))
-            .when(kind == "fix_prefix", F.regexp_extract(low, FIXED_TOP_PREFIX, 1))
-        ).alias("top_gate"),
+        decimal(top).alias("top_gate"),
         F.when(low == "tgonly", "TG_only").when(low == "bg1only", "BG1_only").alias("active"),
         F.when(kind == "bias", decimal(F.regexp_extract(low, BIAS, 1))).alias("bias_start"),
         F.when(kind == "bias", decimal(F.regexp_extract(low, BIAS, 2))).alias("bias_stop"),
         F.when(kind == "zero", zero_gates).alias("zero_gates"),
         constraint.alias("constraint"),
-        F.when(
-            kind == "wire",
-            F.struct(
-                token.alias("raw_expression"),
-                F.array(F.lit("BG2"), F.lit("CG")).alias("nodes"),
-                F.lit(TIED).alias("type"),
-                F.lit(BIAS_SOURCE).alias("source_role"),
-            ),
-        ).alias("wire"),
-        F.when(
-            kind.isin("fix", "fix_volt", "fix_prefix") | (low == "tgonly"), F.array(F.lit("TG"))
-        )
-        .when(low == "bg1only", F.array(F.lit("BG1")))
-        .when(kind == "wire", F.array(F.lit("BG2"), F.lit("CG")))
-        .when(kind == "zero", zero_gates)
-        .when(constraint.isNotNull(), F.transform(constraint["coefficients"], lambda c: c["gate"]))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("gates"),
-        F.when((kind == "equation") & constraint.isNull(), F.concat(F.lit(UNSUPPORTED), token))
-        .when(F.length(rest) > 0, F.concat(F.lit(UNSUPPORTED), rest))
-        .alias("note"),
+        F.when(kind == "wire", wire).alias("wire"),
+        gates.alias("gates"),
+        note.alias("note"),
     )
 
 
@@ -189,19 +205,22 @@ def electrical_struct(tokens: Column) -> Column:
     def present(field: str) -> Column:
         return F.filter(F.transform(tokens, lambda t: t[field]), lambda v: v.isNotNull())
 
+    def notes(gates: Column) -> Column:
+        both = F.arrays_overlap(gates, F.array(F.lit("BG1"), F.lit("BG2"))) & F.array_contains(gates, "BG")
+        extra = F.when(both, F.array(F.lit(TOPOLOGY_CONFLICT))).otherwise(F.array().cast("array<string>"))
+        return F.concat(present("note"), extra)
+
     gates = F.flatten(F.transform(tokens, lambda t: t["gates"]))
-    both = F.arrays_overlap(gates, F.array(F.lit("BG1"), F.lit("BG2"))) & F.array_contains(gates, "BG")
-    notes = present("note")
     built = F.struct(
         _last(present("top_gate")).alias("fixed_top_gate_V"),
         _last(present("active")).alias("active_gate_configuration"),
         _last(present("bias_start")).alias("bias_start_V"),
         _last(present("bias_stop")).alias("bias_stop_V"),
-        topology(gates).alias("back_gate_topology"),
+        let(gates, topology).alias("back_gate_topology"),
         F.array_sort(F.array_distinct(F.flatten(present("zero_gates")))).alias("fixed_gates"),
         present("constraint").alias("gate_constraints"),
         present("wire").alias("electrical_connections"),
-        F.when(both, F.array_append(notes, F.lit(TOPOLOGY_CONFLICT))).otherwise(notes).alias("notes"),
+        let(gates, notes).alias("notes"),
     )
     return F.when(F.size(tokens) > 0, built).otherwise(F.lit(None).cast(ELECTRICAL_TYPE))
 
@@ -272,8 +291,21 @@ def electrical_identity(electrical: Column) -> Column:
 
 def group_key(norm: Column, electrical: Column) -> Column:
     """Key under which all files of one measurement meet."""
-    core = group_core(norm)
-    identity = electrical_identity(electrical)
-    return F.when(identity != "", F.concat(core, F.lit("@"), identity)).otherwise(
-        F.coalesce(blank_to_null(core), norm)
+    parts = F.struct(group_core(norm).alias("core"), electrical_identity(electrical).alias("identity"))
+    return let(
+        parts,
+        lambda p: F.when(p["identity"] != "", F.concat(p["core"], F.lit("@"), p["identity"])).otherwise(
+            F.coalesce(blank_to_null(p["core"]), norm)
+        ),
+    )
+
+
+def electrical_and_key(stem: Column, norm: Column) -> Column:
+    """Struct of ``electrical`` and ``group_key`` of a stem, each part evaluated once."""
+    return let(
+        read_tokens(stem),
+        lambda tokens: let(
+            electrical_struct(tokens),
+            lambda e: F.struct(e.alias("electrical"), group_key(norm, e).alias("group_key")),
+        ),
     )

@@ -108,7 +108,7 @@ def extension_token(ext: Column) -> Column:
 
 def media_type(ext: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair])
-    return F.coalesce(table[ext], F.lit(UNKNOWN))
+    return F.coalesce(F.try_element_at(table, ext), F.lit(UNKNOWN))
 
 
 def scan_role(path: Column) -> Column:
