@@ -19,6 +19,7 @@ from cairn.functions.text import blank_to_null
 from cairn.operators.lineage import FILE, with_file_id, with_relationship_id
 from cairn.operators.merging import group_variants, merge_variants, with_features
 from cairn.operators.ordering import position_within
+from cairn.session import cut_lineage
 
 # Parser tag, fields, suffix vocabulary and role order.
 PARSER_VERSION = "device_directory_context/v2"
@@ -41,6 +42,8 @@ PROFILE_ELECTRICAL = ("bias_start_V", "bias_stop_V", "fixed_top_gate_V", "active
 
 # Pairs per experiment that are written out as edges; see derived_from_edges.
 PAIR_LIMIT = 10_000
+# Files an unresolved group may have and still be listed by path in its warning.
+NAME_LIMIT = 1_000
 
 
 @dataclass(frozen=True)
@@ -182,25 +185,43 @@ def _merge_reviewed(numbered: DataFrame, files: DataFrame, reviewed: DataFrame)
     )
 
 
+def _name_unresolved(groups: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the warning of unresolved groups, naming their paths.
+
+    Groups beyond ``NAME_LIMIT`` files state the count; their paths are the file
+    rows flagged ``unresolved``, so nothing is lost and no cell grows unbounded.
+    """
+    n_files = F.col("n_raw") + F.col("n_processed") + F.col("n_figure") + F.col("n_intermediate")
+    counted = groups.withColumn("__n", n_files)
+    small = counted.where(F.col("unresolved") & (F.col("__n") <= NAME_LIMIT)).select(*keys)
+    named = (
+        files.where(F.col("unresolved"))
+        .join(small, on=keys, how="left_semi")
+        .groupBy(*keys)
+        .agg(F.array_join(F.array_sort(F.collect_set("relative_path")), "; ").alias("__paths"))
+    )
+    told = F.coalesce("__paths", F.concat(F.col("__n").cast("string"), F.lit(" files")))
+    note = F.when(F.col("unresolved"), F.concat(F.lit(f"{UNRESOLVED_WARNING}: "), told))
+    return counted.join(named, on=keys, how="left").withColumn("unresolved_note", note).drop("__n", "__paths")
+
+
 def derive_experiments(devices: DataFrame, artifacts: DataFrame, reviewed: DataFrame | None = None) -> Linked:
     """Derived experiments with metadata, and their files with roles."""
-    files = best_roles(canonical_stems(data_files(devices, artifacts)))
-    keys = ["device_id", "local_device_id", "unresolved", "canonical"]
-    featured = with_features(files).withColumn("meta_stem", F.col("stem"))
-    variants_for = {
-        name: F.when((F.col("role") == "figure") & F.col("stem").endswith(suffix), F.col("relative_path"))
+    # Read by five later plans; stored once instead of being derived five times.
+    files = cut_lineage(best_roles(canonical_stems(data_files(devices, artifacts))))
+    keys = ["device_id", "unresolved", "canonical"]
+    figure = F.col("role") == "figure"
+    variants = {
+        f"figure_{name}": F.when(figure & F.col("stem").endswith(suffix), F.col("relative_path"))
         for name, suffix in FIGURE_VARIANTS.items()
     }
-    merged = merge_variants(group_variants(featured, keys, {"first_path": F.col("relative_path")}))
-    latest = files.groupBy(*keys).agg(*[F.max(v).alias(f"figure_{n}") for n, v in variants_for.items()])
-    groups = merged.join(latest, on=keys)
-    numbered = number_experiments(groups)
+    minima = {"first_path": F.col("relative_path"), "local_device_id": F.col("local_device_id")}
+    groups = merge_variants(group_variants(with_features(files), keys, minima, variants))
+    numbered = number_experiments(_name_unresolved(groups, files, keys))
     ids_only = numbered.select("device_id", "unresolved", "canonical", "experiment_id")
     file_rows = files.join(ids_only, on=["device_id", "unresolved", "canonical"]).select(
         "experiment_id", "role", "storage_source_id", "relative_path", "stem", "unresolved"
     )
-    n_files = F.col("n_raw") + F.col("n_processed") + F.col("n_figure") + F.col("n_intermediate")
-    note = F.when(F.col("unresolved"), F.concat(F.lit(f"{UNRESOLVED_WARNING}: "), n_files.cast("string"), F.lit(" file(s)")))
     experiments = numbered.select(
         "experiment_id",
         "device_id",
@@ -213,8 +234,7 @@ def derive_experiments(devices: DataFrame, artifacts: DataFrame, reviewed: DataF
         "fixed_gate_values", "gate_constraints", "electrical_connections",
         "figure_linear", "figure_log",
         "n_raw", "n_processed", "n_figure", "n_intermediate",
-        # The paths themselves are the file rows flagged ``unresolved``.
-        F.array_compact(F.array_append("warnings", note)).alias("warnings"),
+        F.array_compact(F.array_append("warnings", F.col("unresolved_note"))).alias("warnings"),
         F.lit(0.0).alias("confidence"),
         F.col("unresolved").alias("needs_review"),
         F.lit("unknown").alias("review_state"),

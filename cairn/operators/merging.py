@@ -77,12 +77,16 @@ def first_kept(items: Column, key: Callable[[Column], Column]) -> Column:
 
 
 def group_variants(
-    df: DataFrame, keys: Sequence[str], minima: dict[str, Column] | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    minima: dict[str, Column] | None = None,
+    maxima: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per key: ordered distinct feature readings plus role counts and firsts.
 
     Needs columns ``stem, role, relative_path, meta, electrical``.
-    ``minima`` names further row expressions of which the smallest is kept.
+    ``minima`` and ``maxima`` name further row expressions of which the smallest
+    or largest is kept.
     """
     per_role = [
         agg
@@ -92,11 +96,12 @@ def group_variants(
             F.min(F.when(F.col("role") == role, F.col("relative_path"))).alias(f"first_{role}"),
         )
     ]
-    minima = minima or {}
+    minima, maxima = minima or {}, maxima or {}
     reduced = df.groupBy(*keys, "meta", "electrical").agg(
         F.min("stem").alias("stem"),
         *per_role,
         *[F.min(value).alias(name) for name, value in minima.items()],
+        *[F.max(value).alias(name) for name, value in maxima.items()],
     )
     return reduced.groupBy(*keys).agg(
         F.array_sort(
@@ -105,6 +110,7 @@ def group_variants(
         *[F.sum(f"n_{role}").alias(f"n_{role}") for role in ROLES],
         *[F.min(f"first_{role}").alias(f"first_{role}") for role in ROLES],
         *[F.min(name).alias(name) for name in minima],
+        *[F.max(name).alias(name) for name in maxima],
     )
 
 
