@@ -21,7 +21,7 @@ def ascii_lower(col: Column) -> Column:
 
 def collapse_whitespace(col: Column, max_chars: int | None = None) -> Column:
     """Collapse whitespace runs to one blank; whole text unless a cap is asked for."""
-    out = F.btrim(F.regexp_replace(col, r"(?U)\s+", " "))
+    out = F.btrim(F.regexp_replace(col, r"(?U)[\s\x1c-\x1f]+", " "))
     return out if max_chars is None else F.substring(out, 1, max_chars)
 
 
