@@ -63,12 +63,14 @@ def decimal(text: Column) -> Column:
     return F.replace(blank_to_null(text), F.lit("p"), F.lit(".")).try_cast("double")
 
 
-def _number(norm: Column, pattern: str, group: int = 1) -> Column:
-    return decimal(F.regexp_extract(norm, pattern, group))
+def _number(norm: Column, marker: str, pattern: str, group: int = 1) -> Column:
+    """Number of a token; stems without the token's marker skip the regular expression."""
+    return F.when(F.contains(norm, F.lit(marker)), decimal(F.regexp_extract(norm, pattern, group)))
 
 
-def _integer(norm: Column, pattern: str, group: int = 1) -> Column:
-    return blank_to_null(F.regexp_extract(norm, pattern, group)).try_cast("long")
+def _integer(norm: Column, marker: str, pattern: str, group: int = 1) -> Column:
+    found = blank_to_null(F.regexp_extract(norm, pattern, group)).try_cast("long")
+    return F.when(F.contains(norm, F.lit(marker)), found)
 
 
 def sample_id(norm: Column) -> Column:
@@ -80,15 +82,15 @@ def sample_id(norm: Column) -> Column:
 
 
 def temperature(norm: Column) -> Column:
-    return _number(norm, TEMPERATURE)
+    return _number(norm, "k", TEMPERATURE)
 
 
 def magnetic_field(norm: Column) -> Column:
-    return _number(norm, FIELD)
+    return _number(norm, "t", FIELD)
 
 
 def excitation_wavelength(norm: Column) -> Column:
-    return _number(norm, EXCITATION)
+    return _number(norm, "nm", EXCITATION)
 
 
 def measurement_type(norm: Column) -> Column:
@@ -100,7 +102,7 @@ def measurement_type(norm: Column) -> Column:
 def rotations(norm: Column) -> Column:
     """All rotation angles in order of appearance; null when there are none."""
     found = F.regexp_extract_all(norm, F.lit(ROTATION), F.lit(1))
-    return F.when(F.size(found) > 0, F.transform(found, decimal))
+    return F.when(F.contains(norm, F.lit("deg")) & (F.size(found) > 0), F.transform(found, decimal))
 
 
 def point_label(stem: Column) -> Column:
@@ -115,13 +117,13 @@ def metadata_struct(stem: Column, norm: Column) -> Column:
         "magnetic_field_T": magnetic_field(norm),
         "excitation_wavelength_nm": excitation_wavelength(norm),
         "measurement_type": measurement_type(norm),
-        "center_wavelength_nm": _number(norm, CENTER),
-        "integration_time_s": _number(norm, INTEGRATION, 1),
-        "averages": _integer(norm, INTEGRATION, 2),
-        "excitation_power_uW": _number(norm, POWER),
-        "grating_grooves_per_mm": _integer(norm, GRATING),
+        "center_wavelength_nm": _number(norm, "nmc", CENTER),
+        "integration_time_s": _number(norm, "sx", INTEGRATION, 1),
+        "averages": _integer(norm, "sx", INTEGRATION, 2),
+        "excitation_power_uW": _number(norm, "uw", POWER),
+        "grating_grooves_per_mm": _integer(norm, "g", GRATING),
         "rotations_deg": rotations(norm),
-        "stage_position": _integer(norm, STAGE),
+        "stage_position": _integer(norm, "stage", STAGE),
         "measurement_point_label": point_label(stem),
     }
     return F.struct(*[values[name].alias(name) for name in METADATA_FIELDS])

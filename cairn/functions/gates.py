@@ -300,6 +300,11 @@ def group_key(norm: Column, electrical: Column) -> Column:
     )
 
 
+def electrical_reading(stem: Column) -> Column:
+    """Electrical description of a stem, its tokens parsed once."""
+    return let(read_tokens(stem), electrical_struct)
+
+
 def electrical_and_key(stem: Column, norm: Column) -> Column:
     """Struct of ``electrical`` and ``group_key`` of a stem, each part evaluated once."""
     return let(

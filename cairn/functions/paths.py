@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.functions.binding import let
 from cairn.functions.text import blank_to_null
 
 # File extensions the experiment scan accepts.
@@ -117,32 +118,30 @@ def scan_role(path: Column) -> Column:
     Each component is folded to lower case with runs of other characters as one
     blank; the whole directory part is folded at once, slashes kept as borders.
     """
-    dirs = F.regexp_replace(F.lower(parent_dirs(path)), "[^a-z0-9/]+", " ")
+    folded = F.regexp_replace(F.lower(parent_dirs(path)), "[^a-z0-9/]+", " ")
+
+    def ladder(dirs: Column) -> Column:
+        def has(folder: str) -> Column:
+            return dirs.rlike(f"(?:^|/) ?{folder} ?(?:/|$)")
+
+        processed = F.contains(dirs, F.lit("processed data")) & has("processed data")
+        initial = F.contains(dirs, F.lit("initial data"))
+        return (
+            F.when(initial & has("initial data after process(?:ing)?"), "intermediate")
+            .when(initial & has("initial data"), "raw")
+            .when(processed, F.when(suffix(path) == ".png", "figure").otherwise("processed"))
+        )
 
-    def has(folder: str) -> Column:
-        return dirs.rlike(f"(?:^|/) ?{folder} ?(?:/|$)")
+    return let(folded, ladder)
 
-    return (
-        F.when(has("initial data after process(?:ing)?"), "intermediate")
-        .when(has("initial data"), "raw")
-        .when(has("processed data") & (suffix(path) == ".png"), "figure")
-        .when(has("processed data"), "processed")
-    )
 
-
-def scan_reason(path: Column) -> Column:
-    """Why a file is left unclassified by the experiment scan, else null."""
-    ext = suffix(path)
+def unsupported_reason(path: Column, ext: Column) -> Column:
     shown = F.coalesce(blank_to_null(ext), F.lit("(none)"))
-    return (
-        F.when(
-            ~ext.isin(*SCAN_EXTENSIONS),
-            F.concat(F.lit("unsupported extension '"), shown, F.lit("': "), path),
-        ).when(
-            scan_role(path).isNull(),
-            F.concat(F.lit("outside recognised data directories: "), path),
-        )
-    )
+    return F.concat(F.lit("unsupported extension '"), shown, F.lit("': "), path)
+
+
+def outside_reason(path: Column) -> Column:
+    return F.concat(F.lit("outside recognised data directories: "), path)
 
 
 def linkage_extension(ext: Column, path: Column) -> Column:

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import ids, paths
+from cairn.functions.binding import computed
 from cairn.functions.filename import METADATA_FIELDS
 from cairn.functions.text import blank_to_null
 from cairn.operators.lineage import FILE, with_file_id, with_relationship_id
-from cairn.operators.merging import group_variants, merge_variants, with_features
+from cairn.operators.merging import group_variants, merge_variants, with_readings
 from cairn.operators.ordering import position_within
 from cairn.session import cut_lineage
 
@@ -86,9 +87,7 @@ def profile(df: DataFrame, stem: str) -> DataFrame:
     carries = carries | (F.size(F.coalesce(e["fixed_gates"], no_text)) > 0)
     carries = carries | (F.coalesce(F.size(e["electrical_connections"]), F.lit(0)) > 0)
     digest = F.sha2(F.to_json(body, {"ignoreNullFields": "false"}), 256)
-    return with_features(df, stem).withColumn("profile", F.when(carries, digest)).drop(
-        "meta", "electrical", "group_key"
-    )
+    return computed(with_readings(df, stem), F.struct(F.when(carries, digest).alias("profile"))).drop("meta", "electrical")
 
 
 def data_files(devices: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -207,8 +206,9 @@ def _name_unresolved(groups: DataFrame, files: DataFrame, keys: list[str]) -> Da
 
 def derive_experiments(devices: DataFrame, artifacts: DataFrame, reviewed: DataFrame | None = None) -> Linked:
     """Derived experiments with metadata, and their files with roles."""
-    # Read by five later plans; stored once instead of being derived five times.
-    files = cut_lineage(best_roles(canonical_stems(data_files(devices, artifacts))))
+    # Each result feeds several later plans; stored once instead of being derived again.
+    located = cut_lineage(data_files(devices, artifacts))
+    files = cut_lineage(best_roles(canonical_stems(located)))
     keys = ["device_id", "unresolved", "canonical"]
     figure = F.col("role") == "figure"
     variants = {
@@ -216,7 +216,7 @@ def derive_experiments(devices: DataFrame, artifacts: DataFrame, reviewed: DataF
         for name, suffix in FIGURE_VARIANTS.items()
     }
     minima = {"first_path": F.col("relative_path"), "local_device_id": F.col("local_device_id")}
-    groups = merge_variants(group_variants(with_features(files), keys, minima, variants))
+    groups = merge_variants(group_variants(with_readings(files), keys, minima, variants))
     numbered = number_experiments(_name_unresolved(groups, files, keys))
     ids_only = numbered.select("device_id", "unresolved", "canonical", "experiment_id")
     file_rows = files.join(ids_only, on=["device_id", "unresolved", "canonical"]).select(

@@ -38,6 +38,13 @@ def with_features(df: DataFrame, stem: str = "stem") -> DataFrame:
     return keyed.withColumn("meta", metadata_struct(F.col(stem), F.col("__norm"))).drop("__norm")
 
 
+def with_readings(df: DataFrame, stem: str = "stem") -> DataFrame:
+    """Add ``meta`` and ``electrical`` only."""
+    normed = df.withColumn("__norm", normalize_stem(F.col(stem)))
+    read = computed(normed, F.struct(gates.electrical_reading(F.col(stem)).alias("electrical")))
+    return read.withColumn("meta", metadata_struct(F.col(stem), F.col("__norm"))).drop("__norm")
+
+
 def _spelling(field: str) -> Callable[[Column], Column]:
     if field in _TEXT:
         return quoted

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import paths
+from cairn.functions.binding import computed
 from cairn.functions.filename import METADATA_FIELDS
 from cairn.functions.gates import ELECTRICAL_SCALARS
 from cairn.operators.merging import (
@@ -42,11 +43,21 @@ class Scan:
 
 
 def classify(listing: DataFrame) -> DataFrame:
-    """Add ``role`` and ``reason``; exactly one of them is null."""
-    path = F.col("relative_path")
-    reason = paths.scan_reason(path)
-    return listing.withColumn("reason", reason).withColumn(
-        "role", F.when(F.col("reason").isNull(), paths.scan_role(path))
+    """Add ``role`` and ``reason``; exactly one of them is null.
+
+    The folder rules run once per file behind a barrier, so the filters on role
+    and reason that follow compare stored values.
+    """
+    path, ext = F.col("relative_path"), F.col("__ext")
+    read = computed(
+        listing, F.struct(paths.suffix(path).alias("__ext"), paths.scan_role(path).alias("__role"))
+    )
+    supported = ext.isin(*paths.SCAN_EXTENSIONS)
+    reason = F.when(~supported, paths.unsupported_reason(path, ext)).when(
+        F.col("__role").isNull(), paths.outside_reason(path)
+    )
+    return read.select(
+        *listing.columns, F.when(supported, F.col("__role")).alias("role"), reason.alias("reason")
     )
 
 
@@ -57,7 +68,7 @@ def classified_files(listing: DataFrame) -> DataFrame:
 
 
 def unclassified_files(listing: DataFrame) -> DataFrame:
-    return classify(listing).where(F.col("reason").isNotNull()).drop("role")
+    return classify(listing).where(F.col("role").isNull()).drop("role")
 
 
 def experiment_groups(files: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

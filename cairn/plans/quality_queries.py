@@ -40,13 +40,13 @@ def integrity_artifacts(v: Views) -> DataFrame:
 
 @query(
     """
-SELECT 'file' AS entity, base || '|' || role AS entity_id, count(*) AS n_rows FROM (
-  SELECT experiment_id AS base, role FROM fx_files) GROUP BY base, role HAVING count(*) > 1""",
+SELECT 'file' AS entity, k AS entity_id, count(*) AS n_rows FROM (
+  SELECT split_part(experiment_id, '_', 1) || '|' || role AS k FROM fx_files) GROUP BY k HAVING count(*) > 1""",
     "fx_files",
 )
 def integrity_duplicates(v: Views) -> DataFrame:
-    """Keys used more than once: several files of one role in an experiment."""
-    keyed = v.files.select(F.concat_ws("|", "experiment_id", "role").alias("key"))
+    """Keys used more than once: several files of one role below a device."""
+    keyed = v.files.select(F.concat_ws("|", F.split_part("experiment_id", F.lit("_"), F.lit(1)), "role").alias("key"))
     return quality.duplicate_ids(keyed, "key", "file")
 
 
