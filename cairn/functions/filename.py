@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.functions.binding import let
 from cairn.functions.text import blank_to_null
 
 # Token patterns.  They work on the normalized stem, except the
@@ -110,7 +111,15 @@ def point_label(stem: Column) -> Column:
 
 
 def metadata_struct(stem: Column, norm: Column) -> Column:
-    """The thirteen filename fields of one stem; ``norm`` is ``normalize_stem(stem)``."""
+    """The thirteen filename fields of one stem; ``norm`` is ``normalize_stem(stem)``.
+
+    Bound as one unit: thirteen regular expressions unrolled into generated code
+    would exceed the method size the JVM still compiles.
+    """
+    return let(norm, lambda bound: _fields(stem, bound))
+
+
+def _fields(stem: Column, norm: Column) -> Column:
     values = {
         "sample_id": sample_id(norm),
         "temperature_K": temperature(norm),

@@ -66,12 +66,12 @@ def canonical_path(path: Column) -> Column:
 
 
 def first_component(path: Column) -> Column:
-    return F.split_part(path, F.lit("/"), F.lit(1))
+    return F.substring_index(path, "/", 1)
 
 
-def component(path: Column, index: int) -> Column:
-    """1-based path component; empty string when the path is shorter."""
-    return F.split_part(path, F.lit("/"), F.lit(index))
+def second_component(path: Column) -> Column:
+    """Second path component; the first one again when there is no second."""
+    return F.substring_index(F.substring_index(path, "/", 2), "/", -1)
 
 
 def component_count(path: Column) -> Column:
@@ -149,16 +149,6 @@ def linkage_extension(ext: Column, path: Column) -> Column:
     return F.lower(F.coalesce(stored, F.substring(suffix(path), 2, 1000)))
 
 
-def in_data_directory(path: Column, ext: Column) -> Column:
-    """At least three parts, second part a known data folder, data extension."""
-    folder = component(path, 2)
-    return (
-        (component_count(path) >= 3)
-        & folder.isin(*RAW_FOLDERS, PROCESSED_FOLDER)
-        & linkage_extension(ext, path).isin(*LINKAGE_EXTENSIONS)
-    )
-
-
 def linkage_role(folder: Column, ext: Column) -> Column:
     return (
         F.when(folder.isin(*RAW_FOLDERS) | (ext == "csv"), "raw")

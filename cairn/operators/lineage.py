@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import ids
+from cairn.functions.binding import computed
 
 FILE = "file"
 
@@ -14,12 +15,14 @@ def with_file_id(df: DataFrame) -> DataFrame:
     """Add ``file_id`` unless the table was stored with it."""
     if "file_id" in df.columns:
         return df
-    return df.withColumn("file_id", ids.file_id(F.col("storage_source_id"), F.col("relative_path")))
+    digest = ids.file_id(F.col("storage_source_id"), F.col("relative_path"))
+    return computed(df, F.struct(digest.alias("file_id")))
 
 
 def with_relationship_id(edges: DataFrame) -> DataFrame:
     parts = ("source_type", "source_id", "predicate", "target_type", "target_id", "provenance_source")
-    return edges.withColumn("relationship_id", ids.relationship_id(*[F.col(c) for c in parts]))
+    digest = ids.relationship_id(*[F.col(c) for c in parts])
+    return computed(edges, F.struct(digest.alias("relationship_id")))
 
 
 def file_edges(pairs: DataFrame, storage_source: str, predicate_col: str = "relation") -> DataFrame:

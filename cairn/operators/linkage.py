@@ -96,16 +96,25 @@ def data_files(devices: DataFrame, artifacts: DataFrame) -> DataFrame:
         "device_id", "local_device_id", F.explode("aliases").alias("alias")
     ).where((F.col("alias") != "") & ~F.contains("alias", F.lit("/"))).distinct()
     path = F.col("relative_path")
-    located = artifacts.where(
-        path.isNotNull() & F.col("device_id").isNotNull() & paths.in_data_directory(path, F.col("extension"))
-    ).select(
-        "artifact_id", "device_id", "storage_source_id", path,
-        paths.component(path, 1).alias("alias"),
-        paths.component(path, 2).alias("folder"),
-        paths.linkage_extension(F.col("extension"), path).alias("ext"),
-        F.lower(F.coalesce("extension", F.lit(""))).alias("stored_ext"),
-        paths.stem(path).alias("stem"),
+    bound = artifacts.where(path.isNotNull() & F.col("device_id").isNotNull()).select(
+        "artifact_id", "device_id", "storage_source_id", path, F.coalesce("extension", F.lit("")).alias("__stored")
+    )
+    read = computed(
+        bound,
+        F.struct(
+            paths.first_component(path).alias("alias"),
+            paths.second_component(path).alias("folder"),
+            paths.component_count(path).alias("__parts"),
+            paths.linkage_extension(F.col("__stored"), path).alias("ext"),
+            F.lower("__stored").alias("stored_ext"),
+            paths.stem(path).alias("stem"),
+        ),
     )
+    located = read.where(
+        (F.col("__parts") >= 3)
+        & F.col("folder").isin(*paths.RAW_FOLDERS, paths.PROCESSED_FOLDER)
+        & F.col("ext").isin(*paths.LINKAGE_EXTENSIONS)
+    ).drop("__parts", "__stored")
     return located.join(alias, on=["device_id", "alias"]).withColumn(
         "role", paths.linkage_role(F.col("folder"), F.col("ext"))
     )

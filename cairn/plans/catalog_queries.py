@@ -59,12 +59,12 @@ def artifact_text_like(v: Views) -> DataFrame:
 @query(
     """
 SELECT artifact_id, relative_path, extension FROM fx_artifacts
-WHERE device_id = 'D142' AND lower(trim(extension, '.')) IN ('pdf','ppt','pptx') AND lower(category) <> 'slide'
+WHERE device_id = 'D121' AND lower(trim(extension, '.')) IN ('pdf','ppt','pptx') AND lower(category) <> 'slide'
 ORDER BY artifact_id LIMIT 200""",
     "fx_artifacts",
 )
 def device_documents(v: Views) -> DataFrame:
-    found = retrieval.device_documents(v.artifacts, "D142", limit=200)
+    found = retrieval.device_documents(v.artifacts, "D121", limit=200)
     return found.items.select("artifact_id", "relative_path", "extension")
 
 
@@ -97,12 +97,12 @@ def federated_search(v: Views) -> DataFrame:
 @query(
     """
 SELECT device_id, device_type, display_label FROM fx_devices
-WHERE device_type = 'ECONOMY' AND maker_namespace IS NULL AND (contains(lower(display_label), 'ring') OR contains(lower(alias), 'ring'))
+WHERE device_type = 'ECONOMY' AND maker_namespace IS NULL AND (contains(lower(display_label), 'e') OR contains(lower(alias), 'e'))
 ORDER BY device_id LIMIT 100""",
     "fx_devices",
 )
 def device_search(v: Views) -> DataFrame:
-    found = retrieval.search_devices(v.devices, filters={"device_type": "ECONOMY", "maker_namespace": None}, q="RING", limit=100)
+    found = retrieval.search_devices(v.devices, filters={"device_type": "ECONOMY", "maker_namespace": None}, q="E", limit=100)
     return found.items.select("device_id", "device_type", "display_label")
 
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import ids, paths
-from cairn.functions.text import pad_number
-from cairn.operators.lineage import with_relationship_id
+from cairn.functions.binding import computed
+from cairn.operators import proposals
+from cairn.operators.lineage import with_file_id, with_relationship_id
 
 SQL: dict[str, str] = {}
 NEEDS: dict[str, tuple[str, ...]] = {}
@@ -274,21 +275,31 @@ class Views:
             .when(kind == "A", F.concat(F.lit("Processed Data/"), base, F.lit("_PL_log.png")))
             .otherwise(F.concat(F.lit("Initial data after processing/"), base, F.lit(".csv")))
         )
-        return li.select(
-            device.alias("device_id"), base.alias("base"), (F.col("l_partkey") % 2).alias("parity"), "l_orderkey",
-            F.concat(device, F.lit(" chip/"), place).alias("relative_path"),
+        # A stored listing has its path as a column; here it is spelled once per row
+        # behind a barrier, so filters on it are not pushed into the spelling.
+        spelled = F.struct(
+            device.alias("device_id"), base.alias("base"), F.concat(device, F.lit(" chip/"), place).alias("relative_path")
         )
+        used = li.select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_orderkey")
+        return computed(used, spelled).select("device_id", "base", (F.col("l_partkey") % 2).alias("parity"), "l_orderkey", "relative_path")
 
     @cached_property
-    def artifacts(self) -> DataFrame:
-        """One artifact per distinct path of the order lines."""
-        grouped = self.lines.groupBy("device_id", "base", "relative_path").agg(
+    def stored_paths(self) -> DataFrame:
+        """Distinct paths of the order lines with size, time and parity."""
+        return self.lines.groupBy("device_id", "base", "relative_path").agg(
             F.min("parity").alias("parity"), F.min("l_orderkey").alias("size_bytes"), (F.max("l_orderkey") * 1000).alias("mtime_ns")
         )
+
+    @cached_property
+    def artifacts(self) -> DataFrame:
+        """One artifact per distinct path of the order lines."""
         path = F.col("relative_path")
         slide = path.endswith(".pptx") & (F.col("parity") == 0)
-        return grouped.select(
-            ids.artifact_id(path).alias("artifact_id"), "device_id", "base", path, paths.extension(path).alias("extension"),
+        identified = computed(
+            self.stored_paths, F.struct(ids.artifact_id(path).alias("artifact_id"), paths.extension(path).alias("extension"))
+        )
+        return identified.select(
+            "artifact_id", "device_id", "base", path, "extension",
             F.when(path.endswith(".png"), "image/png").when(path.endswith(".pdf"), "application/pdf").otherwise("UNKNOWN").alias("media_type"),
             F.when(slide, "slide").otherwise("UNKNOWN").alias("category"),
             "size_bytes", "mtime_ns",
@@ -298,15 +309,14 @@ class Views:
 
     @cached_property
     def listing(self) -> DataFrame:
-        """The artifacts as a plain file listing."""
-        return self.artifacts.select("relative_path", "size_bytes", "mtime_ns")
+        """The paths as a plain file listing."""
+        return self.stored_paths.select("relative_path", "size_bytes", "mtime_ns")
 
     @cached_property
     def files(self) -> DataFrame:
-        path = F.col("relative_path")
-        role = paths.scan_role(path)
-        return self.artifacts.withColumn("role", role).where(F.col("role").isNotNull()).select(
-            F.col("base").alias("experiment_id"), "role", "storage_source_id", path, ids.file_id(F.col("storage_source_id"), path).alias("file_id")
+        placed = proposals.classify(self.stored_paths).where(F.col("role").isNotNull())
+        return with_file_id(
+            placed.select(F.col("base").alias("experiment_id"), "role", F.lit("src").alias("storage_source_id"), "relative_path")
         )
 
     @cached_property
@@ -513,4 +523,4 @@ class Views:
         )
 
 
-__all__ = ["Views", "pad_number", "view", "with_views"]
+__all__ = ["Views", "view", "with_views"]

@@ -22,15 +22,18 @@ def test_device_and_file_ids_are_golden(spark):
     assert one(spark, ids.device_id(F.col("a"), F.col("b")), a="YZ", b="D71x").startswith("dev-")
 
 
-@pytest.mark.parametrize(
-    "path",
-    ["plain/a.csv", "mesure à 5K/é.csv", "日本/測定.dat", "emoji 😀/a.csv", 'quote"d/x.csv', "tab\tx/\x7f.csv", "esc\x1b.csv"],
-)
-def test_file_id_escapes_like_ascii_json(spark, path):
-    expect = "file-" + hashlib.sha256(
-        json.dumps(["src", path], separators=(",", ":")).encode()
-    ).hexdigest()
-    assert one(spark, ids.file_id(F.col("a"), F.col("b")), a="src", b=path) == expect
+def column(spark, expr, values):
+    """Evaluate one expression over many strings in a single plan."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r[1] for r in df.select("i", expr.alias("x")).orderBy("i").collect()]
+
+
+def test_file_id_escapes_like_ascii_json(spark):
+    names = ["plain/a.csv", "mesure à 5K/é.csv", "日本/測定.dat", "emoji 😀/a.csv", 'quote"d/x.csv', "tab\tx/\x7f.csv", "esc\x1b.csv"]
+    expect = [
+        "file-" + hashlib.sha256(json.dumps(["src", n], separators=(",", ":")).encode()).hexdigest() for n in names
+    ]
+    assert column(spark, ids.file_id(F.lit("src"), F.col("v")), names) == expect
 
 
 def test_relationship_id_keeps_null(spark):
@@ -75,165 +78,146 @@ def test_derived_experiment_id_never_truncates(spark):
     assert got == ["D1-0003", "D1-123456"]
 
 
-@pytest.mark.parametrize(
-    "path,expect",
-    [
-        ("a/b.csv", "a/b.csv"), ("a\\b//./c.csv", "a/b/c.csv"), ("/a", None), ("C:/a", None),
-        ("a/../b", None), ("./.", None), ("", None), ("a/...", "a/..."), ("a/", "a"),
-    ],
-)
-def test_canonical_path(spark, path, expect):
-    assert one(spark, paths.canonical_path(F.col("p")), p=path) == expect
-
-
-@pytest.mark.parametrize(
-    "path,stem,suffix",
-    [
-        ("d/x.CSV", "x", ".csv"), ("d/.keep", ".keep", ""), ("d/x", "x", ""), ("d/x.", "x.", ""),
-        ("a.b/x", "x", ""), ("d/x.tar.gz", "x.tar", ".gz"), ("D356_3.6K.csv", "D356_3.6K", ".csv"),
-    ],
-)
-def test_stem_and_suffix(spark, path, stem, suffix):
-    assert one(spark, paths.stem(F.col("p")), p=path) == stem
-    assert one(spark, paths.suffix(F.col("p")), p=path) == suffix
-
-
-@pytest.mark.parametrize(
-    "path,role",
-    [
-        ("D1/Initial Data/a.csv", "raw"), ("D1/initial_data/x/a.csv", "raw"),
-        ("D1/Initial Data after process/a.csv", "intermediate"),
-        ("D1/Initial-data AFTER processing/a.png", "intermediate"),
-        ("D1/Processed Data/a.dat", "processed"), ("D1/Processed Data/a.PNG", "figure"),
-        ("D1/Initial Data 2/a.csv", None), ("a.csv", None),
-        ("Processed Data/Initial Data/a.png", "raw"),
-    ],
-)
-def test_scan_role(spark, path, role):
-    assert one(spark, paths.scan_role(F.col("p")), p=path) == role
-
-
-def features(spark, stem):
-    df = spark.createDataFrame([(stem,)], "stem string")
-    norm = filename.normalize_stem(F.col("stem"))
-    return df.select(filename.metadata_struct(F.col("stem"), norm).alias("m")).first()["m"].asDict()
-
-
-@pytest.mark.parametrize(
-    "stem,expect",
-    [
-        ("D356_3.6K_9T_633nm_PL", dict(sample_id="D356", temperature_K=3.6, magnetic_field_T=9.0,
-                                        excitation_wavelength_nm=633.0, measurement_type="photoluminescence")),
-        ("YZ356_REF", dict(sample_id="D356", measurement_type="absorption")),
-        ("sample_run_2024", {}),
-        ("YZ356_9Tp1n1_3.6KPL_633nm_700nmc_2sx1_FixTG=-0.2_Vb0to+20",
-         dict(sample_id="D356", magnetic_field_T=9.0, temperature_K=3.6, measurement_type="photoluminescence",
-              excitation_wavelength_nm=633.0, center_wavelength_nm=700.0, integration_time_s=2.0, averages=1,
-              measurement_point_label="p1n1")),
-        ("YZ356_p1_3.6KREF_720nmc_0p06sx10_TGonly",
-         dict(sample_id="D356", temperature_K=3.6, measurement_type="absorption", center_wavelength_nm=720.0,
-              integration_time_s=0.06, averages=10, measurement_point_label="p1")),
-        ("YZ247_pc1_300g_3.6KPL_730nm0.03uW_940nmc_5sx1_Rot1195p8deg_Rot295deg_Stage50_TG+BG=0",
-         dict(sample_id="YZ247", grating_grooves_per_mm=300, temperature_K=3.6, measurement_type="photoluminescence",
-              excitation_wavelength_nm=730.0, excitation_power_uW=0.03, center_wavelength_nm=940.0,
-              integration_time_s=5.0, averages=1, rotations_deg=[1195.8, 295.0], stage_position=50,
-              measurement_point_label="pc1")),
-    ],
-)
-def test_filename_features(spark, stem, expect):
-    got = {k: v for k, v in features(spark, stem).items() if v is not None}
-    assert got == expect
+def test_canonical_path(spark):
+    cases = {
+        "a/b.csv": "a/b.csv", "a\\b//./c.csv": "a/b/c.csv", "/a": None, "C:/a": None,
+        "a/../b": None, "./.": None, "": None, "a/...": "a/...", "a/": "a",
+    }
+    assert column(spark, paths.canonical_path(F.col("v")), list(cases)) == list(cases.values())
 
 
-@pytest.mark.parametrize("label", ["p1", "p1n1", "pa1", "pc1", "pX", "pX1", "PX1"])
-def test_point_labels_keep_case(spark, label):
-    assert features(spark, f"D1_{label}_x")["measurement_point_label"] == label
+def test_stem_and_suffix(spark):
+    cases = {
+        "d/x.CSV": ("x", ".csv"), "d/.keep": (".keep", ""), "d/x": ("x", ""), "d/x.": ("x.", ""),
+        "a.b/x": ("x", ""), "d/x.tar.gz": ("x.tar", ".gz"), "D356_3.6K.csv": ("D356_3.6K", ".csv"),
+    }
+    assert column(spark, paths.stem(F.col("v")), list(cases)) == [c[0] for c in cases.values()]
+    assert column(spark, paths.suffix(F.col("v")), list(cases)) == [c[1] for c in cases.values()]
 
 
-def test_plain_p_words_are_no_points(spark):
-    assert features(spark, "plot_phase_power_peak")["measurement_point_label"] is None
+def test_scan_role(spark):
+    cases = {
+        "D1/Initial Data/a.csv": "raw", "D1/initial_data/x/a.csv": "raw",
+        "D1/Initial Data after process/a.csv": "intermediate",
+        "D1/Initial-data AFTER processing/a.png": "intermediate",
+        "D1/Processed Data/a.dat": "processed", "D1/Processed Data/a.PNG": "figure",
+        "D1/Initial Data 2/a.csv": None, "a.csv": None, "Processed Data/Initial Data/a.png": "raw",
+    }
+    assert column(spark, paths.scan_role(F.col("v")), list(cases)) == list(cases.values())
+
+
+def features(spark, stems):
+    norm = filename.normalize_stem(F.col("v"))
+    rows = column(spark, filename.metadata_struct(F.col("v"), norm), stems)
+    return [{k: v for k, v in r.asDict().items() if v is not None} for r in rows]
+
+
+def test_filename_features(spark):
+    cases = {
+        "D356_3.6K_9T_633nm_PL": dict(
+            sample_id="D356", temperature_K=3.6, magnetic_field_T=9.0, excitation_wavelength_nm=633.0, measurement_type="photoluminescence"
+        ),
+        "YZ356_REF": dict(sample_id="D356", measurement_type="absorption"),
+        "sample_run_2024": {},
+        "YZ356_9Tp1n1_3.6KPL_633nm_700nmc_2sx1_FixTG=-0.2_Vb0to+20": dict(
+            sample_id="D356", magnetic_field_T=9.0, temperature_K=3.6, measurement_type="photoluminescence", excitation_wavelength_nm=633.0,
+            center_wavelength_nm=700.0, integration_time_s=2.0, averages=1, measurement_point_label="p1n1",
+        ),
+        "YZ356_p1_3.6KREF_720nmc_0p06sx10_TGonly": dict(
+            sample_id="D356", temperature_K=3.6, measurement_type="absorption", center_wavelength_nm=720.0, integration_time_s=0.06,
+            averages=10, measurement_point_label="p1",
+        ),
+        "YZ247_pc1_300g_3.6KPL_730nm0.03uW_940nmc_5sx1_Rot1195p8deg_Rot295deg_Stage50_TG+BG=0": dict(
+            sample_id="YZ247", grating_grooves_per_mm=300, temperature_K=3.6, measurement_type="photoluminescence",
+            excitation_wavelength_nm=730.0, excitation_power_uW=0.03, center_wavelength_nm=940.0, integration_time_s=5.0, averages=1,
+            rotations_deg=[1195.8, 295.0], stage_position=50, measurement_point_label="pc1",
+        ),
+        "plot_phase_power_peak": {},
+    }
+    assert features(spark, list(cases)) == list(cases.values())
 
 
-def electrical(spark, stem):
-    df = spark.createDataFrame([(stem,)], "stem string").withColumn("t", gates.read_tokens(F.col("stem")))
-    row = df.select(gates.electrical_struct(F.col("t")).alias("e")).first()["e"]
-    return None if row is None else row.asDict(recursive=True)
+def test_point_labels_keep_case(spark):
+    labels = ["p1", "p1n1", "pa1", "pc1", "pX", "pX1", "PX1"]
+    got = features(spark, [f"D1000x_{label}_x" for label in labels])
+    assert [g["measurement_point_label"] for g in got] == labels
 
 
-@pytest.mark.parametrize(
-    "token,field,value",
-    [
+def electrical(spark, stems):
+    rows = column(spark, gates.electrical_reading(F.col("v")), stems)
+    return [None if r is None else r.asDict(recursive=True) for r in rows]
+
+
+def test_gate_scalars(spark):
+    cases = [
         ("FixTG4V", "fixed_top_gate_V", 4.0), ("FixTG4p5V", "fixed_top_gate_V", 4.5),
         ("FixTG=-0.2", "fixed_top_gate_V", -0.2), ("TGonly", "active_gate_configuration", "TG_only"),
         ("bg1only", "active_gate_configuration", "BG1_only"), ("Vb0to+20", "bias_stop_V", 20.0),
         ("TG=BG=0", "fixed_gates", ["BG", "TG"]), ("TG=BG=0", "back_gate_topology", "single"),
         ("TG+BG=0", "back_gate_topology", "single"), ("BG1+BG2=0", "back_gate_topology", "split"),
         ("BG2-CG", "back_gate_topology", "split"),
-    ],
-)
-def test_gate_scalars(spark, token, field, value):
-    assert electrical(spark, f"D356_{token}")[field] == value
-
-
-@pytest.mark.parametrize(
-    "token,coefficients,mode,direction",
-    [
-        ("TG+BG=0", {"BG": 1.0, "TG": 1.0}, "constant_doping", None),
-        ("TG-BG=0", {"BG": -1.0, "TG": 1.0}, "constant_displacement_field", None),
-        ("0.7TG+BG=0", {"BG": 1.0, "TG": 0.7}, "constant_doping", None),
-        ("TG+1.8BG=0", {"BG": 1.8, "TG": 1.0}, "constant_doping", None),
-        ("TG+BG=0Rev", {"BG": 1.0, "TG": 1.0}, "constant_doping", "reverse"),
-        ("BG1+BG2=0", {"BG1": 1.0, "BG2": 1.0}, None, None),
-    ],
-)
-def test_gate_constraints(spark, token, coefficients, mode, direction):
-    (got,) = electrical(spark, f"D356_{token}")["gate_constraints"]
-    assert {c["gate"]: c["value"] for c in got["coefficients"]} == coefficients
-    assert (got["raw_expression"], got["control_mode"], got["sweep_direction"]) == (token, mode, direction)
-
-
-@pytest.mark.parametrize(
-    "stem,notes",
-    [
-        ("D1_TG+BG=1", ["unsupported electrical expression: TG+BG=1"]),
-        ("D1_TG*BG=0", ["unsupported electrical expression: TG*BG=0"]),
-        ("D1_FixTG4V-SweepBG1=2", ["unsupported electrical expression: SweepBG1=2"]),
-        ("D1_FixTG=4-x", ["unsupported electrical expression: x"]),
-        ("D1_TG+BG=0_BG1only", [gates.TOPOLOGY_CONFLICT]),
-    ],
-)
-def test_gate_notes(spark, stem, notes):
-    assert electrical(spark, stem)["notes"] == notes
+    ]
+    got = electrical(spark, [f"D356_{c[0]}" for c in cases])
+    assert [g[c[1]] for g, c in zip(got, cases, strict=True)] == [c[2] for c in cases]
+
+
+def test_gate_constraints(spark):
+    cases = {
+        "TG+BG=0": ({"BG": 1.0, "TG": 1.0}, "constant_doping", None),
+        "TG-BG=0": ({"BG": -1.0, "TG": 1.0}, "constant_displacement_field", None),
+        "0.7TG+BG=0": ({"BG": 1.0, "TG": 0.7}, "constant_doping", None),
+        "TG+1.8BG=0": ({"BG": 1.8, "TG": 1.0}, "constant_doping", None),
+        "TG+TG+BG=0": ({"BG": 1.0, "TG": 2.0}, "constant_doping", None),
+        "TG+BG=0Rev": ({"BG": 1.0, "TG": 1.0}, "constant_doping", "reverse"),
+        "BG1+BG2=0": ({"BG1": 1.0, "BG2": 1.0}, None, None),
+    }
+    for token, row in zip(cases, electrical(spark, [f"D356_{t}" for t in cases]), strict=True):
+        (c,) = row["gate_constraints"]
+        spelled = {x["gate"]: x["value"] for x in c["coefficients"]}
+        assert (c["raw_expression"], spelled, c["control_mode"], c["sweep_direction"]) == (token, *cases[token])
+
+
+def test_gate_notes(spark):
+    cases = {
+        "D1_TG+BG=1": ["unsupported electrical expression: TG+BG=1"],
+        "D1_TG*BG=0": ["unsupported electrical expression: TG*BG=0"],
+        "D1_FixTG4V-SweepBG1=2": ["unsupported electrical expression: SweepBG1=2"],
+        "D1_FixTG=4-x": ["unsupported electrical expression: x"],
+        "D1_TG+BG=0_BG1only": [gates.TOPOLOGY_CONFLICT],
+    }
+    assert [e["notes"] for e in electrical(spark, list(cases))] == list(cases.values())
 
 
 def test_unsupported_fix_without_unit_is_silent(spark):
-    assert electrical(spark, "D1_FixTG4") is None
+    assert electrical(spark, ["D1_FixTG4"]) == [None]
 
 
-def key(spark, stem):
-    df = spark.createDataFrame([(stem,)], "stem string").withColumn("t", gates.read_tokens(F.col("stem")))
-    df = df.withColumn("e", gates.electrical_struct(F.col("t")))
-    return df.select(gates.group_key(filename.normalize_stem(F.col("stem")), F.col("e"))).first()[0]
+def keys(spark, *stems):
+    both = gates.electrical_and_key(F.col("v"), filename.normalize_stem(F.col("v")))
+    return [r["group_key"] for r in column(spark, both, list(stems))]
 
 
-def test_group_keys_drop_roles_and_derived_suffixes(spark):
-    base = key(spark, "D356_3.6K_9T_633nm")
-    for other in ("D356_3.6K_9T_633nm_PL", "D356_raw_3.6K_9T_633nm_PL_log", "d356_3.6K_data_9T_633nm_avg2_DR_R_Self"):
-        assert key(spark, other) == base
-    assert key(spark, "D356_3.6K_9T_633nm_mystery") != base
-    assert key(spark, "raw_data") == "raw_data"
+def test_group_keys(spark):
+    base, *same, mystery, words = keys(
+        spark, "D356_3.6K_9T_633nm", "D356_3.6K_9T_633nm_PL", "D356_raw_3.6K_9T_633nm_PL_log",
+        "d356_3.6K_data_9T_633nm_avg2_DR_R_Self", "D356_3.6K_9T_633nm_mystery", "raw_data",
+    )
+    assert set(same) == {base}
+    assert mystery != base and words == "raw_data"
 
 
 def test_group_keys_split_by_electrical_state(spark):
-    assert key(spark, "D1_BG1+BG2=0") != key(spark, "D1_BG1-BG2=0")
-    assert key(spark, "D1_TG+BG=0") != key(spark, "D1_TG+BG=0Rev")
-    assert key(spark, "D1_TG+BG=0") == key(spark, "D1_BG+TG=0").replace("bg_tg", "tg_bg")
+    plus, minus, one, reverse, swapped = keys(
+        spark, "D1_BG1+BG2=0", "D1_BG1-BG2=0", "D1_TG+BG=0", "D1_TG+BG=0Rev", "D1_BG+TG=0"
+    )
+    assert plus != minus and one != reverse
+    assert one == swapped.replace("bg_tg", "tg_bg")
 
 
 def test_float_spelling(spark):
-    for value in (3.6, 633.0, 0.06, 1e-3, 2.5e-4, 1e-5, 1.5e-7, 12345678.5, 1e15, 1e16, 1e22, -0.0005):
-        got = spark.createDataFrame([(value,)], "v double").select(text.float_text(F.col("v"))).first()[0]
-        assert got == repr(value)
+    values = (3.6, 633.0, 0.06, 1e-3, 2.5e-4, 1e-5, 1.5e-7, 12345678.5, 1e15, 1e16, 1e22, -0.0005)
+    got = column(spark, text.float_text(F.col("v").cast("double")), [repr(v) for v in values])
+    assert got == [repr(v) for v in values]
 
 
 def test_feature_registry_adds_columns(spark):
