@@ -19,8 +19,9 @@ def list_folder(spark: SparkSession, root: str) -> DataFrame:
     """List regular files below ``root`` without reading them.
 
     Only path, length and modification time are selected, so contents are pruned
-    from the scan.  Modification times have millisecond precision here, and names
-    that start with ``_`` or ``.`` are skipped; a listing table has neither limit.
+    from the scan.  Modification times have millisecond precision here, and empty
+    files and names that start with ``_`` or ``.`` are skipped; a listing table has
+    none of these limits.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return found.select(

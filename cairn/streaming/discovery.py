@@ -5,7 +5,7 @@ place in the stream checkpoint, so an interrupted run goes on where it stopped.
 A micro-batch writes to a folder named by generation and batch id; a retry of the
 same batch overwrites its own output and never doubles a row.
 
-The file source reports a path once.  Changed, restored and missing files need
+The file source reports a path once and leaves out empty files.  Changed, restored and missing files need
 the full comparison in ``operators.inventory``.
 """
 
