@@ -14,7 +14,7 @@ from cairn.operators.devices import append_absent
 from cairn.operators.merging import ROLES
 from cairn.operators.ordering import position_within
 from cairn.session import cut_lineage
-from cairn.sources.catalog import read_catalog, shape, write_catalog
+from cairn.sources.catalog import commit_catalog, read_catalog, shape, stage_catalog
 
 PROPOSAL_KEYS = (
     *METADATA_FIELDS, *ELECTRICAL_SCALARS, "fixed_gate_values", "gate_constraints", "electrical_connections",
@@ -89,7 +89,7 @@ def number_edges(relationships: DataFrame) -> DataFrame:
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """All catalog rules as (entity, entity_id, rule); write only when this is empty."""
+    """All catalog rules as (entity, entity_id, rule); commit only when this is empty."""
     t = tables
     known = quality.endpoints(t["experiments"], t["devices"], t["artifacts"], t["experiment_files"])
     parts = [
@@ -120,11 +120,17 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def replace_catalog(spark: SparkSession, root: str, tables: dict[str, DataFrame], note: str = "") -> int:
-    """Validate, then write one new version; raises with the first violations otherwise."""
-    bad = violations(tables).limit(5).collect()
+    """Write the next version, validate what was written, then commit it.
+
+    The rules read the staged files instead of computing the tables again; a
+    version that breaks a rule stays invisible and the first violations are raised.
+    """
+    version = stage_catalog(spark, root, tables)
+    bad = violations(read_catalog(spark, root, version)).limit(5).collect()
     if bad:
         raise ValueError(f"catalog is not valid: {[tuple(r) for r in bad]}")
-    return write_catalog(spark, root, tables, note)
+    commit_catalog(spark, root, version, note)
+    return version
 
 
 @dataclass(frozen=True)

@@ -51,10 +51,11 @@ def _split_schema(text: str) -> list[str]:
     return [*out, text[start:]]
 
 
-def write_catalog(spark: SparkSession, root: str, tables: dict[str, DataFrame], note: str = "") -> int:
-    """Replace the whole catalog; validate the tables before calling.
+def stage_catalog(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
+    """Write all six tables as the next version without making it visible.
 
     Rows are range-clustered by the lookup column, so point lookups prune row groups.
+    A version that is never committed is overwritten by the next attempt.
     """
     missing = set(CATALOG) - set(tables)
     if missing:
@@ -66,12 +67,15 @@ def write_catalog(spark: SparkSession, root: str, tables: dict[str, DataFrame],
         shaped.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("overwrite").parquet(
             f"{root}/versions/{version}/{name}"
         )
-    spark.createDataFrame([(version, note)], COMMIT_SCHEMA).coalesce(1).write.mode("errorifexists").json(
-        f"{root}/commits/{version}"
-    )
     return version
 
 
+def commit_catalog(spark: SparkSession, root: str, version: int, note: str = "") -> None:
+    """Make a staged version the current one; two writers cannot commit the same number."""
+    record = spark.createDataFrame([(version, note)], COMMIT_SCHEMA).coalesce(1)
+    record.write.mode("errorifexists").json(f"{root}/commits/{version}")
+
+
 def read_catalog(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
     """All six tables of one committed version."""
     chosen = current_version(spark, root) if version is None else version
