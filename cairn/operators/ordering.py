@@ -25,10 +25,6 @@ from cairn.session import cut_lineage
 SLICE = "__slice"
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def position_within(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ordinal"
 ) -> DataFrame:
@@ -37,7 +33,8 @@ def position_within(
     With no keys this is the global rank.
     """
     sort_cols = [*keys, *order]
-    ranged = df.repartitionByRange(_partitions(df), *[F.col(c) for c in sort_cols])
+    # No fixed count: adaptive execution merges neighbouring ranges by size, which keeps their order.
+    ranged = df.repartitionByRange(*[F.col(c) for c in sort_cols])
     sliced = cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
 
     local = Window.partitionBy(SLICE, *keys).orderBy(*order)

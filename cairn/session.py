@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go when the plan that reads them is gone.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Call-site capture triples the cost of building large expressions in Python.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
