@@ -139,17 +139,14 @@ def eligibility(states: DataFrame) -> DataFrame:
     One row; no batches at all, or all of them verified, give a null number.
     The predecessor check is a join on number - 1.
     """
-    lowest = states.where(~F.col("is_verified")).agg(
-        F.min_by(
-            F.struct("batch_number", "batch_id", "current_batch_id", "has_preflight", "upload_id", "published", "status"),
-            "batch_number",
-        ).alias("b")
-    )
-    total = states.agg(F.count(F.lit(1)).alias("n_batches"))
+    open_batch = ~F.col("is_verified")
+    fields = F.struct("batch_number", "batch_id", "current_batch_id", "has_preflight", "upload_id", "published", "status")
+    one = states.agg(
+        F.min_by(F.when(open_batch, fields), F.when(open_batch, F.col("batch_number"))).alias("b"), F.count(F.lit(1)).alias("n_batches")
+    ).select("b.*", "n_batches")
     previous = states.select(
         (F.col("batch_number") + 1).alias("next_number"), F.col("is_verified").alias("previous_verified")
     )
-    one = lowest.crossJoin(F.broadcast(total)).select("b.*", "n_batches")  # one row on either side
     joined = one.join(previous, on=F.col("batch_number") == F.col("next_number"), how="left")
     reason = (
         F.when(F.col("n_batches") == 0, "no prepared batches")

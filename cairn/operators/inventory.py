@@ -196,11 +196,11 @@ def close_session(
 ) -> DataFrame:
     """Session row with the counters of one more batch added."""
     names = ("files_seen", "files_new", "files_unchanged", "files_changed", "files_restored", "files_marked_missing")
-    batch = counters.select(*[F.col(c).alias(f"b_{c}") for c in names])
-    joined = session.crossJoin(F.broadcast(batch))  # one row on either side
-    return joined.select(
-        "session_id", "generation", F.lit(status).alias("status"), "checkpoint_path",
-        *[(F.coalesce(F.col(c), F.lit(0)) + F.col(f"b_{c}")).alias(c) for c in names],
+    kept = ("session_id", "generation", "checkpoint_path", "created_utc")
+    both = session.select(*kept, *names).unionByName(counters.select(*names), allowMissingColumns=True)
+    added = both.agg(*[F.max(c).alias(c) for c in kept], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    return added.select(
+        "session_id", "generation", F.lit(status).alias("status"), "checkpoint_path", *names,
         F.lit(len(errors or [])).cast("long").alias("errors_count"),
         F.array(*[F.lit(e) for e in sorted(errors or [])]).cast("array<string>").alias("errors"),
         "created_utc", F.lit(now_utc).alias("updated_utc"),

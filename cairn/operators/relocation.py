@@ -63,17 +63,17 @@ def summary(records: DataFrame, checked: DataFrame) -> DataFrame:
     def n(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0))
 
-    totals = records.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        n(F.col("inventory_status") == PRESENT).alias("present_records"),
-        n(F.col("inventory_status") == MISSING).alias("missing_records"),
+    status, outcome = F.col("inventory_status"), F.col("outcome")
+    known = records.select(F.lit(True).alias("known"), "inventory_status")
+    tested = checked.select(F.lit(False).alias("known"), "outcome")
+    joined = known.unionByName(tested, allowMissingColumns=True).agg(
+        n(F.col("known")).alias("total_records"),
+        n(status == PRESENT).alias("present_records"),
+        n(status == MISSING).alias("missing_records"),
+        n(~F.col("known")).alias("validated"),
+        *[n(outcome == o).alias(f"n_{o}") for o in OUTCOMES],
+        n(outcome != "matched").alias("problems"),
     )
-    counts = checked.agg(
-        F.count(F.lit(1)).alias("validated"),
-        *[n(F.col("outcome") == o).alias(f"n_{o}") for o in OUTCOMES],
-        n(F.col("outcome") != "matched").alias("problems"),
-    )
-    joined = totals.crossJoin(F.broadcast(counts))  # one row on either side
     remaining = F.col("present_records") - F.col("validated")
     return joined.withColumn("remaining", remaining).withColumn(
         "complete", (remaining == 0) & (F.col("n_invalid") == 0)
