@@ -117,20 +117,30 @@ def related_files(
     return files.join(edges, on=["experiment_id", "path"], how="left")
 
 
-def artifact_derivations(artifacts: DataFrame, relationships: DataFrame, references: DataFrame) -> DataFrame:
-    """Distinct resolved ``derived_from`` pairs per artifact; both ends must resolve."""
-    owned = with_file_id(artifacts).where(F.col("file_id").isNotNull())
-    entities = owned.select(F.lit(FILE).alias("entity_type"), F.col("file_id").alias("entity_id"))
-    edges = edges_touching(relationships.where(F.col("predicate") == "derived_from"), entities)
+def artifact_derivations(
+    artifacts: DataFrame, relationships: DataFrame, references: DataFrame, few: bool = False
+) -> DataFrame:
+    """Distinct resolved ``derived_from`` pairs per artifact; both ends must resolve.
+
+    For whole tables each edge is resolved once and then handed to both of its
+    ends.  ``few`` is for a page of artifacts: the edges are reduced to those that
+    touch the page before anything is resolved.
+    """
+    owned = with_file_id(artifacts).where(F.col("file_id").isNotNull()).select("artifact_id", "file_id")
+    edges = relationships.where(F.col("predicate") == "derived_from")
+    if few:
+        entities = owned.select(F.lit(FILE).alias("entity_type"), F.col("file_id").alias("entity_id"))
+        edges = edges_touching(edges, entities).select(*relationships.columns).distinct()
     resolved = resolve_edges(edges, references).where(
         F.col("source_path").isNotNull() & F.col("target_path").isNotNull()
     )
+    ends = F.array_compact(F.array(*[F.when(F.col(f"{s}_type") == FILE, F.col(f"{s}_id")) for s in ("source", "target")]))
     pairs = resolved.select(
-        F.col("entity_id").alias("file_id"),
+        F.explode(F.array_distinct(ends)).alias("file_id"),
         F.col("source_path").alias("source"),
         F.col("target_path").alias("target"),
     ).distinct()
-    return owned.select("artifact_id", "file_id").join(pairs, on="file_id").drop("file_id")
+    return owned.join(pairs, on="file_id").drop("file_id")
 
 
 def device_experiment_ids(relationships: DataFrame, device_id: str | None = None) -> DataFrame:

@@ -204,6 +204,14 @@ def test_edges_touching_counts_a_self_edge_once(spark):
     assert sorted(r["relationship_id"] for r in lineage.edges_touching(edges, wanted).collect()) == ["1", "2", "3"]
 
 
+def test_artifact_derivations_for_pages_and_tables_agree(spark, linked, device_scan):
+    refs = lineage.file_references(linked.files, device_scan.artifacts)
+    edges = linkage.derived_from_edges(linked)
+    whole = sorted(tuple(r) for r in lineage.artifact_derivations(device_scan.artifacts, edges, refs).collect())
+    page = sorted(tuple(r) for r in lineage.artifact_derivations(device_scan.artifacts, edges, refs, few=True).collect())
+    assert whole == page and len(whole) == 6
+
+
 def experiments(spark):
     df = spark.createDataFrame(
         [("E1", "D1", 4.0, ["sample_id", "temperature_K"]), ("E2", None, None, ["sample_id", "temperature_K"]), ("E3", None, None, ["sample_id"]), ("E4", "", 5.0, ["sample_id", "temperature_K"])],
