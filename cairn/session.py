@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -33,7 +31,7 @@ def build_session(app: str = "cairn", master: str | None = None, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Checkpoint folder the cluster names; a private one only where none is named.
+    """Checkpoint folder the cluster names; below the warehouse only where none is named.
 
     The fallback serves local runs.  On a cluster the setting must point at
     storage every executor reaches, so a lost executor never loses a stage cut.
@@ -43,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not named and not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return context.getCheckpointDir()
 
 

@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as tool
+from cairn.plans import registry
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
-QUERIES, SQL = tool.queries(), tool.oracle_sql()
+QUERIES, SQL = registry.runnable(), registry.sql_texts()
 
 
 @pytest.fixture(scope="module")
