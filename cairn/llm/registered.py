@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import fingerprints, language, mixing, privacy, quality, secrets, tokens, toxicity
+from cairn.llm import fingerprints, jaccard, language, mixing, privacy, quality, secrets, tokens, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def runnable() -> dict[str, Plan]:
         for f in (
             secrets.op2_secrets,
             quality.op3_quality,
+            jaccard.op4_near_duplicates,
             language.op5_language,
             toxicity.op6_toxicity,
             tokens.op7_token_counts,
