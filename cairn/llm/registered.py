@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import fingerprints, jaccard, language, mixing, privacy, quality, secrets, tokens, toxicity
+from cairn.llm import decontamination, fingerprints, jaccard, language, mixing, privacy, quality, secrets, tokens, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def runnable() -> dict[str, Plan]:
     return {
         f.__name__: f
         for f in (
+            decontamination.op1_decontaminate,
             secrets.op2_secrets,
             quality.op3_quality,
             jaccard.op4_near_duplicates,
