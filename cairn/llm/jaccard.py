@@ -18,7 +18,7 @@ would collect everything, sign nothing.
 
 Signatures meet after one shuffle in sorted order.  A pass over each partition
 keeps buckets of two and more classes, once per distinct set of members.  Three
-rounds then find the links that join classes: each class with the least member of
+rounds then find the links that join classes: each class with the least members of
 its buckets, each component's least member of a bucket with the bucket's least,
 and all remaining pairs of a bucket between components, behind an exact bound
 (parity bits: each differing element flips at most one).  Pairs inside a component
@@ -81,6 +81,12 @@ def digest_of(elements: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(elements))], np.uint64)).view(np.int64)[0])
 
 
+def parity_of(elements: np.ndarray) -> np.ndarray:
+    """PARITY bits as words: a bit is odd when an odd number of elements falls on it."""
+    odd = np.bincount((mix(elements + _FACTORS[4]) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 # ---- signatures ---------------------------------------------------------------------
 
 
@@ -147,15 +153,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, digest (null for an empty set) of every row."""
+    """doc_id, n_shingles, digest (null for an empty set) and parity bits of every row."""
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
-        size, digest = [], []
+        size, digest, parity = [], [], []
         for a, b in blocks(offsets):
             for elements in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                 size.append(len(elements))
                 digest.append(digest_of(elements) if len(elements) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.int64())], names=["doc_id", "n_shingles", "digest"])
+                parity.append(parity_of(elements))
+        columns = [batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.int64()), pa.array(parity, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "parity"])
 
 
 # ---- buckets ------------------------------------------------------------------------
@@ -235,13 +243,13 @@ def _slot(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
 
 
-def class_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest, elements and parity words of the wanted classes, from one document of each.
+def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """digest and elements of the wanted classes, from one document of each.
 
     A bit map of fixed size over the hashed ids of those documents goes to the
     tasks, which build sets only for documents in it; an exact join follows.
     """
-    chosen = cut_lineage(described.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    chosen = cut_lineage(classes.join(wanted, "digest", "left_semi").select("digest", F.col("least_id").alias("doc_id")))
     marked = chosen.select(_slot(F.col("doc_id")).alias("slot")).groupBy(F.floor(F.col("slot") / 63).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 63 AS INT))")).alias("bits")).collect()
     bits = np.zeros(SLOTS // 63 + 1, np.int64)
     bits[[r["word"] for r in marked]] = [r["bits"] for r in marked]
@@ -256,25 +264,31 @@ def class_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> Data
             data, offsets = text_buffer(own.column("text"))
             for a, b in blocks(offsets):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                parity = []
-                for e in sets:
-                    odd = np.bincount((mix(e + _FACTORS[4]) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
-                    parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 columns = [
                     own.column("doc_id").slice(a, b - a).cast(pa.int64()),
                     pa.array([digest_of(e) if len(e) else None for e in sets], pa.int64()),
                     pa.array([e.view(np.int64) for e in sets], pa.list_(pa.int64())),
-                    pa.array(parity, pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "elements", "parity"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "elements"])
 
-    built = docs.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(build, "doc_id long, digest long, elements array<long>, parity array<long>")
+    built = docs.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(build, "doc_id long, digest long, elements array<long>")
     exact = built.join(chosen, (built["doc_id"].eqNullSafe(chosen["doc_id"])) & (built["digest"] == chosen["digest"]), "left_semi")
-    return cut_lineage(exact.dropDuplicates(["digest"]).select("digest", "elements", "parity", F.size("elements").alias("n")))
+    return exact.dropDuplicates(["digest"]).select("digest", "elements")
+
 
+def _possible(x: str, y: str) -> Column:
+    """A bound that no similar pair breaks: sizes, and parity bits flipped by differing elements."""
+    flips = sum((F.bit_count(F.get(f"{x}.parity", i).bitwiseXOR(F.get(f"{y}.parity", i))) for i in range(1, PARITY // 64)), F.bit_count(F.get(f"{x}.parity", 0).bitwiseXOR(F.get(f"{y}.parity", 0))))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * flips <= n + m)
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= 75 * union."""
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b), already within the bound, whose sets have 100 * intersection >= 75 * union."""
+    pairs = cut_lineage(pairs)
+    if not pairs.limit(1).count():
+        return pairs
+    sets = cut_lineage(class_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()))
     of = lambda x: sets.select(F.col("digest").alias(x), F.col("elements").alias(f"{x}_set"))
     met = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
@@ -282,6 +296,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut_lineage(met.where(100 * common >= 75 * union).select("a", "b"))
 
 
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that can be similar by size and parity."""
+    of = lambda x: classes.select(F.col("digest").alias(x), F.struct("n", "parity").alias(f"of_{x}"))
+    met = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+    return met.where(_possible("of_a", "of_b")).select("a", "b")
+
+
 def _labelled(found: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return found.withColumn("label", F.col("digest"))
@@ -289,46 +310,37 @@ def _labelled(found: DataFrame, labels: DataFrame | None) -> DataFrame:
     return met.withColumn("label", F.coalesce("label", "digest"))
 
 
-def links(docs: DataFrame, described: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that give the components of all links."""
     found = buckets(docs)
-    sets = class_sets(docs, described, found.select("digest").distinct())
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    star = found.where("digest <> least").groupBy("digest").agg(F.min("least").alias("least")).select(*pair("digest", "least"))
-    good = verified(star.distinct(), sets)
+    star = found.where("digest <> least").select(*pair("digest", "least"))
+    good = verified(_bounded(star, classes), docs, classes)
     labels = components(good)
 
     # Once more with a bucket's components in place of its members.
     mixed = _labelled(found, labels)
-    heads = mixed.groupBy("bucket", "label").agg(F.min("digest").alias("digest"))
-    least = heads.groupBy("bucket").agg(F.min(F.struct("digest", "label")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = heads.join(least, "bucket").where("label <> first.label").select(*pair(F.col("digest"), F.col("first.digest"))).distinct()
-    good = cut_lineage(good.union(verified(star, sets)))
+    heads = mixed.groupBy("bucket", "label").agg(F.min("digest").alias("digest"), F.min("least").alias("least"))
+    first = heads.groupBy("bucket").agg(F.min(F.struct("digest", "label")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    star = heads.join(first, "bucket").where("label <> first.label AND first.digest <> least").select(*pair(F.col("digest"), F.col("first.digest")))
+    good = cut_lineage(good.union(verified(_bounded(star, classes), docs, classes)))
     labels = components(good)
 
     # What is left: members of one bucket in different components.
     mixed = _labelled(found, labels)
-    open_ = mixed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high AND n > 2")
-    small = sets.select("digest", "n", *[F.get("parity", i).alias(f"p{i}") for i in range(PARITY // 64)])
-    members = cut_lineage(mixed.join(open_.select("bucket"), "bucket").join(small, "digest").select("bucket", "digest", "label", "n", *[f"p{i}" for i in range(PARITY // 64)]))
-    left, right = members.alias("x"), members.alias("y")
-    flips = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(1, PARITY // 64)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
-    near = (
-        (F.col("x.bucket") == F.col("y.bucket"))
-        & (F.col("x.digest") < F.col("y.digest"))
-        & (F.col("x.label") != F.col("y.label"))
-        & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n"))
-        & (7 * flips <= F.col("x.n") + F.col("y.n"))
-    )
-    rest = left.join(right, near).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
-    return cut_lineage(good.union(verified(rest, sets)))
+    mixed_up = mixed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high AND members > 2")
+    members = cut_lineage(mixed.join(mixed_up.select("bucket"), "bucket").join(classes, "digest").select("bucket", "digest", "label", "n", "parity"))
+    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label")) & _possible("x", "y")
+    rest = members.alias("x").join(members.alias("y"), near).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+    return cut_lineage(good.union(verified(rest, docs, classes)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    described = cut_lineage(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, digest long"))
-    classes = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"))
-    labels = components(links(docs, described))
+    described = cut_lineage(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, digest long, parity array<long>"))
+    classes = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.min("parity").alias("parity"))
+    classes = cut_lineage(classes)
+    labels = components(links(docs, classes))
     named = _labelled(classes, labels)
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_class = named.join(least, "label").select("digest", "component_id")
