@@ -44,7 +44,6 @@ from cairn.llm.common import blocks, cut_lineage, mix, shuffle_width, table, tex
 from cairn.llm.components import components
 
 WORDS = 5
-PARITY = 512
 SLOTS = 1 << 22
 HELD = 200_000
 KNOWN = 500_000
@@ -82,9 +81,17 @@ def digest_of(elements: np.ndarray) -> int:
 
 
 def parity_of(elements: np.ndarray) -> np.ndarray:
-    """PARITY bits as words: a bit is odd when an odd number of elements falls on it."""
-    odd = np.bincount((mix(elements + _FACTORS[4]) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """Parity bits as words: a bit is odd when an odd number of elements falls on it.
+
+    There are at least twice as many bits as elements, and a power of two, so the
+    bits of a larger set fold onto those of a smaller one.
+    """
+    bits = 64
+    while bits < 2 * len(elements):
+        bits *= 2
+    at = (mix(elements + _FACTORS[4]) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
 
 # ---- signatures ---------------------------------------------------------------------
@@ -276,11 +283,20 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     return exact.dropDuplicates(["digest"]).select("digest", "elements")
 
 
+def _flips(x: Column, y: Column) -> Column:
+    """Differing parity bits, the longer array folded onto the shorter one."""
+    folded = lambda v, w: F.when(F.size(v) > F.size(w), F.zip_with(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2).cast("int") + 1, (F.size(v) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))).otherwise(v)
+    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+
+
 def _possible(x: str, y: str) -> Column:
-    """A bound that no similar pair breaks: sizes, and parity bits flipped by differing elements."""
-    flips = sum((F.bit_count(F.get(f"{x}.parity", i).bitwiseXOR(F.get(f"{y}.parity", i))) for i in range(1, PARITY // 64)), F.bit_count(F.get(f"{x}.parity", 0).bitwiseXOR(F.get(f"{y}.parity", 0))))
+    """A bound that no similar pair breaks: sizes, and parity bits flipped by differing elements.
+
+    Similar sizes have bit counts that differ by a factor of two at most.
+    """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * flips <= n + m)
+    close = 4 * F.least(n, m) >= 3 * F.greatest(n, m)
+    return F.when(close, 7 * _flips(F.col(f"{x}.parity"), F.col(f"{y}.parity")) <= n + m).otherwise(False)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -315,20 +331,22 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     found = buckets(docs)
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     star = found.where("digest <> least").select(*pair("digest", "least"))
-    good = verified(_bounded(star, classes), docs, classes)
+    # One possible partner a class is enough here; the later rounds see every other pair.
+    star = _bounded(star, classes).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    good = verified(star, docs, classes)
     labels = components(good)
 
     # Once more with a bucket's components in place of its members.
     mixed = _labelled(found, labels)
-    heads = mixed.groupBy("bucket", "label").agg(F.min("digest").alias("digest"), F.min("least").alias("least"))
+    heads = mixed.groupBy("bucket", "label").agg(F.min("digest").alias("digest"))
     first = heads.groupBy("bucket").agg(F.min(F.struct("digest", "label")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = heads.join(first, "bucket").where("label <> first.label AND first.digest <> least").select(*pair(F.col("digest"), F.col("first.digest")))
+    star = heads.join(first, "bucket").where("label <> first.label").select(*pair(F.col("digest"), F.col("first.digest")))
     good = cut_lineage(good.union(verified(_bounded(star, classes), docs, classes)))
     labels = components(good)
 
     # What is left: members of one bucket in different components.
     mixed = _labelled(found, labels)
-    mixed_up = mixed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high AND members > 2")
+    mixed_up = mixed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     members = cut_lineage(mixed.join(mixed_up.select("bucket"), "bucket").join(classes, "digest").select("bucket", "digest", "label", "n", "parity"))
     near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label")) & _possible("x", "y")
     rest = members.alias("x").join(members.alias("y"), near).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
