@@ -44,6 +44,8 @@ from cairn.llm.common import blocks, cut_lineage, mix, shuffle_width, table, tex
 from cairn.llm.components import components
 
 WORDS = 5
+COARSE = 512
+ROUNDS = 3
 SLOTS = 1 << 22
 HELD = 200_000
 KNOWN = 500_000
@@ -80,15 +82,16 @@ def digest_of(elements: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(elements))], np.uint64)).view(np.int64)[0])
 
 
-def parity_of(elements: np.ndarray) -> np.ndarray:
+def parity_of(elements: np.ndarray, bits: int = 0) -> np.ndarray:
     """Parity bits as words: a bit is odd when an odd number of elements falls on it.
 
-    There are at least twice as many bits as elements, and a power of two, so the
-    bits of a larger set fold onto those of a smaller one.
+    Unless given, there are at least twice as many bits as elements, and a power
+    of two, so the bits of a larger set fold onto those of a smaller one.
     """
-    bits = 64
-    while bits < 2 * len(elements):
-        bits *= 2
+    if not bits:
+        bits = 64
+        while bits < 2 * len(elements):
+            bits *= 2
     at = (mix(elements + _FACTORS[4]) % np.uint64(bits)).astype(np.int64)
     odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
@@ -163,14 +166,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_shingles, digest (null for an empty set) and parity bits of every row."""
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
-        size, digest, parity = [], [], []
+        size, digest, parity, coarse = [], [], [], []
         for a, b in blocks(offsets):
             for elements in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                 size.append(len(elements))
                 digest.append(digest_of(elements) if len(elements) else None)
                 parity.append(parity_of(elements))
-        columns = [batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.int64()), pa.array(parity, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "parity"])
+                coarse.append(parity_of(elements, COARSE))
+        columns = [batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (parity, coarse))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "parity", "coarse"])
 
 
 # ---- buckets ------------------------------------------------------------------------
@@ -326,37 +330,52 @@ def _labelled(found: DataFrame, labels: DataFrame | None) -> DataFrame:
     return met.withColumn("label", F.coalesce("label", "digest"))
 
 
+def _open_buckets(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, digest, label of the buckets whose members lie in different components."""
+    mixed = _labelled(found.select("bucket", "digest"), labels)
+    several = mixed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return cut_lineage(mixed.join(several, "bucket").select("bucket", "digest", "label"))
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that give the components of all links."""
     found = buckets(docs)
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     star = found.where("digest <> least").select(*pair("digest", "least"))
-    # One possible partner a class is enough here; the later rounds see every other pair.
-    star = _bounded(star, classes).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    good = verified(star, docs, classes)
+    good = verified(_bounded(star, classes), docs, classes)
     labels = components(good)
-
-    # Once more with a bucket's components in place of its members.
-    mixed = _labelled(found, labels)
-    heads = mixed.groupBy("bucket", "label").agg(F.min("digest").alias("digest"))
-    first = heads.groupBy("bucket").agg(F.min(F.struct("digest", "label")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = heads.join(first, "bucket").where("label <> first.label").select(*pair(F.col("digest"), F.col("first.digest")))
-    good = cut_lineage(good.union(verified(_bounded(star, classes), docs, classes)))
-    labels = components(good)
-
-    # What is left: members of one bucket in different components.
-    mixed = _labelled(found, labels)
-    mixed_up = mixed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    members = cut_lineage(mixed.join(mixed_up.select("bucket"), "bucket").join(classes, "digest").select("bucket", "digest", "label", "n", "parity"))
-    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label")) & _possible("x", "y")
-    rest = members.alias("x").join(members.alias("y"), near).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
-    return cut_lineage(good.union(verified(rest, docs, classes)))
+    # A bucket of two classes was one pair, and that is done.
+    larger = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 2").select("bucket")
+    left = _open_buckets(found.join(larger, "bucket", "left_semi"), labels)
+
+    # Components of a bucket in place of its members, around another one of them each time.
+    for round_ in range(ROUNDS):
+        turn = F.xxhash64("digest", F.lit(round_))
+        heads = left.groupBy("bucket", "label").agg(F.min(F.struct(turn.alias("turn"), "digest")).alias("head"))
+        first = heads.groupBy("bucket").agg(F.min(F.struct("head", "label")).alias("first"))
+        star = heads.join(first, "bucket").where("label <> first.label").select(*pair(F.col("head.digest"), F.col("first.head.digest")))
+        more = verified(_bounded(star, classes), docs, classes)
+        if not more.limit(1).count():
+            break
+        good = cut_lineage(good.union(more))
+        labels = components(good)
+        left = _open_buckets(left.select("bucket", "digest"), labels)
+
+    # What is left: members of one bucket in different components, by sizes and coarse parity bits first.
+    words = range(COARSE // 64)
+    coarse = classes.select("digest", "n", *[F.get("coarse", i).alias(f"c{i}") for i in words])
+    members = left.join(coarse, "digest")
+    flips = sum((F.bit_count(F.col(f"x.c{i}").bitwiseXOR(F.col(f"y.c{i}"))) for i in words[1:]), F.bit_count(F.col("x.c0").bitwiseXOR(F.col("y.c0"))))
+    n, m = F.col("x.n"), F.col("y.n")
+    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label")) & (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * flips <= n + m)
+    rest = members.alias("x").join(members.alias("y"), near).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
+    return cut_lineage(good.union(verified(_bounded(rest, classes), docs, classes)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    described = cut_lineage(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, digest long, parity array<long>"))
-    classes = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.min("parity").alias("parity"))
+    described = cut_lineage(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, digest long, parity array<long>, coarse array<long>"))
+    classes = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.min("parity").alias("parity"), F.min("coarse").alias("coarse"))
     classes = cut_lineage(classes)
     labels = components(links(docs, classes))
     named = _labelled(classes, labels)
