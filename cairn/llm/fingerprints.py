@@ -224,9 +224,12 @@ def _pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     ids: list = []
     texts: list[str] = []
-    size, strip = 0, None
+    size, strip, closed = 0, None, None
     for frame in frames:
-        for now, doc_id, text in zip(frame["strip"], frame["doc_id"], frame["text"]):
+        for now, guest, doc_id, text in zip(frame["strip"], frame["guest"], frame["doc_id"], frame["text"]):
+            if now == closed:
+                continue  # equal rows at a bound are all guests, and the first one counts
+            closed = now if guest else None
             if now != strip or size > PIECE_BYTES:
                 if len(texts) > 1:
                     yield compare(ids, texts)

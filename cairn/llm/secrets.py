@@ -103,7 +103,9 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """Every document with its base results and all spans: base ones and linked weak ones."""
     found = cut_lineage(find_parts(docs))
     added = linked_spans(found, reach).groupBy("text_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
-    joined = found.join(added, "text_key", "left")
+    # Only rows with parts meet the join; the others have no key and would all fall into one task.
+    keyed_rows = found.where("text_key IS NOT NULL").join(added, "text_key", "left").select(*found.columns, "added")
+    joined = keyed_rows.unionByName(found.where("text_key IS NULL"), allowMissingColumns=True)
     base = F.filter("parts", lambda p: p["kind"].isin(*BASE))
     rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k).cast("int")
     keyed = F.transform(F.concat(base, F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))), lambda p: F.struct(p["start"].alias("start"), rank(p["kind"]).alias("rank"), p["kind"].alias("kind"), p["end"].alias("end")))
@@ -131,10 +133,12 @@ def redact(docs: DataFrame, mark: str = "<secret>", reach: int = REACH) -> DataF
     spans = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     spans = found.select("text_key", spans.alias("spans")).dropDuplicates(["text_key"])
     spans = spans.mapInPandas(_merge, "text_key string, spans array<struct<start:int,end:int>>")
+    # Names that no table uses; the table's own columns stay as they are.
+    spans = spans.select(F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))
-    met = docs.withColumn("text_key", key).join(spans, "text_key", "left")
-    put = F.aggregate("spans", F.col("text"), lambda text, s: F.overlay(text, F.lit(mark), s["start"] + 1, s["end"] - s["start"]))
-    changed = F.col("spans").isNotNull()
+    met = docs.withColumn("__key", key).join(spans, "__key", "left")
+    changed = F.col("__spans").isNotNull()
+    put = F.aggregate("__spans", F.col("text"), lambda text, s: F.overlay(text, F.lit(mark), s["start"] + 1, s["end"] - s["start"]))
     out = met.withColumn("text", F.when(changed, put).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
