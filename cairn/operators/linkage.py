@@ -225,7 +225,7 @@ def derive_experiments(devices: DataFrame, artifacts: DataFrame, reviewed: DataF
         for name, suffix in FIGURE_VARIANTS.items()
     }
     minima = {"first_path": F.col("relative_path"), "local_device_id": F.col("local_device_id")}
-    groups = merge_variants(group_variants(with_readings(files), keys, minima, variants))
+    groups = merge_variants(group_variants(with_readings(files), keys, minima, variants), warn_figures=False)
     numbered = number_experiments(_name_unresolved(groups, files, keys))
     ids_only = numbered.select("device_id", "unresolved", "canonical", "experiment_id")
     file_rows = files.join(ids_only, on=["device_id", "unresolved", "canonical"]).select(
@@ -318,11 +318,9 @@ def reviewed_claims(linked: Linked, reviewed: DataFrame) -> DataFrame:
     """
     raw = linked.files.where(F.col("role") == "raw").withColumn("raw_stem", F.col("stem"))
     first = raw.join(reviewed, on="raw_stem").groupBy("processed_stem", "raw_stem").agg(
-        F.min(F.struct("relative_path", "storage_source_id", "experiment_id")).alias("f"),
-        F.first("source_reference").alias("source_reference"),
-        F.first("evidence").alias("evidence"),
+        F.min(F.struct("relative_path", "storage_source_id", "experiment_id", "source_reference", "evidence")).alias("f")
     )
-    owned = first.select("*", F.col("f.experiment_id").alias("experiment_id")).join(
+    owned = first.select("*", "f.experiment_id", "f.source_reference", "f.evidence").join(
         linked.experiments.select("experiment_id", "device_id"), on="experiment_id"
     )
     value = F.to_json(F.struct("device_id", "experiment_id", F.col("f.relative_path").alias("raw_relative_path")))

@@ -121,7 +121,7 @@ def group_variants(
     )
 
 
-def merge_variants(grouped: DataFrame) -> DataFrame:
+def merge_variants(grouped: DataFrame, warn_figures: bool = True) -> DataFrame:
     """Replace ``variants`` by merged metadata columns and ``warnings``.
 
     A scalar survives only when the group has exactly one distinct value;
@@ -157,8 +157,9 @@ def merge_variants(grouped: DataFrame) -> DataFrame:
         conflict_note(f, F.col(f"__v_{f}")) for f in (*METADATA_FIELDS, *gates.ELECTRICAL_SCALARS)
     ]
     split_at = len(METADATA_FIELDS)
+    # Only the scan warns of lone figures; linkage derives experiments from figures, too.
     figures_only = F.when(
-        (F.col("n_figure") > 0) & (F.col("n_raw") == 0) & (F.col("n_processed") == 0),
+        F.lit(warn_figures) & (F.col("n_figure") > 0) & (F.col("n_raw") == 0) & (F.col("n_processed") == 0),
         F.lit(FIGURES_ONLY),
     )
     notes = F.concat(

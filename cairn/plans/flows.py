@@ -178,8 +178,10 @@ def apply_linkage(tables: dict[str, DataFrame], linked: linkage.Linked, reviewed
     if reviewed is not None:
         new_claims = new_claims.unionByName(linkage.reviewed_claims(linked, reviewed).withColumn("__rank", F.lit(2)))
     last = base_claims.groupBy("subject_type", "subject_id").agg(F.max("ordinal").alias("__last"))
-    numbered = new_claims.join(last, on=["subject_type", "subject_id"], how="left").withColumn(
-        "ordinal", (F.coalesce("__last", F.lit(0)) + F.col("__rank")).cast("long")
+    # Positions, not ranks: an experiment may hold several reviewed raw files.
+    placed = position_within(new_claims.drop("ordinal"), ["subject_type", "subject_id"], ["__rank", "field", "value_json", "source_reference"])
+    numbered = placed.withColumnRenamed("ordinal", "__place").join(last, on=["subject_type", "subject_id"], how="left").withColumn(
+        "ordinal", (F.coalesce("__last", F.lit(0)) + F.col("__place") + 1).cast("long")
     )
     new_edges = shape(
         linkage.measured_on_edges(linked.experiments).unionByName(linkage.derived_from_edges(linked)), "relationships"

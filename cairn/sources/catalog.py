@@ -20,7 +20,10 @@ COMMIT_SCHEMA = "version long, note string"
 def _commits(spark: SparkSession, root: str) -> DataFrame | None:
     try:
         return spark.read.schema(COMMIT_SCHEMA).json(f"{root}/commits/*")
-    except AnalysisException:
+    except AnalysisException as error:
+        # Anything else must not look like an empty catalog: the next write would start over.
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

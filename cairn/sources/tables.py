@@ -24,14 +24,15 @@ def _rows(text: str, mark: str | None) -> list[list[str]]:
     return list(csv.reader(io.StringIO(text), delimiter=mark))
 
 
-def read_cells(files: DataFrame, policy: PreviewPolicy = POLICY, table_bytes: int | None = TABLE_BYTES) -> DataFrame:
+def read_cells(files: DataFrame, policy: PreviewPolicy = POLICY, table_bytes: int | None = None) -> DataFrame:
     """(relative_path, row, col, cell) of text tables, header as row 0.
 
-    The policy's row and column counts define what a preview shows; pass
-    ``None`` for the byte cap and a wider policy to read whole tables.
+    The policy's row and column counts define what a preview shows; a
+    wider policy reads whole tables.  Files are read to their end unless
+    ``table_bytes`` asks for their start only; invalid bytes become U+FFFD.
     """
     body = F.col("content") if table_bytes is None else F.substring(F.col("content"), 1, table_bytes)
-    text = F.regexp_replace(F.decode(body, "UTF-8"), "^\\x{FEFF}", "")
+    text = F.regexp_replace(F.make_valid_utf8(body.cast("string")), "^\\x{FEFF}", "")
     decoded = files.where("content is not null").select("relative_path", text.alias("text"))
     marked = decoded.withColumn("mark", delimiter(F.substring("text", 1, SAMPLE_CHARS)))
     height, width = policy.table_rows + 1, policy.table_columns
