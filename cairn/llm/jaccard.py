@@ -17,13 +17,15 @@ most ``k`` and meet there.  No similar pair is missed, and empty partitions, whi
 would collect everything, sign nothing.
 
 Signatures meet after one shuffle in sorted order.  A pass over each partition
-keeps buckets of two and more classes, once per distinct set of members.  Three
-rounds then find the links that join classes: each class with the least members of
-its buckets, each component's least member of a bucket with the bucket's least,
-and all remaining pairs of a bucket between components, behind an exact bound
-(parity bits: each differing element flips at most one).  Pairs inside a component
-need no check, they are connected already.  Every candidate is verified on whole
-sets.
+keeps buckets of two and more classes, once per distinct set of members.  Each
+bucket has a pivot, and only its pairs with the pivot are checked, behind an exact
+bound (parity bits: each differing element flips at most one) and then on whole
+sets.  Members that these links leave in different components can only be similar
+if they share an element outside the pivot, so they meet again in smaller buckets
+under such elements, rare ones first, until no bucket joins two components.  The
+pivot is by turns the member of most buckets, near which a group of near copies
+lies, and the smallest set.  When a turn leaves more than nine tenths of the rows of the buckets,
+the remaining pairs between components are checked one by one.
 
 Cases: texts of fewer than 5 words have one shingle, the whole sequence; null and
 empty texts have none and stand alone; equal texts are one class; a repeated id
@@ -44,9 +46,7 @@ from cairn.llm.common import blocks, cut_lineage, mix, shuffle_width, table, tex
 from cairn.llm.components import components
 
 WORDS = 5
-COARSE = 512
-ROUNDS = 3
-SLOTS = 1 << 22
+SLOTS = 1 << 22  # a power of two
 HELD = 200_000
 KNOWN = 500_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -82,16 +82,15 @@ def digest_of(elements: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(elements))], np.uint64)).view(np.int64)[0])
 
 
-def parity_of(elements: np.ndarray, bits: int = 0) -> np.ndarray:
+def parity_of(elements: np.ndarray) -> np.ndarray:
     """Parity bits as words: a bit is odd when an odd number of elements falls on it.
 
-    Unless given, there are at least twice as many bits as elements, and a power
+    There are at least twice as many bits as elements, and a power
     of two, so the bits of a larger set fold onto those of a smaller one.
     """
-    if not bits:
-        bits = 64
-        while bits < 2 * len(elements):
-            bits *= 2
+    bits = 64
+    while bits < 2 * len(elements):
+        bits *= 2
     at = (mix(elements + _FACTORS[4]) % np.uint64(bits)).astype(np.int64)
     odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
@@ -166,22 +165,21 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_shingles, digest (null for an empty set) and parity bits of every row."""
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
-        size, digest, parity, coarse = [], [], [], []
+        size, digest, parity = [], [], []
         for a, b in blocks(offsets):
             for elements in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                 size.append(len(elements))
                 digest.append(digest_of(elements) if len(elements) else None)
                 parity.append(parity_of(elements))
-                coarse.append(parity_of(elements, COARSE))
-        columns = [batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (parity, coarse))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "parity", "coarse"])
+        columns = [batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.int64()), pa.array(parity, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "parity"])
 
 
 # ---- buckets ------------------------------------------------------------------------
 
 
 def _bucket_rows(signature: np.ndarray, digest: np.ndarray, known: set[int]) -> pa.RecordBatch | None:
-    """Rows (bucket, digest, least) of the buckets with two classes and more, once per set of members."""
+    """Rows (bucket, digest) of the buckets with two classes and more, once per set of members."""
     fresh = np.ones(len(digest), bool)
     fresh[1:] = (signature[1:] != signature[:-1]) | (digest[1:] != digest[:-1])
     signature, digest = signature[fresh], digest[fresh]
@@ -200,8 +198,7 @@ def _bucket_rows(signature: np.ndarray, digest: np.ndarray, known: set[int]) ->
         known.clear()  # a bucket named twice only repeats rows
     known.update(names[at].tolist())
     keep = np.repeat(np.isin(np.arange(len(starts)), at), sizes)
-    columns = [np.repeat(names[at], sizes[at]), digest[keep], np.repeat(digest[starts[at]], sizes[at])]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "digest", "least"])
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at], sizes[at])), pa.array(digest[keep])], names=["bucket", "digest"])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,16 +209,16 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     known: set[int] = set()
     held_s, held_d = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    streaming: tuple[int, int] | None = None
+    streaming: int | None = None
     for batch in batches:
         s = np.concatenate([held_s, batch.column("signature").to_numpy()])
         d = np.concatenate([held_d, batch.column("digest").to_numpy()])
         if not len(s):
             continue
         if streaming is not None:
-            n = int(np.searchsorted(s, streaming[0], "right")) if s[0] == streaming[0] else 0
+            n = int(np.searchsorted(s, streaming, "right")) if s[0] == streaming else 0
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(s[:n]), pa.array(d[:n]), pa.array(np.full(n, streaming[1]))], names=["bucket", "digest", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(s[:n]), pa.array(d[:n])], names=["bucket", "digest"])
             s, d = s[n:], d[n:]
             if not len(s):
                 held_s, held_d = s, d
@@ -232,19 +229,19 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows
         held_s, held_d = s[last:], d[last:]
         if len(held_s) > HELD:
-            streaming = int(held_s[0]), int(held_d[0])
-            yield pa.RecordBatch.from_arrays([pa.array(held_s), pa.array(held_d), pa.array(np.full(len(held_s), streaming[1]))], names=["bucket", "digest", "least"])
+            streaming = int(held_s[0])
+            yield pa.RecordBatch.from_arrays([pa.array(held_s), pa.array(held_d)], names=["bucket", "digest"])
             held_s, held_d = held_s[:0], held_d[:0]
     if len(held_s) and streaming is None and (rows := _bucket_rows(held_s, held_d, known)) is not None:
         yield rows
 
 
 def buckets(docs: DataFrame) -> DataFrame:
-    """bucket, digest, least: the classes that share signatures."""
+    """bucket, digest: the classes that share signatures."""
     width = shuffle_width(docs.sparkSession)
     signed = docs.select("text").mapInArrow(_sign, "signature long, digest long")
     ordered = signed.repartition(width, "signature").sortWithinPartitions("signature", "digest")
-    return cut_lineage(ordered.mapInArrow(_gather, "bucket long, digest long, least long").distinct())
+    return cut_lineage(ordered.mapInArrow(_gather, "bucket long, digest long").distinct())
 
 
 # ---- verification -------------------------------------------------------------------
@@ -323,59 +320,116 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.where(_possible("of_a", "of_b")).select("a", "b")
 
 
-def _labelled(found: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return found.withColumn("label", F.col("digest"))
+def _labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
     met = found.join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     return met.withColumn("label", F.coalesce("label", "digest"))
 
 
-def _open_buckets(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, digest, label of the buckets whose members lie in different components."""
-    mixed = _labelled(found.select("bucket", "digest"), labels)
-    several = mixed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    return cut_lineage(mixed.join(several, "bucket").select("bucket", "digest", "label"))
+# ---- pivots -------------------------------------------------------------------------
+
+
+def _spokes(found: DataFrame, classes: DataFrame, central: bool) -> DataFrame:
+    """pivot, digest: the members of each bucket with its pivot, the member of most buckets or else the smallest set."""
+    if central:
+        weights = found.groupBy("digest").agg((-F.count(F.lit(1))).alias("rank"))
+    else:
+        weights = classes.select("digest", F.col("n").alias("rank"))
+    ranked = found.join(weights, "digest")
+    pivots = ranked.groupBy("bucket").agg(F.min(F.struct("rank", "digest")).alias("first")).select("bucket", F.col("first.digest").alias("pivot"))
+    return cut_lineage(found.join(pivots, "bucket").where("digest <> pivot").select("pivot", "digest").distinct())
+
+
+def outside(elements: np.ndarray, pivot: np.ndarray, least: int, level: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The elements outside the pivot that a partner must share one of, and whether a partner may share none.
+
+    Similar sets x and y share 3/7 (|x| + |y|) elements, at most min(|x & p|, |y & p|)
+    of them in the pivot p, so at least 3/7 (|x| + |y|) - |x & p| outside.  ``least``
+    is the size of the smallest possible partner; rare elements come first.
+    """
+    n = len(elements)
+    own = np.setdiff1d(elements, pivot, assume_unique=True)
+    shared = n - len(own)
+    least = max(least, -(-3 * n // 4))
+    needed = -(-3 * (n + least) // 7) - shared
+    order = np.lexsort((own, level[(own % np.uint64(len(level))).astype(np.int64)]))
+    return own[order][: max(0, len(own) - max(1, needed) + 1)], needed <= 0
+
+
+def _levels(sets: DataFrame) -> np.ndarray:
+    """How often elements occur, as powers of two for a fixed number of slots; it orders elements and drops none."""
+    slot = F.col("element").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    counted = sets.select(F.explode("elements").alias("element")).select(slot.alias("slot")).groupBy("slot").agg(F.log2(F.count(F.lit(1))).cast("int").alias("level")).where("level > 1").toArrow()
+    level = np.zeros(SLOTS, np.uint8)
+    level[counted.column("slot").to_numpy()] = counted.column("level").to_numpy()
+    return level
+
+
+def refined(spokes: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, digest: smaller buckets in which all links between members of different components lie.
+
+    Members of a pivot's buckets meet again under an element outside the pivot.
+    Those with so much of the pivot that they need no other element meet under one
+    key of the pivot.  The pivot itself is in none of them, so buckets end.
+    """
+    named = _labelled(spokes, labels).join(classes.select("digest", "n"), "digest")
+    several = named.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low <> high").select("pivot", "least")
+    open_ = cut_lineage(named.join(several, "pivot").select("pivot", "digest", "label", "least"))
+    sets = cut_lineage(class_sets(docs, classes, open_.select(F.explode(F.array("pivot", "digest")).alias("digest")).distinct()))
+    level = _levels(sets)
+
+    def split(batches):
+        for batch in batches:
+            pivots = batch.column("pivot").to_numpy().view(np.uint64)
+            members, centres = batch.column("elements"), batch.column("pivot_elements")
+            keys, digests, names = [], [], []
+            digest, label, least = (batch.column(c).to_numpy() for c in ("digest", "label", "least"))
+            for i, pivot in enumerate(pivots):
+                of = lambda column: column[i].values.to_numpy().view(np.uint64)  # noqa: E731, B023
+                own, core = outside(of(members), of(centres), int(least[i]), level)
+                found = np.append(own, pivot) if core else own
+                keys.append(mix(found * _FACTORS[1] + mix(np.array([pivot], np.uint64))))
+                digests.append(np.full(len(found), digest[i]))
+                names.append(np.full(len(found), label[i]))
+            if keys:
+                columns = [np.concatenate(keys).view(np.int64), np.concatenate(digests), np.concatenate(names)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "digest", "label"])
+
+    met = open_.join(sets, "digest").join(sets.select(F.col("digest").alias("pivot"), F.col("elements").alias("pivot_elements")), "pivot")
+    keyed = cut_lineage(met.mapInArrow(split, "bucket long, digest long, label long"))
+    # Of buckets with equal members one is enough.
+    member = F.xxhash64("digest").cast("decimal(38, 0)")
+    mixed = keyed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(member).alias("members"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    kept = mixed.groupBy("members", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return cut_lineage(keyed.join(kept, "bucket").select("bucket", "digest"))
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that give the components of all links."""
-    found = buckets(docs)
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    star = found.where("digest <> least").select(*pair("digest", "least"))
-    good = verified(_bounded(star, classes), docs, classes)
-    labels = components(good)
-    # A bucket of two classes was one pair, and that is done.
-    larger = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 2").select("bucket")
-    left = _open_buckets(found.join(larger, "bucket", "left_semi"), labels)
-
-    # Components of a bucket in place of its members, around another one of them each time.
-    for round_ in range(ROUNDS):
-        turn = F.xxhash64("digest", F.lit(round_))
-        heads = left.groupBy("bucket", "label").agg(F.min(F.struct(turn.alias("turn"), "digest")).alias("head"))
-        first = heads.groupBy("bucket").agg(F.min(F.struct("head", "label")).alias("first"))
-        star = heads.join(first, "bucket").where("label <> first.label").select(*pair(F.col("head.digest"), F.col("first.head.digest")))
+    left, good, turn, before = buckets(docs), None, 0, 0
+    while True:
+        spokes = _spokes(left, classes, central=turn % 2 == 0)
+        star = spokes.select(F.least("pivot", "digest").alias("a"), F.greatest("pivot", "digest").alias("b"))
         more = verified(_bounded(star, classes), docs, classes)
-        if not more.limit(1).count():
-            break
-        good = cut_lineage(good.union(more))
+        good = more if good is None else cut_lineage(good.union(more))
         labels = components(good)
-        left = _open_buckets(left.select("bucket", "digest"), labels)
-
-    # What is left: members of one bucket in different components, by sizes and coarse parity bits first.
-    words = range(COARSE // 64)
-    coarse = classes.select("digest", "n", *[F.get("coarse", i).alias(f"c{i}") for i in words])
-    members = left.join(coarse, "digest")
-    flips = sum((F.bit_count(F.col(f"x.c{i}").bitwiseXOR(F.col(f"y.c{i}"))) for i in words[1:]), F.bit_count(F.col("x.c0").bitwiseXOR(F.col("y.c0"))))
+        left = refined(spokes, labels, docs, classes)
+        rows = left.count()
+        if not rows:
+            return good
+        if turn and 10 * rows > 9 * before:
+            break
+        turn, before = turn + 1, rows
+    members = _labelled(left, labels).join(classes.select("digest", "n"), "digest")
     n, m = F.col("x.n"), F.col("y.n")
-    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label")) & (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * flips <= n + m)
+    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label")) & (4 * F.least(n, m) >= 3 * F.greatest(n, m))
     rest = members.alias("x").join(members.alias("y"), near).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
     return cut_lineage(good.union(verified(_bounded(rest, classes), docs, classes)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    described = cut_lineage(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, digest long, parity array<long>, coarse array<long>"))
-    classes = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.min("parity").alias("parity"), F.min("coarse").alias("coarse"))
+    described = cut_lineage(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, digest long, parity array<long>"))
+    classes = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.min("parity").alias("parity"))
     classes = cut_lineage(classes)
     labels = components(links(docs, classes))
     named = _labelled(classes, labels)
