@@ -24,8 +24,8 @@ sets.  Members that these links leave in different components can only be simila
 if they share an element outside the pivot, so they meet again in smaller buckets
 under such elements, rare ones first, until no bucket joins two components.  The
 pivot is by turns the member of most buckets, near which a group of near copies
-lies, and the smallest set.  When a turn leaves more than nine tenths of the rows of the buckets,
-the remaining pairs between components are checked one by one.
+lies, and the smallest set.  When a turn leaves more than nine tenths of the rows of the
+buckets, the remaining pairs between components are checked one by one.
 
 Cases: texts of fewer than 5 words have one shingle, the whole sequence; null and
 empty texts have none and stand alone; equal texts are one class; a repeated id
@@ -46,7 +46,8 @@ from cairn.llm.common import blocks, cut_lineage, mix, shuffle_width, table, tex
 from cairn.llm.components import components
 
 WORDS = 5
-SLOTS = 1 << 22  # a power of two
+SLOTS = 1 << 22
+LEVELS = 1 << 18
 HELD = 200_000
 KNOWN = 500_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -236,14 +237,16 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows
 
 
-def buckets(docs: DataFrame) -> DataFrame:
+def _met(signed: DataFrame) -> DataFrame:
     """bucket, digest: the classes that share signatures."""
-    width = shuffle_width(docs.sparkSession)
-    signed = docs.select("text").mapInArrow(_sign, "signature long, digest long")
-    ordered = signed.repartition(width, "signature").sortWithinPartitions("signature", "digest")
+    ordered = signed.repartition(shuffle_width(signed.sparkSession), "signature").sortWithinPartitions("signature", "digest")
     return cut_lineage(ordered.mapInArrow(_gather, "bucket long, digest long").distinct())
 
 
+def buckets(docs: DataFrame) -> DataFrame:
+    return _met(docs.select("text").mapInArrow(_sign, "signature long, digest long"))
+
+
 # ---- verification -------------------------------------------------------------------
 
 
@@ -251,13 +254,12 @@ def _slot(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
 
 
-def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest and elements of the wanted classes, from one document of each.
+def _chosen_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, digest and elements of the documents of ``chosen`` (digest, doc_id), and of few others.
 
     A bit map of fixed size over the hashed ids of those documents goes to the
-    tasks, which build sets only for documents in it; an exact join follows.
+    tasks, which build sets only for documents in it.
     """
-    chosen = cut_lineage(classes.join(wanted, "digest", "left_semi").select("digest", F.col("least_id").alias("doc_id")))
     marked = chosen.select(_slot(F.col("doc_id")).alias("slot")).groupBy(F.floor(F.col("slot") / 63).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 63 AS INT))")).alias("bits")).collect()
     bits = np.zeros(SLOTS // 63 + 1, np.int64)
     bits[[r["word"] for r in marked]] = [r["bits"] for r in marked]
@@ -279,7 +281,18 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "elements"])
 
-    built = docs.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(build, "doc_id long, digest long, elements array<long>")
+    return docs.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(build, "doc_id long, digest long, elements array<long>")
+
+
+def _chosen(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """digest and doc_id: one document of each wanted class."""
+    return cut_lineage(classes.join(wanted, "digest", "left_semi").select("digest", F.col("least_id").alias("doc_id")))
+
+
+def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """digest and elements of the wanted classes, each once."""
+    chosen = _chosen(classes, wanted)
+    built = _chosen_sets(docs, chosen)
     exact = built.join(chosen, (built["doc_id"].eqNullSafe(chosen["doc_id"])) & (built["digest"] == chosen["digest"]), "left_semi")
     return exact.dropDuplicates(["digest"]).select("digest", "elements")
 
@@ -339,27 +352,50 @@ def _spokes(found: DataFrame, classes: DataFrame, central: bool) -> DataFrame:
     return cut_lineage(found.join(pivots, "bucket").where("digest <> pivot").select("pivot", "digest").distinct())
 
 
-def outside(elements: np.ndarray, pivot: np.ndarray, least: int, level: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The elements outside the pivot that a partner must share one of, and whether a partner may share none.
+def filter_of(elements: np.ndarray) -> np.ndarray:
+    """Bits that hold every element: a power of two of them, at least eight an element."""
+    bits = 64
+    while bits < 8 * len(elements):
+        bits *= 2
+    held = np.zeros(bits, bool)
+    held[(mix(elements + _FACTORS[2]) % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little")
+
+
+def outside(elements: np.ndarray, bits: np.ndarray, least: int, level: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The elements outside a pivot's filter that a partner must share one of, and whether a partner may share none.
 
-    Similar sets x and y share 3/7 (|x| + |y|) elements, at most min(|x & p|, |y & p|)
-    of them in the pivot p, so at least 3/7 (|x| + |y|) - |x & p| outside.  ``least``
-    is the size of the smallest possible partner; rare elements come first.
+    Let P be all that the filter holds, the pivot and a few more.  Similar sets x
+    and y share 3/7 (|x| + |y|) elements, at most min(|x & P|, |y & P|) of them in P,
+    so at least 3/7 (|x| + |y|) - |x & P| outside.  ``least`` is the size of the
+    smallest possible partner; rare elements come first.
     """
     n = len(elements)
-    own = np.setdiff1d(elements, pivot, assume_unique=True)
-    shared = n - len(own)
+    at = (mix(elements + _FACTORS[2]) % np.uint64(8 * len(bits))).astype(np.int64)
+    own = elements[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 0]
     least = max(least, -(-3 * n // 4))
-    needed = -(-3 * (n + least) // 7) - shared
-    order = np.lexsort((own, level[(own % np.uint64(len(level))).astype(np.int64)]))
+    needed = -(-3 * (n + least) // 7) - (n - len(own))
+    order = np.lexsort((own, level[(own % np.uint64(LEVELS)).astype(np.int64)]))
     return own[order][: max(0, len(own) - max(1, needed) + 1)], needed <= 0
 
 
+def _unsigned(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy().view(np.uint64)
+
+
 def _levels(sets: DataFrame) -> np.ndarray:
     """How often elements occur, as powers of two for a fixed number of slots; it orders elements and drops none."""
-    slot = F.col("element").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-    counted = sets.select(F.explode("elements").alias("element")).select(slot.alias("slot")).groupBy("slot").agg(F.log2(F.count(F.lit(1))).cast("int").alias("level")).where("level > 1").toArrow()
-    level = np.zeros(SLOTS, np.uint8)
+
+    def count(batches):
+        total = np.zeros(LEVELS, np.int64)
+        for batch in batches:
+            column = batch.column("elements")
+            total += np.bincount((column.flatten().to_numpy().view(np.uint64) % np.uint64(LEVELS)).astype(np.int64), minlength=LEVELS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
+
+    counted = sets.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.log2(F.sum("n")).cast("int").alias("level")).toArrow()
+    level = np.zeros(LEVELS, np.uint8)
     level[counted.column("slot").to_numpy()] = counted.column("level").to_numpy()
     return level
 
@@ -369,38 +405,38 @@ def refined(spokes: DataFrame, labels: DataFrame, docs: DataFrame, classes: Data
 
     Members of a pivot's buckets meet again under an element outside the pivot.
     Those with so much of the pivot that they need no other element meet under one
-    key of the pivot.  The pivot itself is in none of them, so buckets end.
+    key of the pivot.  The pivot itself is in none of them.
     """
     named = _labelled(spokes, labels).join(classes.select("digest", "n"), "digest")
     several = named.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low <> high").select("pivot", "least")
-    open_ = cut_lineage(named.join(several, "pivot").select("pivot", "digest", "label", "least"))
-    sets = cut_lineage(class_sets(docs, classes, open_.select(F.explode(F.array("pivot", "digest")).alias("digest")).distinct()))
+    open_ = cut_lineage(named.join(several, "pivot").select("pivot", "digest", "least"))
+    sets = _chosen_sets(docs, _chosen(classes, open_.select("digest").distinct())).where("digest IS NOT NULL").select("digest", "elements")
+    centres = _chosen_sets(docs, _chosen(classes, open_.select(F.col("pivot").alias("digest")).distinct())).where("digest IS NOT NULL")
     level = _levels(sets)
 
+    def reduce(batches):
+        for batch in batches:
+            column = batch.column("elements")
+            held = [filter_of(_unsigned(column, i)).tobytes() for i in range(len(column))]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(held, pa.binary())], names=["pivot", "bits"])
+
     def split(batches):
         for batch in batches:
-            pivots = batch.column("pivot").to_numpy().view(np.uint64)
-            members, centres = batch.column("elements"), batch.column("pivot_elements")
-            keys, digests, names = [], [], []
-            digest, label, least = (batch.column(c).to_numpy() for c in ("digest", "label", "least"))
-            for i, pivot in enumerate(pivots):
-                of = lambda column: column[i].values.to_numpy().view(np.uint64)  # noqa: E731, B023
-                own, core = outside(of(members), of(centres), int(least[i]), level)
-                found = np.append(own, pivot) if core else own
-                keys.append(mix(found * _FACTORS[1] + mix(np.array([pivot], np.uint64))))
-                digests.append(np.full(len(found), digest[i]))
-                names.append(np.full(len(found), label[i]))
+            pivots, digest, least = (batch.column(c).to_numpy() for c in ("pivot", "digest", "least"))
+            elements, bits = batch.column("elements"), batch.column("bits")
+            keys = []
+            for i, pivot in enumerate(pivots.view(np.uint64)):
+                own, core = outside(_unsigned(elements, i), np.frombuffer(bits[i].as_py(), np.uint8), int(least[i]), level)
+                keys.append(mix((np.append(own, pivot) if core else own) * _FACTORS[1] + mix(np.array([pivot], np.uint64))))
             if keys:
-                columns = [np.concatenate(keys).view(np.int64), np.concatenate(digests), np.concatenate(names)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "digest", "label"])
-
-    met = open_.join(sets, "digest").join(sets.select(F.col("digest").alias("pivot"), F.col("elements").alias("pivot_elements")), "pivot")
-    keyed = cut_lineage(met.mapInArrow(split, "bucket long, digest long, label long"))
-    # Of buckets with equal members one is enough.
-    member = F.xxhash64("digest").cast("decimal(38, 0)")
-    mixed = keyed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(member).alias("members"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    kept = mixed.groupBy("members", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return cut_lineage(keyed.join(kept, "bucket").select("bucket", "digest"))
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(digest, [len(k) for k in keys])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["signature", "digest"])
+
+    filters = centres.mapInArrow(reduce, "pivot long, bits binary").dropDuplicates(["pivot"])
+    keyed = open_.join(filters, "pivot").join(sets, "digest").mapInArrow(split, "signature long, digest long")
+    mixed = _labelled(_met(keyed), labels)
+    several = mixed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return cut_lineage(mixed.join(several, "bucket").select("bucket", "digest"))
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
