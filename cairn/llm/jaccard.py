@@ -24,8 +24,9 @@ sets.  Members that these links leave in different components can only be simila
 if they share an element outside the pivot, so they meet again in smaller buckets
 under such elements, rare ones first, until no bucket joins two components.  The
 pivot is by turns the member of most buckets, near which a group of near copies
-lies, and the smallest set.  When a turn leaves more than nine tenths of the rows of the
-buckets, the remaining pairs between components are checked one by one.
+lies, and the smallest set.  Once the remaining buckets hold no more pairs than there were rows
+in the first ones, or a turn leaves more than nine tenths of their pairs, the pairs
+between components are checked one by one.
 
 Cases: texts of fewer than 5 words have one shingle, the whole sequence; null and
 empty texts have none and stand alone; equal texts are one class; a repeated id
@@ -441,7 +442,8 @@ def refined(spokes: DataFrame, labels: DataFrame, docs: DataFrame, classes: Data
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that give the components of all links."""
-    left, good, turn, before = buckets(docs), None, 0, 0
+    left, good, turn = buckets(docs), None, 0
+    first, before = left.count(), None
     while True:
         spokes = _spokes(left, classes, central=turn % 2 == 0)
         star = spokes.select(F.least("pivot", "digest").alias("a"), F.greatest("pivot", "digest").alias("b"))
@@ -449,12 +451,13 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         good = more if good is None else cut_lineage(good.union(more))
         labels = components(good)
         left = refined(spokes, labels, docs, classes)
-        rows = left.count()
-        if not rows:
+        size = F.count(F.lit(1))
+        pairs = left.groupBy("bucket").agg((size * (size - 1) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
+        if pairs is None:
             return good
-        if turn and 10 * rows > 9 * before:
+        if pairs <= first or (before is not None and 10 * pairs > 9 * before):
             break
-        turn, before = turn + 1, rows
+        turn, before = turn + 1, pairs
     members = _labelled(left, labels).join(classes.select("digest", "n"), "digest")
     n, m = F.col("x.n"), F.col("y.n")
     near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label")) & (4 * F.least(n, m) >= 3 * F.greatest(n, m))

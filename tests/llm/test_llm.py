@@ -85,6 +85,33 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(tuple(r) for r in got) == brute_components(texts)
 
 
+def test_a_large_group_around_the_threshold(spark):
+    rng, base = random.Random(8), words(70, 9)
+    texts = [" ".join(base)]
+    for k in range(120):
+        w = list(base)
+        for at in rng.sample(range(70), k % 8):
+            w[at] = f"e{k}-{at}" if k % 3 else f"e{at}"
+        texts.append(" ".join(w))
+    got = jaccard.near_duplicates(frame(spark, texts)).collect()
+    assert sorted(tuple(r) for r in got) == brute_components(texts)
+
+
+def test_similar_sets_outside_a_pivot_share_a_key():
+    rng, level = np.random.default_rng(3), np.zeros(jaccard.LEVELS, np.uint8)
+    for _ in range(1500):
+        n = int(rng.integers(4, 100))
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        fresh = lambda most: rng.integers(0, 1 << 63, int(rng.integers(0, most + 1))).astype(np.uint64)  # noqa: E731, B023
+        other = np.unique(np.concatenate([s[rng.random(n) < 0.9], fresh(n // 8)]))
+        pivot = np.unique(np.concatenate([s[rng.random(n) < 0.8], fresh(n // 3)]))
+        both = len(np.intersect1d(s, other))
+        if len(other) and 100 * both >= 75 * (n + len(other) - both):
+            bits, least = jaccard.filter_of(pivot), min(n, len(other))
+            (a, x), (b, y) = jaccard.outside(s, bits, least, level), jaccard.outside(other, bits, least, level)
+            assert (x and y) or len(np.intersect1d(a, b))
+
+
 def test_signatures_meet_for_every_similar_pair():
     lows, rng = jaccard._bounds(), np.random.default_rng(1)
     for _ in range(1500):
