@@ -151,6 +151,29 @@ def test_copies_and_paraphrases_are_found_and_clean_documents_stay(spark):
     assert len(got) >= 0.9 * len(planted)
 
 
+def test_short_paraphrased_items_are_found(spark):
+    rng = random.Random(12)
+    sizes = [8, 10, 13, 15, 18, 19, 22, 25, 28, 29]
+    items = [words(n, 2000 + k, 4000) for k, n in enumerate(sizes)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    texts, planted = [], set()
+    for k in range(200):
+        body, item = words(rng.randrange(150, 300), 3000 + k, 4000), k % len(items)
+        own = list(items[item])
+        # A quarter of the words replaced, but none of the answer.
+        for x in rng.sample(range(len(own) * 2 // 3), len(own) // 4):
+            own[x] = f"other{rng.randrange(10**6)}"
+        at = rng.randrange(len(body))
+        body[at:at] = own
+        planted.add((k, item))
+        texts.append(" ".join(body))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(frame(spark, texts), benchmark).collect()}
+    assert got <= planted
+    for lo, hi in ((8, 16), (16, 20), (20, 30)):
+        mine = {p for p in planted if lo <= sizes[p[1]] < hi}
+        assert len(got & mine) >= 0.9 * len(mine)
+
+
 def test_lcs():
     def plain(a, b):
         row = [0] * (len(b) + 1)
