@@ -230,6 +230,21 @@ def test_terms_beside_one_entity_only_are_added(spark):
             assert not got
 
 
+def test_contexts_reach_over_other_numbers(spark):
+    texts = [f"{' '.join(words(40, k))} Quintessa of house {70 + k} paid by 4111-1111 1111-1111 in 2020 to Zebulonia" for k in range(4)]
+    texts += [f"{' '.join(words(40, 50 + k))} paid by house" for k in range(40)]
+    for r in privacy.report(frame(spark, texts), bits=2.0).where("doc_id < 4").collect():
+        shown = {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] in privacy.ADDED}
+        assert {"Quintessa", "Zebulonia"} <= shown
+
+
+def test_context_terms_are_counted_once(spark):
+    docs = frame(spark, ["Quintessa a.b@c.de and a.b@c.de"])
+    found = privacy.matches(docs)
+    got = [(r["term"], r["start"]) for r in privacy.context_terms(privacy.base_spans(found), found).collect()]
+    assert got.count(("quintessa", 0)) == 1
+
+
 def test_sanitised_text(spark):
     got = {r["doc_id"]: r["text"] for r in privacy.sanitise(frame(spark, ["mail a.b@c.de or +1 (555) 123-4567", "fine", None])).collect()}
     assert got == {0: "mail <email> or <phone>", 1: "fine", 2: None}
