@@ -44,7 +44,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # Runs of 24 and more; a shorter run fails as a whole, as the rule asks.
 HEX = re.compile(r"[0-9a-f]{24,}")
 ACCOUNT = re.compile(r"(?i:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,64})", re.ASCII)
-BLOB = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,31}[0-9])(?=[A-Za-z0-9+/]{0,31}[A-Z])(?=[A-Za-z0-9+/]{0,31}[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])")
+# A whole run of 16 and more, URL-safe ones included, with a digit and both cases.
+RUN = "[A-Za-z0-9+/_-]"
+BLOB = re.compile(f"(?<!{RUN})(?={RUN}*[0-9])(?={RUN}*[A-Z])(?={RUN}*[a-z]){RUN}{{16,}}+={{0,2}}")
 ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:@/?&=%-]+|(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}(?::[0-9]{2,5})?", re.ASCII)
 
 FOUND = (
@@ -54,13 +56,25 @@ FOUND = (
 
 
 def parts_of(text: str) -> list[tuple[str, int, int]]:
-    """All parts of a text as (kind, start, end), weak ones not inside a base span."""
+    """All parts of a text as (kind, start, end), weak ones outside the base spans."""
     base = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
     base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     weak = [(k, m.start(), m.end()) for k, rule in (("account", ACCOUNT), ("blob", BLOB), ("endpoint", ENDPOINT)) for m in rule.finditer(text)]
     taken = sorted((s, e) for _, s, e in base)
-    return base + [w for w in weak if not any(s < w[2] and w[1] < e for s, e in taken)]
+    return base + [part for w in weak for part in _outside(text, *w, taken)]
+
+
+def _outside(text: str, kind: str, start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """A weak part without the base spans in it: all rests of an endpoint, those rests of a long string that are one, no account cut in two."""
+    inside = [(s, e) for s, e in taken if s < end and start < e]
+    if not inside:
+        yield kind, start, end
+    elif kind != "account":
+        for s, e in [*inside, (end, end)]:
+            if start < s and (kind == "endpoint" or BLOB.fullmatch(text[start:s])):
+                yield kind, start, s
+            start = max(start, e)
 
 
 def _in_order(parts):

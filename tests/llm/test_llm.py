@@ -207,6 +207,20 @@ def test_weak_parts_need_complementary_ones(spark):
     assert got == {0: ["access", "blob"], 1: [], 2: ["account", "assign", "endpoint"], 3: [], 4: ["access"], 5: ["assign"]}
 
 
+def test_long_and_url_safe_secrets_and_rests_of_endpoints(spark):
+    long, safe, short = "aB3/" * 22 + "==", "aB3_-xY9" * 5, "aB3dE5gH7jK9mN1pQ3"
+    url = "https://host.example.com/?token=abcdef123&mode=full"
+    texts = [f"account=store1 AccountKey={long}", f"user: ann {safe} end", f"user: ann {short} end", f"user: ann at {url}", f"only {long} and {safe}"]
+    got = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["found"]} for r in secrets.scan(frame(spark, texts)).collect()}
+    assert got == {
+        0: {"account=store1", long},
+        1: {"user: ann", safe},
+        2: {"user: ann", short},
+        3: {"user: ann", "https://host.example.com/?", "token=abcdef123", "&mode=full"},
+        4: set(),
+    }
+
+
 def test_redaction_changes_only_documents_with_secrets(spark):
     docs = frame(spark, ["password=abcdef123 stays", "clean", None])
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()}
