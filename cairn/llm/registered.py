@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontamination, fingerprints, jaccard, language, mixing, privacy, quality, secrets, tokens, toxicity
+from cairn.llm import alignment, decontamination, fingerprints, jaccard, language, minhash, mixing, privacy, quality, ranking, secrets, tokens, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +25,12 @@ def runnable() -> dict[str, Plan]:
             privacy.op8_privacy,
             fingerprints.op9_fingerprints,
             mixing.op10_mix,
+            minhash.op11_minhash,
+            ranking.op12_ranked_search,
+            alignment.op13_alignment,
         )
     }
 
 
 def sql_texts() -> dict[str, str]:
-    return {"op10_mix": mixing.SQL}
+    return {"op10_mix": mixing.SQL, "op12_ranked_search": ranking.SQL}
