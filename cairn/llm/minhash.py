@@ -22,9 +22,9 @@ to tables:
 
 A pair is a candidate only within a bound that no similar pair breaks: sizes, and
 parity bits (each differing element flips one bit at most).  Candidates are
-confirmed on the full sets, in turns: each class confirms its nearest candidate in
-another component, components are formed again, and pairs inside one component,
-which can change no component, are never fetched.
+confirmed on the full sets: all pairs of step 1 (at most 2 * SIDE a class), then of
+step 3 the nearest pair of each class, then all others that still lie between two
+components; a pair inside one component can change nothing.
 
 Cases: texts of fewer than 4 words have one shingle, the whole sequence; null and
 empty texts have none, stand alone and are kept; equal texts are one class; a
@@ -210,26 +210,19 @@ def _with_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
-def grown(good: DataFrame, near: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and labels after the pairs of ``near`` that can join components are confirmed or refused.
+def between(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs that can join components."""
+    return cut_lineage(_with_labels(near, labels).where("of_a <> of_b").select("a", "b", "flips"))
+
+
+def sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    return cut_lineage(class_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()))
 
-    Each turn takes of every class the nearest open pair, so it fetches at most two
-    sets a class; open pairs are those not yet tried and between two components.
-    """
-    labels = components(good)
-    near = cut_lineage(_with_labels(near, labels).where("of_a <> of_b").select("a", "b", "flips"))
-    if not near.limit(1).count():
-        return good, labels
-    sets = cut_lineage(class_sets(docs, classes, near.select(F.explode(F.array("a", "b")).alias("digest")).distinct()))
-    while True:
-        ends = near.select("a", "b", "flips", F.explode(F.array("a", "b")).alias("own"))
-        first = ends.groupBy("own").agg(F.min(F.struct("flips", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
-        tried = cut_lineage(first)
-        good = cut_lineage(good.union(confirmed(tried, sets)))
-        labels = components(good)
-        near = cut_lineage(_with_labels(near.join(tried, ["a", "b"], "left_anti"), labels).where("of_a <> of_b").select("a", "b", "flips"))
-        if not near.limit(1).count():
-            return good, labels
+
+def nearest(near: DataFrame) -> DataFrame:
+    """Of every class its nearest pair."""
+    ends = near.select("a", "b", "flips", F.explode(F.array("a", "b")).alias("own"))
+    return ends.groupBy("own").agg(F.min(F.struct("flips", "a", "b")).alias("pair")).select("pair.a", "pair.b", "pair.flips").distinct()
 
 
 # ---- buckets ------------------------------------------------------------------------
@@ -329,10 +322,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = {c: F.any_value(c).alias(c) for c in ("n", "parity", "bands")}
     classes = cut_lineage(described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), *one.values()))
     bands = band_rows(classes)
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    good, labels = grown(none, near_pairs(spokes(bands), classes), docs, classes)
-    far = near_pairs(rest(tables(bands, labels), classes), classes)
-    _, labels = grown(good, far, docs, classes)
+    near = cut_lineage(near_pairs(spokes(bands), classes))
+    good = confirmed(near, sets_of(near, docs, classes))
+    labels = components(good)
+    far = cut_lineage(near_pairs(rest(tables(bands, labels), classes), classes))
+    sets = sets_of(far, docs, classes)
+    first = cut_lineage(nearest(far))
+    good = cut_lineage(good.union(confirmed(first, sets)))
+    labels = components(good)
+    others = between(far.join(first, ["a", "b"], "left_anti"), labels)
+    labels = components(good.union(confirmed(others, sets)))
     named = _labelled(classes.select("digest", "least_id"), labels)
     of_class = named.join(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "label").select("digest", "component_id")
     met = described.select("doc_id", "n", "digest").join(of_class, "digest", "left")
