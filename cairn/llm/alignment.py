@@ -51,6 +51,7 @@ CHUNK = 1 << 16
 FAN = 8
 KEPT = 200_000
 WIDE = 1 << 16
+RUN = 64
 BROADCAST_PAIRS = 1 << 20
 _CUT = re.compile(r"(?<=\S)(?= )")
 _CUT_A = re.compile(r"(?<=\S)(?=\s)")
@@ -171,14 +172,15 @@ def linked(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, wide: int
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def group_texts(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[str]:
-    """a1,a2|b1 of each group."""
-    x, y = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    out, p, q = [], 0, 0
-    for p2, q2 in zip(i.tolist(), j.tolist()):
-        out.append(",".join(x[p:p2]) + "|" + ",".join(y[q:q2]))
-        p, q = p2, q2
-    return out
+def spelled(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[str]:
+    """The tokens group by group, first those of a, each with what follows it: a comma, a bar or a semicolon."""
+    i0, j0 = np.append(0, i[:-1]), np.append(0, j[:-1])
+    a_mark, b_mark = np.zeros(len(a), np.int64), np.full(len(b), 2)
+    a_mark[i - 1], b_mark[j - 1] = 1, 3
+    out = np.empty(len(a) + len(b), np.int64)
+    out[np.arange(len(a)) + np.repeat(j0, i - i0)] = (a << 2) | a_mark
+    out[np.arange(len(b)) + np.repeat(i, j - j0)] = (b << 2) | b_mark
+    return [f"{c >> 2}{',|,;'[c & 3]}" for c in out.tolist()]
 
 
 def close(tokens: Open, ends: np.ndarray) -> Closed:
@@ -186,7 +188,7 @@ def close(tokens: Open, ends: np.ndarray) -> Closed:
     i, j = np.searchsorted(tokens.a_end, ends, "right"), np.searchsorted(tokens.b_end, ends, "right")
     links = np.diff(i, prepend=0) * np.diff(j, prepend=0)
     _, pairs, times = linked(tokens.a, tokens.b, i, j)
-    return Closed(len(tokens.a), len(tokens.b), len(ends), int(links.sum()), ";".join(group_texts(tokens.a, tokens.b, i, j)), *summed(pairs, times))
+    return Closed(len(tokens.a), len(tokens.b), len(ends), int(links.sum()), "".join(spelled(tokens.a, tokens.b, i, j))[:-1], *summed(pairs, times))
 
 
 def fragment_of(a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, faithful: bool = True) -> Fragment:
@@ -240,19 +242,24 @@ class Pair:
         # A line feed is a piece of its own: what follows it is encoded as inside a text.
         self.lead = len(self.b.encode("\n"))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        return a, [ids[self.lead :] for ids in self.b.encode(["\n" + t for t in texts], num_threads=1)]
+    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_b(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids[self.lead :], np.int64) for ids in self.b.encode(["\n" + t for t in texts], num_threads=1)]
+
+    @staticmethod
+    def joined(ids: np.ndarray, tokens: list[bytes]) -> bytes:
+        return b"".join([tokens[i] for i in ids.tolist()])
 
-    def faithful(self, text: str, a: list[int] | None = None, b: list[int] | None = None) -> bool:
+    def faithful(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
         raw = text.encode()
-        return (a is None or b"".join([self.a_bytes[i] for i in a]) == raw) and (b is None or b"".join([self.b_bytes[i] for i in b]) == raw)
+        return self.joined(a, self.a_bytes) == raw and self.joined(b, self.b_bytes) == raw
 
     def fragment(self, a_text: str, a_start: int, b_text: str, b_start: int) -> Fragment:
         """The fragment of a chunk; the bytes of each tokenizer begin at its own offset."""
-        a, b = self.encode([a_text])[0][0], self.encode([b_text])[1][0]
-        sure = self.faithful(a_text, a=a) and self.faithful(b_text, b=b)
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a, b = self.encode_a([a_text])[0], self.encode_b([b_text])[0]
+        sure = self.joined(a, self.a_bytes) == a_text.encode() and self.joined(b, self.b_bytes) == b_text.encode()
         return fragment_of(a, a_start + np.cumsum(self.a_size[a]), b, b_start + np.cumsum(self.b_size[b]), sure)
 
 
@@ -271,46 +278,72 @@ class Segments:
         self.pairs = self.times = _NONE
 
     def codes(self, segments: list[str]) -> list[int]:
-        new = list(dict.fromkeys(s for s in segments if s not in self.code))
+        found = list(map(self.code.get, segments))
+        new = list(dict.fromkeys([s for s, c in zip(segments, found) if c is None]))
+        if not new:
+            return found
         if len(self.code) + len(new) > self.most:
             self.clear()
             new = list(dict.fromkeys(segments))
-        for low in range(0, len(new), 20_000):
-            self._learn(new[low : low + 20_000])
-        return [self.code[s] for s in segments]
+        # Only the last segment of a text can end with white space; behind it nothing may follow.
+        for own in ([s for s in new if not s[-1].isspace()], [s for s in new if s[-1].isspace()]):
+            for low in range(0, len(own), 20_000):
+                self._learn(own[low : low + 20_000])
+        return list(map(self.code.__getitem__, segments))
+
+    def _tokens(self, segments: list[str]) -> tuple[list[str], list[bool], np.ndarray, np.ndarray]:
+        """The segments, whether each is faithful, and the tokens of the faithful ones.
+
+        Runs of segments are encoded as one text; a run that is not faithful is taken apart.
+        """
+        step = 1 if segments[0][-1].isspace() else RUN
+        runs = ["".join(segments[at : at + step]) for at in range(0, len(segments), step)]
+        a, b = self.pair.encode_a(runs), self.pair.encode_b(runs)
+        names, sure, x, y = [], [], [], []
+        for n, run in enumerate(runs):
+            own = segments[n * step : (n + 1) * step]
+            good = self.pair.faithful(run, a[n], b[n])
+            if good or len(own) == 1:
+                found = [(good, a[n], b[n])]
+                sure += [good] * len(own)
+            else:
+                each = zip(own, self.pair.encode_a(own), self.pair.encode_b(own))
+                found = [(self.pair.faithful(*part), part[1], part[2]) for part in each]
+                sure += [part[0] for part in found]
+            names += own
+            x += [p for ok, p, _ in found if ok]
+            y += [q for ok, _, q in found if ok]
+        return names, sure, np.concatenate([_NONE, *x]), np.concatenate([_NONE, *y])
 
     def _learn(self, new: list[str]) -> None:
-        a, b = self.pair.encode(new)
-        sure = np.array([self.pair.faithful(*x) for x in zip(new, a, b)], bool)
-        kept = np.flatnonzero(sure).tolist()
+        new, sure, x, y = self._tokens(new)
+        kept = np.flatnonzero(sure)
         numbers = np.zeros((len(new), 6), np.int64)
         numbers[:, 4] = sure
         texts = [""] * len(new)
-        if kept:
+        if len(kept):
             # Segments end at common ends, so all of them are cut into groups as one text.
-            x, y = (np.array([i for s in kept for i in ids[s]], np.int64) for ids in (a, b))
             x_end, y_end = np.cumsum(self.pair.a_size[x]), np.cumsum(self.pair.b_size[y])
             ends = np.intersect1d(x_end, y_end, assume_unique=True)
             i, j = np.searchsorted(x_end, ends, "right"), np.searchsorted(y_end, ends, "right")
-            last = np.cumsum([len(new[s].encode()) for s in kept])
+            last = np.cumsum([len(new[s].encode()) for s in kept.tolist()])
             own = np.searchsorted(last, ends)
             group, pairs, times = linked(x, y, i, j)
             order = np.lexsort((pairs, own[group]))
             of, pairs, times = own[group][order], pairs[order], times[order]
             starts = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]) | (of[1:] != of[:-1])))
             of, pairs, times = of[starts], pairs[starts], np.add.reduceat(times, starts)
-            links = np.diff(i, prepend=0) * np.diff(j, prepend=0)
-            each = [np.bincount(own, w, len(kept)) for w in (np.diff(i, prepend=0), np.diff(j, prepend=0), None)]
-            total = np.zeros(len(kept), np.int64)
-            np.add.at(total, own, links)
-            numbers[np.ix_(kept, [0, 1, 2, 3, 5])] = np.stack([*each, total, np.bincount(of, minlength=len(kept))], axis=1)
-            words, p = group_texts(x, y, i, j), 0
-            for s, q in zip(kept, np.cumsum(each[2]).astype(np.int64).tolist()):
-                texts[s] = ";".join(words[p:q])
+            n_a, n_b = np.diff(i, prepend=0), np.diff(j, prepend=0)
+            first = np.searchsorted(own, np.arange(len(kept)))
+            sums = [np.add.reduceat(n, first) for n in (n_a, n_b, np.ones(len(own), np.int64), n_a * n_b)]
+            numbers[np.ix_(kept, [0, 1, 2, 3, 5])] = np.stack([*sums, np.bincount(of, minlength=len(kept))], axis=1)
+            words, p = spelled(x, y, i, j), 0
+            for s, q in zip(kept.tolist(), np.cumsum(sums[0] + sums[1]).tolist()):
+                texts[s] = "".join(words[p:q])
                 p = q
             self.pairs, self.times = np.append(self.pairs, pairs), np.append(self.times, times)
-        first = len(self.code)
-        self.code.update(zip(new, range(first, first + len(new))))
+        at = len(self.code)
+        self.code.update(zip(new, range(at, at + len(new))))
         self.texts += texts
         self.numbers = np.concatenate([self.numbers, numbers])
 
@@ -340,7 +373,7 @@ def rows_of(texts: list[str | None], known: Segments) -> list[Closed | None]:
             out.append(None)
             continue
         here = slice(ends[t], ends[t + 1])
-        words = ";".join([known.texts[c] for c in codes[bounds[t] : bounds[t + 1]].tolist()])
+        words = "".join([known.texts[c] for c in codes[bounds[t] : bounds[t + 1]].tolist()])[:-1]
         out.append(Closed(*sums[t].tolist(), words, key[here], times[here]))
     return out
 
