@@ -22,9 +22,8 @@ to tables:
 
 A pair is a candidate only within a bound that no similar pair breaks: sizes, and
 parity bits (each differing element flips one bit at most).  Candidates are
-confirmed on the full sets: all pairs of step 1 (at most 2 * SIDE a class), then of
-step 3 the nearest pair of each class, then all others that still lie between two
-components; a pair inside one component can change nothing.
+confirmed on the full sets: those of step 1, at most 2 * SIDE a class, and those of
+step 3, all of them between two components.
 
 Cases: texts of fewer than 4 words have one shingle, the whole sequence; null and
 empty texts have none, stand alone and are kept; equal texts are one class; a
@@ -135,21 +134,21 @@ def _may_link(n: np.ndarray, m: np.ndarray, flips: np.ndarray) -> np.ndarray:
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs within the bound, with the bits that differ."""
+    """The pairs within the bound."""
     for batch in batches:
         if not batch.num_rows:
             continue
         x, y = (batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, PARITY_WORDS) for c in ("parity_a", "parity_b"))
         flips = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
         ok = _may_link(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), flips)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(ok)) for c in ("a", "b")), pa.array(flips[ok])], names=["a", "b", "flips"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
 
 def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b, flips of the distinct pairs (a < b) within the bound."""
+    """The distinct pairs (a < b) within the bound."""
     of = lambda x: classes.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
     met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of("a"), "a").join(of("b"), "b")
-    return met.mapInArrow(_near, "a long, b long, flips long")
+    return met.mapInArrow(_near, "a long, b long")
 
 
 # ---- confirmation -------------------------------------------------------------------
@@ -201,30 +200,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     of = lambda x: sets.select(F.col("digest").alias(x), F.col("elements").alias(f"set_{x}"))
-    return cut_lineage(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_confirm, "a long, b long"))
-
-
-def _with_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    for x in "ab":
-        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}")), x, "left").withColumn(f"of_{x}", F.coalesce(f"of_{x}", x))
-    return pairs
-
-
-def between(near: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs that can join components."""
-    return cut_lineage(_with_labels(near, labels).where("of_a <> of_b").select("a", "b", "flips"))
+    return cut_lineage(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(_confirm, "a long, b long"))
 
 
 def sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return cut_lineage(class_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()))
 
 
-def nearest(near: DataFrame) -> DataFrame:
-    """Of every class its nearest pair."""
-    ends = near.select("a", "b", "flips", F.explode(F.array("a", "b")).alias("own"))
-    return ends.groupBy("own").agg(F.min(F.struct("flips", "a", "b")).alias("pair")).select("pair.a", "pair.b", "pair.flips").distinct()
-
-
 # ---- buckets ------------------------------------------------------------------------
 
 
@@ -324,14 +306,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = band_rows(classes)
     near = cut_lineage(near_pairs(spokes(bands), classes))
     good = confirmed(near, sets_of(near, docs, classes))
-    labels = components(good)
-    far = cut_lineage(near_pairs(rest(tables(bands, labels), classes), classes))
-    sets = sets_of(far, docs, classes)
-    first = cut_lineage(nearest(far))
-    good = cut_lineage(good.union(confirmed(first, sets)))
-    labels = components(good)
-    others = between(far.join(first, ["a", "b"], "left_anti"), labels)
-    labels = components(good.union(confirmed(others, sets)))
+    far = cut_lineage(near_pairs(rest(tables(bands, components(good)), classes), classes))
+    labels = components(good.union(confirmed(far, sets_of(far, docs, classes))))
     named = _labelled(classes.select("digest", "least_id"), labels)
     of_class = named.join(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "label").select("digest", "component_id")
     met = described.select("doc_id", "n", "digest").join(of_class, "digest", "left")
