@@ -14,11 +14,12 @@ to tables:
 1. Bands.  In each band bucket every member is held against one of them (the
    bucket's first by hash), so copies link at the price of 2 * SIDE rows a class.
 2. Tables.  A band is live where members of different components share it.  Only
-   live left and right bands are combined into table keys, and only tables that
-   still hold several components are kept, once per set of members.
-3. Rest.  Within a kept table all pairs between different components are held
-   against each other in numpy, in cells of a bounded number of rows; nothing but
-   pairs within the bound below leaves the task.
+   live left and right bands are combined into table keys, and only buckets that
+   still hold several components are kept.
+3. Rest.  Within a kept bucket all pairs between different components are held
+   against each other in numpy, in cells of a bounded number of rows.  A pair leaves
+   the task only if it is within the bound below, and only from the first table
+   in which it meets (told by the lower 31 bits of the bands).
 
 A pair is a candidate only within a bound that no similar pair breaks: sizes, and
 parity bits (each differing element flips one bit at most).  Candidates are
@@ -211,8 +212,8 @@ def sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """band, right (whether it is a right one) and digest."""
-    return classes.select("digest", F.posexplode("bands").alias("place", "band")).select("band", (F.col("place") >= SIDE).alias("right"), "digest")
+    """band, place (left ones below SIDE, right ones from there) and digest."""
+    return classes.select("digest", F.posexplode("bands").alias("place", "band")).select("band", "place", "digest")
 
 
 def spokes(bands: DataFrame) -> DataFrame:
@@ -228,33 +229,43 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, key: str) -> DataFrame:
-    """Buckets with several components, and a fingerprint of their members."""
-    member = F.xxhash64("digest", F.lit(5)).cast("decimal(20,0)")
-    found = rows.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.sum(member).cast("string").alias("members"))
-    return found.where("low <> high").select(key, "size", "members")
+    """Buckets with several components, and their sizes."""
+    found = rows.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+    return found.where("low <> high").select(key, "size")
 
 
 def tables(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, digest, label, size: the tables over live bands that hold several components, once per set of members."""
+    """bucket, table (its number), digest, label, size: the buckets of tables over live bands that hold several components."""
     named = cut_lineage(_labelled(bands, labels))
     live = named.join(_mixed(named, "band").select("band"), "band", "left_semi")
-    sides = live.groupBy("digest", "label").agg(F.collect_list(F.when(~F.col("right"), F.col("band"))).alias("lefts"), F.collect_list(F.when(F.col("right"), F.col("band"))).alias("rights"))
+    band, is_left = F.struct("place", "band"), F.col("place") < SIDE
+    sides = live.groupBy("digest", "label").agg(F.collect_list(F.when(is_left, band)).alias("lefts"), F.collect_list(F.when(~is_left, band)).alias("rights"))
     keyed = sides.select("digest", "label", "rights", F.explode("lefts").alias("left")).select("digest", "label", "left", F.explode("rights").alias("right"))
-    rows = cut_lineage(keyed.select(F.xxhash64("left", "right").alias("bucket"), "digest", "label"))
-    kept = _mixed(rows, "bucket").groupBy("size", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    return rows.join(kept, "bucket")
+    number = F.col("left.place") * SIDE + F.col("right.place") - SIDE
+    rows = cut_lineage(keyed.select(F.xxhash64("left.band", "right.band").alias("bucket"), number.alias("table"), "digest", "label"))
+    return rows.join(_mixed(rows, "bucket"), "bucket")
+
+
+def first_table(marks: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Number of the first table in which a set meets each of the others, which share a left and a right band with it."""
+    same = others == marks
+    return same[:, :SIDE].argmax(axis=1) * SIDE + same[:, SIDE:].argmax(axis=1)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) within the bound and between components, in cells that come as runs of sorted rows."""
+    """Pairs (a, b) within the bound and between components, in cells that come as runs of sorted rows.
+
+    A pair leaves in the first of the tables where it meets, so once.
+    """
     held: list[pa.RecordBatch] = []
 
     def pairs(cell: pa.Table) -> Iterator[pa.RecordBatch]:
         n, label, digest, part = (cell.column(c).to_numpy() for c in ("n", "label", "digest", "part"))
         parity = cell.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PARITY_WORDS)
-        row, column = int(cell.column("row")[0].as_py()), int(cell.column("column")[0].as_py())
+        marks = cell.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, 2 * SIDE)
+        row, column, number = (int(cell.column(c)[0].as_py()) for c in ("row", "column", "table"))
         order = np.argsort(n, kind="stable")
-        n, label, digest, part, parity = n[order], label[order], digest[order], part[order], parity[order]
+        n, label, digest, part, parity, marks = n[order], label[order], digest[order], part[order], parity[order], marks[order]
         last = np.searchsorted(n, n * 5 // 4, "right")
         for i in range(len(n) - 1):
             there = slice(i + 1, last[i])
@@ -266,6 +277,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             flips = np.bitwise_count(parity[at] ^ parity[i]).sum(axis=1, dtype=np.int64)
             at = at[_may_link(n[at], n[i], flips)]
+            at = at[first_table(marks[i], marks[at]) == number]
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), digest[i])), pa.array(digest[at])], names=["a", "b"])
 
@@ -292,7 +304,9 @@ def rest(found: DataFrame, classes: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("size") / CELL)
     dealt = found.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("digest", F.lit(9)), F.col("parts")))
     celled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = celled.join(classes.select("digest", "n", "parity"), "digest").select("bucket", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("column"), "digest", "label", "part", "n", "parity")
+    marks = F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int"))
+    carried = classes.select("digest", "n", "parity", marks.alias("marks"))
+    rows = celled.join(carried, "digest").select("bucket", "table", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("column"), "digest", "label", "part", "n", "parity", "marks")
     ordered = rows.repartition(shuffle_width(found.sparkSession), "bucket", "row", "column").sortWithinPartitions("bucket", "row", "column")
     return ordered.mapInArrow(_across, "a long, b long")
 
