@@ -1,6 +1,6 @@
 """Token counts of whole texts from the pieces of their distinct pre-tokens.
 
-The tokenizer works on pre-tokens: spaces followed by non-spaces.  No piece of
+The tokenizer works on pre-tokens: spaces (or U+2581, its space mark) followed by others.  No piece of
 its vocabulary has a space mark behind another character, so merges never cross
 a pre-token, and the count of a text is the sum over its pre-tokens.  Each task
 goes through its documents in blocks: it splits them into pre-tokens, lists the
@@ -32,7 +32,9 @@ MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 KEPT = 400_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-_PRE_TOKEN = re.compile(r" *[^ ]+| +")
+# The vocabulary writes a space as U+2581; the character itself in a text counts as one.
+_MARK = "\u2581"
+_PRE_TOKEN = re.compile(f"[ {_MARK}]*[^ {_MARK}]+|[ {_MARK}]+")
 
 
 def tokenizer_path(name: str = MODEL) -> str:
@@ -48,6 +50,9 @@ class PieceCounts:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
+        if any(_MARK in p.lstrip(_MARK) for p in pieces):
+            raise ValueError("a piece holds a space mark behind another character")
         self.most = most
         self.known: dict[str, int] = {}
         # Every text gets one space mark in front; behind a line feed, which is
