@@ -9,6 +9,10 @@ from cairn.functions import ids
 from cairn.functions.binding import computed
 
 FILE = "file"
+UPSTREAM, DOWNSTREAM = "upstream", "downstream"
+EDGE_COLUMNS = (
+    "relationship_id", "source_type", "source_id", "predicate", "target_type", "target_id", "provenance_source", "review_state",
+)
 
 
 def with_file_id(df: DataFrame) -> DataFrame:
@@ -41,6 +45,44 @@ def file_edges(pairs: DataFrame, storage_source: str, predicate_col: str = "rela
     )
 
 
+def pair_edges(pairs: DataFrame) -> DataFrame:
+    """``derived_from`` rows of distinct (source_id, target_id) file pairs."""
+    return with_relationship_id(
+        pairs.select("source_id", "target_id").distinct().select(
+            F.lit(FILE).alias("source_type"), "source_id", F.lit("derived_from").alias("predicate"),
+            F.lit(FILE).alias("target_type"), "target_id",
+            F.lit(None).cast("string").alias("provenance_source"), F.lit("unknown").alias("review_state"),
+        )
+    )
+
+
+def expand_members(members: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``derived_from`` edges that member rows (experiment_id, side, file_id) stand for.
+
+    Every upstream file of an experiment feeds every downstream one.  With ``files``
+    (file_id) only edges with such an end are made, so the output follows the question
+    and not the square of an experiment; without it all pairs are written out.
+    """
+
+    def side(name: str, column: str) -> DataFrame:
+        return members.where(F.col("side") == name).select("experiment_id", F.col("file_id").alias(column))
+
+    up, down = side(UPSTREAM, "source_id"), side(DOWNSTREAM, "target_id")
+    if files is None:
+        return pair_edges(up.join(down, on="experiment_id"))
+    named = files.select("file_id").distinct()
+    from_named = up.join(named.withColumnRenamed("file_id", "source_id"), on="source_id", how="left_semi").join(down, on="experiment_id")
+    into_named = down.join(named.withColumnRenamed("file_id", "target_id"), on="target_id", how="left_semi").join(up, on="experiment_id")
+    return pair_edges(from_named.select("source_id", "target_id").unionByName(into_named.select("source_id", "target_id")))
+
+
+def edges_of_files(relationships: DataFrame, members: DataFrame, files: DataFrame) -> DataFrame:
+    """Stored and member edges that touch one of ``files`` (file_id), each edge once."""
+    entities = files.select(F.lit(FILE).alias("entity_type"), F.col("file_id").alias("entity_id"))
+    stored = edges_touching(relationships, entities).select(*EDGE_COLUMNS)
+    return stored.unionByName(expand_members(members, files).select(*EDGE_COLUMNS)).dropDuplicates(["relationship_id"])
+
+
 def file_references(experiment_files: DataFrame, artifacts: DataFrame) -> DataFrame:
     """file_id -> storage reference over both file tables; the artifact row overrides."""
 

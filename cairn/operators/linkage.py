@@ -17,7 +17,7 @@ from cairn.functions import ids, paths
 from cairn.functions.binding import computed
 from cairn.functions.filename import METADATA_FIELDS
 from cairn.functions.text import blank_to_null
-from cairn.operators.lineage import FILE, with_file_id, with_relationship_id
+from cairn.operators.lineage import DOWNSTREAM, UPSTREAM, expand_members, pair_edges, with_file_id, with_relationship_id
 from cairn.operators.merging import group_variants, merge_variants, with_readings
 from cairn.operators.ordering import position_within
 from cairn.session import cut_lineage
@@ -41,8 +41,6 @@ PROFILE_FIELDS = (
 )
 PROFILE_ELECTRICAL = ("bias_start_V", "bias_stop_V", "fixed_top_gate_V", "active_gate_configuration")
 
-# Pairs per experiment that are written out as edges; see derived_from_edges.
-PAIR_LIMIT = 10_000
 # Files an unresolved group may have and still be listed by path in its warning.
 NAME_LIMIT = 1_000
 
@@ -174,8 +172,8 @@ def number_experiments(groups: DataFrame) -> DataFrame:
     )
 
 
-def _merge_reviewed(numbered: DataFrame, files: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """(absorbed experiment, reviewed experiment, raw stem) for each decision that applies.
+def _decided(numbered: DataFrame, files: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """(absorbed_id, experiment_id, raw_stem) of each decision that finds both its experiments.
 
     ``reviewed(processed_stem, raw_stem)`` is a table of human adjudications.
     The first experiment in (device, ordinal) order on either side takes part.
@@ -189,8 +187,59 @@ def _merge_reviewed(numbered: DataFrame, files: DataFrame, reviewed: DataFrame)
     return kept.join(gone, on=["processed_stem", "raw_stem"]).where(
         F.col("kept.experiment_id") != F.col("gone.experiment_id")
     ).select(
-        F.col("gone.experiment_id").alias("absorbed_id"), F.col("kept.experiment_id").alias("experiment_id"), "raw_stem"
+        F.col("gone.experiment_id").alias("absorbed_id"), F.col("kept.experiment_id").alias("experiment_id"), "processed_stem", "raw_stem"
+    )
+
+
+def _jumped(steps: DataFrame, rounds: int) -> DataFrame:
+    """Each absorbed experiment with the end of its chain; every round doubles the way."""
+    for _ in range(rounds):
+        onward = steps.select(F.col("absorbed_id").alias("experiment_id"), F.col("experiment_id").alias("__next"))
+        steps = cut_lineage(
+            steps.join(onward, on="experiment_id", how="left").select("absorbed_id", F.coalesce("__next", "experiment_id").alias("experiment_id"))
+        )
+    return steps
+
+
+def final_experiments(steps: DataFrame) -> DataFrame:
+    """(absorbed_id, experiment_id): where the chain of ``steps`` from each absorbed experiment ends.
+
+    ``steps`` names one target for each absorbed experiment.  Decisions may chain
+    (C into B, B into A) in any order; in a ring the experiment with the smallest
+    id stays, and its own decision falls.
+    """
+    rounds = max(1, steps.count().bit_length())
+    ends = _jumped(steps, rounds)
+    # After so many steps a chain has left the absorbed experiments, unless it runs in a ring.
+    ring = ends.join(steps.select(F.col("absorbed_id").alias("experiment_id")), on="experiment_id", how="left_semi").select("experiment_id").distinct()
+    if not ring.limit(1).count():
+        return ends
+    around = steps.join(ring.withColumnRenamed("experiment_id", "absorbed_id"), on="absorbed_id", how="left_semi").select(
+        F.col("absorbed_id").alias("node"), F.col("experiment_id").alias("next"), F.least("absorbed_id", "experiment_id").alias("least")
     )
+    for _ in range(rounds):
+        onward = around.select(F.col("node").alias("next"), F.col("next").alias("__next"), F.col("least").alias("__least"))
+        around = cut_lineage(around.join(onward, on="next").select("node", F.col("__next").alias("next"), F.least("least", "__least").alias("least")))
+    stay = around.where(F.col("node") == F.col("least")).select(F.col("node").alias("absorbed_id"))
+    return _jumped(steps.join(stay, on="absorbed_id", how="left_anti"), rounds)
+
+
+def _merge_reviewed(numbered: DataFrame, files: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """(absorbed_id, experiment_id, raw_stem): every absorbed experiment with the one that finally holds its raw files.
+
+    Of several decisions that absorb one experiment the first by stems counts.
+    """
+    decided = cut_lineage(_decided(numbered, files, reviewed))
+    first = decided.groupBy("absorbed_id").agg(F.min(F.struct("processed_stem", "raw_stem", "experiment_id")).alias("d"))
+    steps = cut_lineage(first.select("absorbed_id", F.col("d.experiment_id").alias("experiment_id")))
+    stems = first.select("absorbed_id", F.col("d.raw_stem").alias("raw_stem"))
+    return cut_lineage(final_experiments(steps).join(stems, on="absorbed_id"))
+
+
+def role_counts(files: DataFrame) -> DataFrame:
+    """experiment_id and the number of its files in each role."""
+    of = lambda role: F.sum(F.when(F.col("role") == role, 1).otherwise(0)).alias(f"n_{role}")
+    return files.groupBy("experiment_id").agg(*[of(r) for r in ROLE_PRIORITY])
 
 
 def _name_unresolved(groups: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
@@ -253,23 +302,30 @@ def derive_experiments(devices: DataFrame, artifacts: DataFrame, reviewed: DataF
         schema = "absorbed_id string, experiment_id string, raw_stem string"
         return Linked(experiments, file_rows, devices.sparkSession.createDataFrame([], schema))
     merge = _merge_reviewed(numbered, files, reviewed)
-    kept = merge.select("experiment_id").distinct().withColumn("__kept", F.lit(True))
-    remaining = experiments.join(merge.select(F.col("absorbed_id").alias("experiment_id")), on="experiment_id", how="left_anti")
-    accepted = F.coalesce("__kept", F.lit(False))
-    remaining = (
-        remaining.join(kept, on="experiment_id", how="left")
-        .withColumn("needs_review", F.col("needs_review") & ~accepted)
-        .withColumn("review_state", F.when(accepted, "accepted").otherwise(F.col("review_state")))
-        .drop("__kept")
-    )
+    gone = merge.select("absorbed_id", "experiment_id")
     moved = (
         file_rows.where(F.col("role") == "raw")
         .withColumnRenamed("experiment_id", "absorbed_id")
-        .join(merge.select("absorbed_id", "experiment_id"), on="absorbed_id")
+        .join(gone, on="absorbed_id")
         .select(*file_rows.columns)
     )
-    stay = file_rows.join(merge.select(F.col("absorbed_id").alias("experiment_id")), on="experiment_id", how="left_anti")
-    return Linked(remaining, stay.unionByName(moved).distinct(), merge)
+    lost = gone.select(F.col("absorbed_id").alias("experiment_id"))
+    held = cut_lineage(file_rows.join(lost, on="experiment_id", how="left_anti").unionByName(moved).distinct())
+    # Experiments that took files in are counted again; the others keep their figures.
+    counts = [f"n_{r}" for r in ROLE_PRIORITY]
+    kept = gone.select("experiment_id").distinct()
+    again = role_counts(held.join(kept, on="experiment_id", how="left_semi")).select(
+        "experiment_id", *[F.col(c).alias(f"__{c}") for c in counts], F.lit(True).alias("__kept")
+    )
+    accepted = F.coalesce("__kept", F.lit(False))
+    remaining = experiments.join(lost, on="experiment_id", how="left_anti").join(again, on="experiment_id", how="left")
+    remaining = (
+        remaining.withColumns({c: F.coalesce(f"__{c}", c) for c in counts})
+        .withColumn("needs_review", F.col("needs_review") & ~accepted)
+        .withColumn("review_state", F.when(accepted, "accepted").otherwise(F.col("review_state")))
+        .select(*experiments.columns)
+    )
+    return Linked(remaining, held, merge)
 
 
 def measured_on_edges(experiments: DataFrame) -> DataFrame:
@@ -329,16 +385,6 @@ def reviewed_claims(linked: Linked, reviewed: DataFrame) -> DataFrame:
     )
 
 
-def _pair_edges(pairs: DataFrame) -> DataFrame:
-    return with_relationship_id(
-        pairs.select("source_id", "target_id").distinct().select(
-            F.lit(FILE).alias("source_type"), "source_id", F.lit("derived_from").alias("predicate"),
-            F.lit(FILE).alias("target_type"), "target_id",
-            F.lit(None).cast("string").alias("provenance_source"), F.lit("unknown").alias("review_state"),
-        )
-    )
-
-
 def _figure_parents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(figure with its processed parent, figures without one).
 
@@ -361,45 +407,44 @@ def _figure_parents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hits, orphans
 
 
-def _sides(linked: Linked) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    files = with_file_id(linked.files)
-    raw = files.where(F.col("role") == "raw").select("experiment_id", F.col("file_id").alias("source_id")).distinct()
-    hits, orphans = _figure_parents(files)
-    fed = files.where(F.col("role") == "processed").select("experiment_id", F.col("file_id").alias("target_id")).unionByName(
-        orphans.select("experiment_id", F.col("figure_id").alias("target_id"))
-    ).distinct()
-    sizes = raw.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n_up")).join(
-        fed.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n_down")), on="experiment_id"
-    )
-    return raw, fed, hits.join(raw.select("experiment_id").distinct(), on="experiment_id", how="left_semi"), sizes
-
-
-def derived_from_edges(linked: Linked, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """``derived_from`` file edges.
+def derivation_members(linked: Linked) -> DataFrame:
+    """(experiment_id, side, file_id): the files of each experiment that feed, and those that are fed.
 
     By definition every raw file of an experiment feeds every processed file and
-    every figure without a parent, which is quadratic.  Experiments up to
-    ``pair_limit`` such pairs get plain edges here; larger ones are described
-    exactly, in linear size, by ``derived_from_hubs``.
+    every figure without a parent.  One row a file says so at every size; the pairs
+    themselves are made by ``lineage.expand_members`` for the files somebody names.
     """
-    raw, fed, hits, sizes = _sides(linked)
-    narrow = sizes.where(F.col("n_up") * F.col("n_down") <= pair_limit).select("experiment_id")
-    pairs = raw.join(narrow, on="experiment_id", how="left_semi").join(fed, on="experiment_id")
-    parents = hits.select(F.col("parent_id").alias("source_id"), F.col("figure_id").alias("target_id"))
-    return _pair_edges(pairs.select("source_id", "target_id").unionByName(parents))
+    files = with_file_id(linked.files)
+    _, orphans = _figure_parents(files)
+    raw = files.where(F.col("role") == "raw").select("experiment_id", F.lit(UPSTREAM).alias("side"), "file_id")
+    fed = files.where(F.col("role") == "processed").select("experiment_id", F.lit(DOWNSTREAM).alias("side"), "file_id").unionByName(
+        orphans.select("experiment_id", F.lit(DOWNSTREAM).alias("side"), F.col("figure_id").alias("file_id"))
+    )
+    rows = raw.unionByName(fed).distinct()
+    sides = rows.groupBy("experiment_id").agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low <> high")
+    return rows.join(sides.select("experiment_id"), on="experiment_id", how="left_semi")
 
 
-def derived_from_hubs(linked: Linked, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Members of wide experiments: every ``upstream`` file feeds every ``downstream`` file of the hub.
+def parent_edges(files: DataFrame) -> DataFrame:
+    """``derived_from`` edges from processed files to the figures drawn from them, in experiments with raw files.
 
-    One row per file.  Joining the two sides on ``experiment_id`` for a chosen
-    file gives its edges without ever writing all pairs.
+    ``files`` are rows (experiment_id, role, storage_source_id, relative_path, stem).
     """
-    raw, fed, _, sizes = _sides(linked)
-    wide = sizes.where(F.col("n_up") * F.col("n_down") > pair_limit).select("experiment_id")
-    up = raw.select("experiment_id", F.lit("upstream").alias("side"), F.col("source_id").alias("file_id"))
-    down = fed.select("experiment_id", F.lit("downstream").alias("side"), F.col("target_id").alias("file_id"))
-    return up.unionByName(down).join(wide, on="experiment_id", how="left_semi")
+    files = with_file_id(files)
+    hits, _ = _figure_parents(files)
+    owners = files.where(F.col("role") == "raw").select("experiment_id").distinct()
+    drawn = hits.join(owners, on="experiment_id", how="left_semi")
+    return pair_edges(drawn.select(F.col("parent_id").alias("source_id"), F.col("figure_id").alias("target_id")))
+
+
+def derived_from_edges(linked: Linked, files: DataFrame | None = None) -> DataFrame:
+    """All ``derived_from`` file edges, or those with an end in ``files`` (file_id)."""
+    parents = parent_edges(linked.files)
+    if files is not None:
+        ends = [F.col(f"{side}_id") == F.col("file_id") for side in ("source", "target")]
+        named = files.select("file_id").distinct()
+        parents = parents.join(named, ends[0], "left_semi").unionByName(parents.join(named, ends[1], "left_semi"))
+    return parents.unionByName(expand_members(derivation_members(linked), files)).dropDuplicates(["relationship_id"])
 
 
 def linkage_counts(experiments: DataFrame, relationships: DataFrame) -> DataFrame:

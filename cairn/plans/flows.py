@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions import paths
 from cairn.functions.filename import METADATA_FIELDS
 from cairn.functions.gates import ELECTRICAL_SCALARS
 from cairn.operators import fingerprint, indexing, inventory, lineage, linkage, proposals, quality
@@ -14,7 +16,7 @@ from cairn.operators.devices import append_absent
 from cairn.operators.merging import ROLES
 from cairn.operators.ordering import position_within
 from cairn.session import cut_lineage
-from cairn.sources.catalog import commit_catalog, read_catalog, shape, stage_catalog
+from cairn.sources.catalog import CommitConflict, commit_catalog, current_version, read_catalog, read_folder, shape, stage_catalog
 
 PROPOSAL_KEYS = (
     *METADATA_FIELDS, *ELECTRICAL_SCALARS, "fixed_gate_values", "gate_constraints", "electrical_connections",
@@ -74,6 +76,7 @@ def assemble_catalog(
         "artifacts": given(artifacts, "artifacts"),
         "metadata_claims": shape(claims, "metadata_claims").unionByName(given(device_claims, "metadata_claims")),
         "relationships": number_edges(shape(own_edges, "relationships").unionByName(given(relationships, "relationships"))),
+        "derivations": given(None, "derivations"),
     }
 
 
@@ -113,24 +116,47 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     parts.append(lost.select(F.lit("artifact").alias("entity"), F.col("artifact_id").alias("entity_id"), F.concat("reference", F.lit(" does not exist")).alias("rule")))
     foreign = quality.foreign_claims(t["metadata_claims"], known)
     parts.append(foreign.select(F.lit("claim").alias("entity"), F.concat_ws("/", "subject_type", "subject_id").alias("entity_id"), F.lit("subject does not exist").alias("rule")))
+    unowned = t["derivations"].join(t["experiments"].select("experiment_id"), on="experiment_id", how="left_anti")
+    parts.append(unowned.select(F.lit("derivation").alias("entity"), F.col("file_id").alias("entity_id"), F.lit("experiment does not exist").alias("rule")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def replace_catalog(spark: SparkSession, root: str, tables: dict[str, DataFrame], note: str = "") -> int:
-    """Write the next version, validate what was written, then commit it.
+def replace_catalog(spark: SparkSession, root: str, tables: dict[str, DataFrame], note: str = "", base: int | None = None) -> int:
+    """Write the version after ``base``, validate what was written, then commit it.
 
     The rules read the staged files instead of computing the tables again; a
-    version that breaks a rule stays invisible and the first violations are raised.
+    version that breaks a rule stays invisible and its violations are raised by rule.
     """
-    version = stage_catalog(spark, root, tables)
-    bad = violations(read_catalog(spark, root, version)).limit(5).collect()
+    staged = stage_catalog(spark, root, tables, base)
+    bad = violations(read_folder(spark, root, staged.folder)).groupBy("entity", "rule").agg(
+        F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("first")
+    ).sort("entity", "rule").collect()
     if bad:
-        raise ValueError(f"catalog is not valid: {[tuple(r) for r in bad]}")
-    commit_catalog(spark, root, version, note)
-    return version
+        told = "; ".join(f"{r['n']} {r['entity']} ({r['rule']}), first {r['first']}" for r in bad)
+        raise ValueError(f"catalog is not valid: {told}")
+    commit_catalog(spark, root, staged, note)
+    return staged.version
+
+
+def update_catalog(
+    spark: SparkSession, root: str, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], note: str = "", attempts: int = 3
+) -> int:
+    """Apply ``change`` to the current version and commit the result.
+
+    A writer that loses the race reads the winner's version, applies the change to
+    it, and validates again; after ``attempts`` losses the conflict is raised.
+    """
+    for left in range(attempts, 0, -1):
+        base = current_version(spark, root)
+        try:
+            return replace_catalog(spark, root, change(read_catalog(spark, root, base)), note, base)
+        except CommitConflict:
+            if left == 1:
+                raise
+    raise ValueError("attempts must be positive")
 
 
 @dataclass(frozen=True)
@@ -142,12 +168,13 @@ class Applied:
 def apply_linkage(tables: dict[str, DataFrame], linked: linkage.Linked, reviewed: DataFrame | None = None) -> Applied:
     """Replace all derived rows of a catalog by a new linkage.
 
-    Rows derived earlier are recognized by their parser version; rows of other
-    origin win over new rows with the same key.  Applying twice gives the same
-    catalog.
+    Rows derived earlier are recognized by their parser version, their plain edges by
+    being made again from the files they hold; rows of other origin win over new
+    rows with the same key.  Applying twice gives the same catalog.
     """
     old = tables["experiments"].where(F.col("parser_version").startswith(linkage.PARSER_PREFIX)).select("experiment_id")
-    old_files = lineage.with_file_id(tables["experiment_files"]).join(old, on="experiment_id", how="left_semi").select("file_id").distinct()
+    old_files = lineage.with_file_id(tables["experiment_files"]).join(old, on="experiment_id", how="left_semi")
+    old_parents = linkage.parent_edges(old_files.withColumn("stem", paths.stem(F.col("relative_path"))))
 
     def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
         named = gone.select(F.col(gone.columns[0]).alias(column))
@@ -161,7 +188,7 @@ def apply_linkage(tables: dict[str, DataFrame], linked: linkage.Linked, reviewed
     )
     edges = tables["relationships"]
     is_file_edge = (F.col("predicate") == "derived_from") & (F.col("source_type") == "file") & (F.col("target_type") == "file")
-    file_edges = without(without(edges.where(is_file_edge), "source_id", old_files), "target_id", old_files)
+    file_edges = without(edges.where(is_file_edge), "relationship_id", old_parents.select("relationship_id"))
     measured = without(edges.where(F.col("predicate") == "measured_on"), "source_id", old)
     other = edges.where(~is_file_edge & (F.col("predicate") != "measured_on"))
     base_edges = other.unionByName(measured).unionByName(file_edges)
@@ -184,7 +211,7 @@ def apply_linkage(tables: dict[str, DataFrame], linked: linkage.Linked, reviewed
         "ordinal", (F.coalesce("__last", F.lit(0)) + F.col("__place") + 1).cast("long")
     )
     new_edges = shape(
-        linkage.measured_on_edges(linked.experiments).unionByName(linkage.derived_from_edges(linked)), "relationships"
+        linkage.measured_on_edges(linked.experiments).unionByName(linkage.parent_edges(linked.files)), "relationships"
     )
     fresh_edges = new_edges.join(base_edges.select("relationship_id"), on="relationship_id", how="left_anti")
     out = dict(tables)
@@ -194,15 +221,21 @@ def apply_linkage(tables: dict[str, DataFrame], linked: linkage.Linked, reviewed
     )
     out["metadata_claims"] = base_claims.unionByName(shape(numbered, "metadata_claims"))
     out["relationships"] = number_edges(base_edges.unionByName(fresh_edges))
+    out["derivations"] = without(tables["derivations"], "experiment_id", old).unionByName(
+        shape(linkage.derivation_members(linked), "derivations")
+    )
     counts = fresh_edges.groupBy("predicate").agg(F.count(F.lit(1)).alias("inserted"))
     return Applied(out, counts)
 
 
 def link_catalog(spark: SparkSession, root: str, reviewed: DataFrame | None = None) -> int:
     """Read the current version, derive device experiments, write the next version."""
-    tables = read_catalog(spark, root)
-    linked = linkage.derive_experiments(tables["devices"], tables["artifacts"], reviewed)
-    return replace_catalog(spark, root, apply_linkage(tables, linked, reviewed).tables, "device linkage")
+
+    def change(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        linked = linkage.derive_experiments(tables["devices"], tables["artifacts"], reviewed)
+        return apply_linkage(tables, linked, reviewed).tables
+
+    return update_catalog(spark, root, change, "device linkage")
 
 
 def run_indexing(records: DataFrame, listing: DataFrame, parser_version: str, now_utc: str, include_failed: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators import devices, linkage
@@ -160,6 +160,61 @@ def linkage_edges(v: Views) -> DataFrame:
     return edges.select("source_id", "target_id")
 
 
+view(
+    "fx_fed",
+    """
+  SELECT t.* FROM fx_canonical t WHERE t.role = 'processed' OR (t.role = 'figure' AND NOT EXISTS (
+    SELECT 1 FROM fx_canonical p WHERE p.device_id = t.device_id AND p.canonical = t.canonical AND p.unresolved = t.unresolved AND p.role = 'processed'
+      AND p.stem = regexp_replace(t.stem, '_(linear|log)$', '')))""",
+    "fx_canonical",
+)
+
+
+@query(
+    """
+SELECT d.experiment_id, m.side, m.file_id FROM (
+  SELECT DISTINCT device_id, canonical, unresolved, CASE WHEN role = 'raw' THEN 'upstream' ELSE 'downstream' END AS side,
+         'file-' || sha256(to_json(['src', relative_path])) AS file_id
+  FROM (SELECT * FROM fx_canonical WHERE role = 'raw' UNION ALL SELECT * FROM fx_fed)) m
+JOIN (SELECT DISTINCT r.device_id, r.canonical, r.unresolved FROM fx_canonical r JOIN fx_fed f
+        ON r.device_id = f.device_id AND r.canonical = f.canonical AND r.unresolved = f.unresolved WHERE r.role = 'raw') both_sides
+  ON m.device_id = both_sides.device_id AND m.canonical = both_sides.canonical AND m.unresolved = both_sides.unresolved
+JOIN fx_derived d ON m.device_id = d.device_id AND m.canonical = d.canonical AND m.unresolved = d.unresolved""",
+    "fx_fed", "fx_derived",
+)
+def linkage_members(v: Views) -> DataFrame:
+    """Factorised ``derived_from``: one row per file and side."""
+    return linkage.derivation_members(linkage.derive_experiments(v.devices, v.artifacts))
+
+
+@query(
+    """
+SELECT d.experiment_id, g.device_id, CAST(g.n_raw AS BIGINT) AS n_raw, CAST(g.n_processed AS BIGINT) AS n_processed, CAST(g.n_figure AS BIGINT) AS n_figure,
+       g.unresolved AS needs_review, CASE WHEN g.joined > 1 THEN 'accepted' ELSE 'unknown' END AS review_state
+FROM (SELECT device_id, unresolved, island, min(canonical) AS canonical, sum(n_raw) AS n_raw, count(*) AS joined,
+             min_by(n_processed, canonical) AS n_processed, min_by(n_figure, canonical) AS n_figure
+      FROM (SELECT *, CASE WHEN unresolved THEN row_number() OVER (PARTITION BY device_id ORDER BY unresolved, canonical)
+                      ELSE sum(CASE WHEN feeds THEN 0 ELSE 1 END) OVER (PARTITION BY device_id, unresolved ORDER BY canonical) END AS island
+            FROM (SELECT *, coalesce(lag(n_processed + n_figure) OVER (PARTITION BY device_id, unresolved ORDER BY canonical), 0) > 0 AS feeds
+                  FROM (SELECT device_id, canonical, unresolved, sum(CASE WHEN role = 'raw' THEN 1 ELSE 0 END) AS n_raw,
+                               sum(CASE WHEN role = 'processed' THEN 1 ELSE 0 END) AS n_processed, sum(CASE WHEN role = 'figure' THEN 1 ELSE 0 END) AS n_figure
+                        FROM fx_canonical GROUP BY device_id, canonical, unresolved)))
+      GROUP BY device_id, unresolved, island) g
+JOIN fx_derived d ON g.device_id = d.device_id AND g.canonical = d.canonical AND g.unresolved = d.unresolved""",
+    "fx_derived",
+)
+def reviewed_merge(v: Views) -> DataFrame:
+    """Chained decisions: every matched experiment with derived files takes the next one's raw files, to the end of the chain."""
+    plain = linkage.derive_experiments(v.devices, v.artifacts).experiments.where(~F.col("needs_review"))
+    by_name = Window.partitionBy("device_id").orderBy("canonical")
+    named = plain.select("device_id", "canonical", (F.col("n_processed") + F.col("n_figure") > 0).alias("feeds"), F.lead("canonical").over(by_name).alias("raw_stem"))
+    reviewed = named.where(F.col("feeds") & F.col("raw_stem").isNotNull()).select(
+        F.col("canonical").alias("processed_stem"), "raw_stem", F.lit("review").alias("source_reference"), F.array().cast("array<string>").alias("evidence")
+    )
+    found = linkage.derive_experiments(v.devices, v.artifacts, reviewed).experiments
+    return found.select("experiment_id", "device_id", "n_raw", "n_processed", "n_figure", "needs_review", "review_state")
+
+
 @query(
     """
 SELECT 'rel-' || sha256(to_json(['experiment', experiment_id, 'measured_on', 'device', device_id, device_id || ' chip'])) AS relationship_id,

@@ -18,7 +18,8 @@ METADATA = (
 CATALOG = {
     "experiments": (
         f"experiment_id string, {METADATA}, metadata_keys array<string>, warnings array<string>, confidence double, "
-        "needs_review boolean, review_state string, parser_version string, roles array<string>"
+        "needs_review boolean, review_state string, parser_version string, roles array<string>, "
+        "directory_context string, figure_linear string, figure_log string"
     ),
     "experiment_files": (
         "experiment_id string, ordinal long, role string, storage_source_id string, relative_path string, file_id string"
@@ -41,6 +42,8 @@ CATALOG = {
         "relationship_id string, source_type string, source_id string, predicate string, target_type string, "
         "target_id string, provenance_source string, review_state string, ordinal long"
     ),
+    # Factorised derived_from edges: each upstream file of an experiment feeds each downstream one.
+    "derivations": "experiment_id string, side string, file_id string",
 }
 
 # Column that readers filter on most; files are clustered by it when written.
@@ -51,6 +54,7 @@ CLUSTER_BY = {
     "artifacts": "artifact_id",
     "metadata_claims": "subject_id",
     "relationships": "source_id",
+    "derivations": "file_id",
 }
 
 INVENTORY = (

@@ -172,14 +172,39 @@ def test_linkage_experiments_and_fallback(linked, rows):
     assert warning == ["processed files without a deterministically matching raw measurement: D345 a/Processed Data/D345_9T_633nm_PL.dat"]
 
 
-def test_linkage_edges_and_hubs_describe_the_same_pairs(linked):
+def test_members_give_the_same_edges_for_named_files(linked):
     full = {(r["source_id"], r["target_id"]) for r in linkage.derived_from_edges(linked).collect()}
     assert len(full) == 3
-    narrow = {(r["source_id"], r["target_id"]) for r in linkage.derived_from_edges(linked, pair_limit=1).collect()}
-    hubs = linkage.derived_from_hubs(linked, pair_limit=1).collect()
-    sides = {s: [(r["experiment_id"], r["file_id"]) for r in hubs if r["side"] == s] for s in ("upstream", "downstream")}
-    wide = {(a, b) for e, a in sides["upstream"] for f, b in sides["downstream"] if e == f}
-    assert wide and narrow | wide == full and not narrow & wide
+    members = linkage.derivation_members(linked)
+    for name in {r["file_id"] for r in members.collect()}:
+        asked = members.where(F.col("file_id") == name).select("file_id")
+        got = {(r["source_id"], r["target_id"]) for r in linkage.derived_from_edges(linked, asked).collect()}
+        assert got == {pair for pair in full if name in pair}
+
+
+def scanned(spark, names):
+    listing = spark.createDataFrame([(n, 1, 1) for n in names], schemas.LISTING)
+    return devices.scan_devices(listing, "src")
+
+
+REVIEWED = "processed_stem string, raw_stem string, source_reference string, evidence array<string>"
+
+
+def test_reviewed_matches_chain_and_roles_are_counted_again(spark, rows):
+    names = [f"D9 x/Initial Data/D9_{k}K.csv" for k in (1, 2, 3)] + [f"D9 x/Processed Data/D9_{k}K_PL.dat" for k in (1, 2)]
+    scan = scanned(spark, names)
+    # The later link of the chain is decided first.
+    reviewed = spark.createDataFrame([("D9_2K", "D9_3K", "n", []), ("D9_1K", "D9_2K", "n", [])], REVIEWED)
+    result = linkage.derive_experiments(scan.devices, scan.artifacts, reviewed)
+    got = rows(result.experiments.select("experiment_id", "n_raw", "n_processed", "review_state"), "experiment_id")
+    assert got == [("D9-0000", 3, 1, "accepted")]
+    assert rows(result.absorbed.select("absorbed_id", "experiment_id"), "absorbed_id") == [("D9-0001", "D9-0000"), ("D9-0002", "D9-0000")]
+
+
+def test_reviewed_matches_in_a_ring_keep_the_smallest(spark, rows):
+    steps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "b"), ("y", "x"), ("p", "q")], "absorbed_id string, experiment_id string")
+    got = rows(linkage.final_experiments(steps), "absorbed_id")
+    assert got == [("b", "a"), ("c", "a"), ("p", "q"), ("x", "a"), ("y", "a")]
 
 
 def test_reviewed_match_absorbs_the_raw_experiment(spark, device_scan, rows):

@@ -164,6 +164,7 @@ def test_catalog_versions_and_linkage_are_repeatable(spark, tmp_path):
     first = catalog.read_catalog(spark, root)
     assert {n: first[n].count() for n in first} == {
         "experiments": 2, "experiment_files": 4, "devices": 1, "artifacts": 5, "metadata_claims": 8, "relationships": 7,
+        "derivations": 0,
     }
     assert flows.link_catalog(spark, root) == 2
     second = catalog.read_catalog(spark, root)
@@ -176,6 +177,67 @@ def test_catalog_versions_and_linkage_are_repeatable(spark, tmp_path):
     assert catalog.current_version(spark, root) == 3
 
 
+def lab_catalog(spark, names):
+    from cairn.operators.devices import scan_devices
+    from cairn.operators.proposals import classified_files
+
+    files = spark.createDataFrame([(n, 1, 1) for n in names], schemas.LISTING)
+    ids = classified_files(files).select("group_key").distinct().withColumn("experiment_id", F.concat(F.lit("X-"), "group_key"))
+    scan = scan_devices(files, "src")
+    return flows.assemble_catalog(files, ids, "src", "v1", scan.devices, scan.artifacts, scan.claims, scan.relationships)
+
+
+def test_wide_experiments_answer_all_their_edges(spark, tmp_path):
+    from cairn.functions import ids
+    from cairn.operators import lineage
+
+    # One raw stem in two folders and several sources of processed files: 120 x 120 pairs.
+    stem = "D345_4K_633nm"
+    artifacts = spark.range(240).select(
+        F.concat(F.lit("art-"), "id").alias("artifact_id"), F.lit("D345").alias("device_id"),
+        F.concat(F.lit("src"), (F.col("id") % 120).cast("string")).alias("storage_source_id"),
+        F.when(F.col("id") < 120, f"D345 a/Initial Data/{stem}.csv").otherwise(f"D345 a/Processed Data/{stem}_PL.dat").alias("relative_path"),
+        F.when(F.col("id") < 120, "csv").otherwise("dat").alias("extension"),
+        F.lit("UNKNOWN").alias("role"), F.lit("UNKNOWN").alias("category"), F.lit("UNKNOWN").alias("media_type"), F.lit("unknown").alias("review_state"),
+        F.lit(1).cast("long").alias("size_bytes"), F.lit(1).cast("long").alias("mtime_ns"), F.lit("{}").alias("metadata_json"),
+    )
+    made = lab_catalog(spark, NAMES[:1]) | {"artifacts": artifacts}
+    made["relationships"] = made["relationships"].limit(0)
+    root = str(tmp_path / "wide")
+    flows.replace_catalog(spark, root, made)
+    flows.link_catalog(spark, root)
+    tables = catalog.read_catalog(spark, root)
+    assert tables["derivations"].count() == 240 and tables["relationships"].where("predicate = 'derived_from'").count() == 0
+    files = tables["derivations"].where("side = 'upstream'").select("file_id")
+    edges = lineage.edges_of_files(tables["relationships"], tables["derivations"], files)
+    assert edges.select("relationship_id").distinct().count() == 120 * 120
+    one = spark.range(1).select(ids.file_id(F.lit("src7"), F.lit(f"D345 a/Processed Data/{stem}_PL.dat")).alias("file_id"))
+    assert lineage.edges_of_files(tables["relationships"], tables["derivations"], one).select("source_id").distinct().count() == 120
+
+
+def test_of_two_writers_the_second_starts_over(spark, tmp_path):
+    root = str(tmp_path / "raced")
+    first = lab_catalog(spark, NAMES)
+    flows.replace_catalog(spark, root, first)
+    mine = catalog.stage_catalog(spark, root, first)
+    theirs = catalog.stage_catalog(spark, root, first | {"devices": first["devices"].withColumn("review_state", F.lit("accepted"))})
+    assert mine.version == theirs.version == 2 and mine.folder != theirs.folder
+    catalog.commit_catalog(spark, root, theirs)
+    with pytest.raises(catalog.CommitConflict):
+        catalog.commit_catalog(spark, root, mine)
+    assert catalog.read_catalog(spark, root)["devices"].first()["review_state"] == "accepted"
+    calls = []
+
+    def change(tables):
+        calls.append(tables["devices"].first()["review_state"])
+        if len(calls) == 1:  # another writer comes in between
+            catalog.commit_catalog(spark, root, catalog.stage_catalog(spark, root, tables | {"devices": tables["devices"].withColumn("review_state", F.lit("rejected"))}))
+        return tables
+
+    assert flows.update_catalog(spark, root, change) == 4 and calls == ["accepted", "rejected"]
+    assert catalog.read_catalog(spark, root)["devices"].first()["review_state"] == "rejected"
+
+
 def test_indexing_run(spark):
     names = [*NAMES, "D1/Initial Data/D1_4K_p1_633nm.csv", "D1/Initial Data/D1_4K_P1_633nm.csv"]
     records = spark.createDataFrame(
