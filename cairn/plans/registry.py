@@ -40,6 +40,7 @@ def _load() -> None:
         inventory_queries,
         linkage_queries,
         quality_queries,
+        record_queries,
         scan_queries,
     )
 
