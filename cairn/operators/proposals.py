@@ -17,6 +17,7 @@ from cairn.functions import paths
 from cairn.functions.binding import computed
 from cairn.functions.filename import METADATA_FIELDS
 from cairn.functions.gates import ELECTRICAL_SCALARS
+from cairn.functions.registry import FeatureRegistry
 from cairn.operators.merging import (
     ROLES,
     confidence,
@@ -24,6 +25,7 @@ from cairn.operators.merging import (
     merge_variants,
     with_features,
 )
+from cairn.operators.ordering import position_within
 
 # Derived-name rules and unresolved reasons.
 AVERAGE_SUFFIX = r"_avg\d+_DR_R_Self$"
@@ -40,6 +42,7 @@ class Scan:
     files: DataFrame
     proposals: DataFrame
     unclassified: DataFrame
+    features: DataFrame | None = None
 
 
 def classify(listing: DataFrame) -> DataFrame:
@@ -77,16 +80,43 @@ def experiment_groups(files: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     return merged.withColumn("confidence", confidence(F.col("n_raw"), F.col("n_processed")))
 
 
-def scan(listing: DataFrame, scope: Sequence[str] = ()) -> Scan:
-    """Classify, group and merge a listing (``relative_path`` plus scope columns)."""
+def scan(listing: DataFrame, scope: Sequence[str] = (), features: FeatureRegistry | None = None) -> Scan:
+    """Classify, group and merge a listing (``relative_path`` plus scope columns).
+
+    Registered features become columns of ``files`` and, merged per group, rows of
+    ``features``.
+    """
     files = classified_files(listing)
+    own = () if features is None else features.names()
+    taken = sorted({*scope, "group_key", "role", "relative_path", "stem"} & set(own))
+    if taken:
+        raise ValueError(f"feature names clash with scan columns: {', '.join(taken)}")
+    named = files.select(*scope, "group_key", "role", "relative_path", "stem")
+    if features is not None:
+        named = features.apply(named)
     return Scan(
-        files=files.select(*scope, "group_key", "role", "relative_path", "stem"),
+        files=named,
         proposals=experiment_groups(files, scope),
         unclassified=unclassified_files(listing),
+        features=group_features(named, own, scope) if own else None,
     )
 
 
+def group_features(files: DataFrame, names: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    """(scope, group_key, feature, value, warning): one row per group and feature read in it.
+
+    Values are reduced to the distinct ones before they are merged.  As for the
+    built-in fields a value is kept when it is the only one; otherwise it is null and
+    the warning tells how many there are and the first and last of them.
+    """
+    keys = [*scope, "group_key", "feature"]
+    read = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("string").alias("value")) for n in names])
+    seen = files.select(*scope, "group_key", F.inline(read)).where("value IS NOT NULL").distinct()
+    merged = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    told = F.concat(F.lit("conflicting "), F.col("feature"), F.lit(" values: "), F.col("n").cast("string"), F.lit(" from "), F.col("low"), F.lit(" to "), F.col("high"))
+    return merged.select(*keys, F.when(F.col("n") == 1, F.col("low")).alias("value"), F.when(F.col("n") > 1, told).alias("warning"))
+
+
 def scan_sample(proposals: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Scan-level sample id: kept when unique, otherwise null with a warning."""
     seen = F.when(F.col("sample_id") != "", F.col("sample_id"))
@@ -195,6 +225,25 @@ def lineage(files: DataFrame, scope: Sequence[str] = ()) -> tuple[DataFrame, Dat
     return raw_edges.unionByName(figure_edges), raw_open.unionByName(figure_open)
 
 
+def unresolved_candidates(files: DataFrame, unresolved: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Unresolved relationships with every candidate by name, one row each in path order.
+
+    A file that no rule connects to anything keeps one row with a null candidate;
+    an ambiguous stem has as many rows as files share it.
+    """
+    keys = [*scope, "group_key"]
+    match = [*keys, "target_role", "target_stem"]
+    known = files.select(*keys, F.col("role").alias("target_role"), F.col("stem").alias("target_stem"), F.col("relative_path").alias("candidate"))
+    named = unresolved.drop("n_candidates")
+    several = named.where(F.col("target_stem").isNotNull()).join(known, on=match)
+    placed = position_within(several, [*match, "source_role", "source"], ["candidate"])
+    none = named.where(F.col("target_stem").isNull())
+    columns = [*keys, "source_role", "source", "target_role", "reason", "target_stem", "ordinal", "candidate"]
+    return placed.select(*columns).unionByName(
+        none.withColumns({"ordinal": F.lit(None).cast("long"), "candidate": F.lit(None).cast("string")}).select(*columns)
+    )
+
+
 def import_proposals(result: Scan, unresolved: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Proposals with ``n_unresolved`` and ``needs_review``."""
     keys = [*scope, "group_key"]
@@ -278,6 +327,6 @@ def source_membership(files: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 __all__ = [
     "ROLES", "METADATA_FIELDS", "Scan", "classify", "classified_files", "experiment_groups",
-    "figure_links", "import_proposals", "lineage", "provenance", "raw_links", "scan", "scan_sample",
-    "source_membership", "unclassified_files",
+    "figure_links", "group_features", "import_proposals", "lineage", "provenance", "raw_links", "scan", "scan_sample",
+    "source_membership", "unclassified_files", "unresolved_candidates",
 ]

@@ -62,6 +62,7 @@ def assemble_catalog(
         F.array().cast("array<string>").alias("evidence"), F.lit("unknown").alias("review_status"),
     )
     chosen = edges.join(experiment_ids, on="group_key", how="left_semi").select("source", "target", "relation")
+    open_links = proposals.unresolved_candidates(result.files, unresolved).join(experiment_ids, on="group_key")
     own_edges = lineage.file_edges(chosen, storage_source).withColumn("ordinal", F.lit(None).cast("long"))
 
     def given(df: DataFrame | None, table: str) -> DataFrame:
@@ -77,6 +78,7 @@ def assemble_catalog(
         "metadata_claims": shape(claims, "metadata_claims").unionByName(given(device_claims, "metadata_claims")),
         "relationships": number_edges(shape(own_edges, "relationships").unionByName(given(relationships, "relationships"))),
         "derivations": given(None, "derivations"),
+        "unresolved_links": shape(open_links, "unresolved_links"),
     }
 
 
@@ -117,6 +119,8 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     foreign = quality.foreign_claims(t["metadata_claims"], known)
     parts.append(foreign.select(F.lit("claim").alias("entity"), F.concat_ws("/", "subject_type", "subject_id").alias("entity_id"), F.lit("subject does not exist").alias("rule")))
     unowned = t["derivations"].join(t["experiments"].select("experiment_id"), on="experiment_id", how="left_anti")
+    stray = t["unresolved_links"].join(t["experiments"].select("experiment_id"), on="experiment_id", how="left_anti")
+    parts.append(stray.select(F.lit("unresolved link").alias("entity"), F.col("source").alias("entity_id"), F.lit("experiment does not exist").alias("rule")))
     parts.append(unowned.select(F.lit("derivation").alias("entity"), F.col("file_id").alias("entity_id"), F.lit("experiment does not exist").alias("rule")))
     out = parts[0]
     for part in parts[1:]:
@@ -221,6 +225,7 @@ def apply_linkage(tables: dict[str, DataFrame], linked: linkage.Linked, reviewed
     )
     out["metadata_claims"] = base_claims.unionByName(shape(numbered, "metadata_claims"))
     out["relationships"] = number_edges(base_edges.unionByName(fresh_edges))
+    out["unresolved_links"] = without(tables["unresolved_links"], "experiment_id", old)
     out["derivations"] = without(tables["derivations"], "experiment_id", old).unionByName(
         shape(linkage.derivation_members(linked), "derivations")
     )

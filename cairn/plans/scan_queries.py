@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import filename, gates, paths
+from cairn.functions.registry import FeatureRegistry
 from cairn.functions.text import collapse_whitespace
 from cairn.operators import documents, merging, previews, proposals
 from cairn.plans.projections import Views, view
@@ -258,6 +259,73 @@ def unresolved_links(v: Views) -> DataFrame:
     return unresolved.select("source_role", "source", "reason")
 
 
+view(
+    "fx_twins",
+    """
+SELECT relative_path, role, group_key, regexp_replace(split_part(relative_path, '/', -1), '\\.[^.]+$', '') AS stem FROM fx_groups WHERE role IS NOT NULL
+UNION ALL
+SELECT replace(relative_path, 'Processed Data/', 'Processed Data/again/'), role, group_key, regexp_replace(split_part(relative_path, '/', -1), '\\.[^.]+$', '')
+FROM fx_groups WHERE role IN ('processed', 'figure') AND CAST(substr(device_id, 2) AS BIGINT) % 3 = 0""",
+    "fx_groups",
+)
+_TWIN_LINK = """
+(a.role = 'raw' AND b.role = 'processed' AND regexp_replace(b.stem, '_PL$', '') = a.stem
+  OR a.role = 'processed' AND b.role = 'figure' AND b.stem IN (a.stem, a.stem || '_linear', a.stem || '_log'))"""
+view(
+    "fx_twin_links",
+    f"""
+SELECT a.role AS source_role, a.relative_path AS source, b.role AS target_role, b.stem AS target_stem, b.relative_path AS candidate,
+       row_number() OVER (PARTITION BY a.relative_path, b.role, b.stem ORDER BY b.relative_path) - 1 AS ordinal,
+       count(*) OVER (PARTITION BY a.relative_path, b.role, b.stem) AS n
+FROM fx_twins a JOIN fx_twins b ON a.group_key = b.group_key AND {_TWIN_LINK}""",
+    "fx_twins",
+)
+
+
+def _twins(v: Views) -> DataFrame:
+    """The listing, with every third device's derived files a second time in a folder below."""
+    path = F.col("relative_path")
+    number = F.regexp_extract(path, r"^D(\d+) chip/Processed Data/", 1)
+    again = v.listing.where((number != "") & (number.try_cast("long") % 3 == 0)).withColumn(
+        "relative_path", F.replace(path, F.lit("Processed Data/"), F.lit("Processed Data/again/"))
+    )
+    return v.listing.unionByName(again)
+
+
+@query(
+    """
+SELECT source_role, source, target_role, 'ambiguous ' || target_role || ' stem' AS reason, target_stem, ordinal, candidate FROM fx_twin_links WHERE n > 1
+UNION ALL
+SELECT a.role, a.relative_path, CASE WHEN a.role = 'raw' THEN 'processed' ELSE 'figure' END, 'no ' || CASE WHEN a.role = 'raw' THEN 'processed' ELSE 'figure' END || ' file with a known derivation', NULL, NULL, NULL
+FROM fx_twins a WHERE a.role IN ('raw', 'processed') AND a.relative_path NOT IN (SELECT source FROM fx_twin_links)
+  AND (a.role = 'processed' OR a.group_key IN (SELECT group_key FROM fx_twins WHERE role = 'processed'))""",
+    "fx_twins", "fx_twin_links",
+)
+def unresolved_candidates(v: Views) -> DataFrame:
+    """Open links with every candidate by name."""
+    files = proposals.scan(_twins(v)).files
+    _, unresolved = proposals.lineage(files)
+    found = proposals.unresolved_candidates(files, unresolved)
+    return found.select("source_role", "source", "target_role", "reason", "target_stem", "ordinal", "candidate")
+
+
+@query(
+    """
+SELECT group_key, feature, CASE WHEN count(v) = 1 THEN min(v) END AS value,
+       CASE WHEN count(v) > 1 THEN 'conflicting ' || feature || ' values: ' || count(v) || ' from ' || min(v) || ' to ' || max(v) END AS warning
+FROM (SELECT DISTINCT group_key, unnest(['series', 'shape']) AS feature,
+  unnest([nullif(regexp_extract(stem, '^([A-Z]+[0-9])', 1), ''), nullif(regexp_extract(stem, '_(PL|linear|log)$', 1), '')]) AS v FROM fx_twins)
+WHERE v IS NOT NULL GROUP BY group_key, feature""",
+    "fx_twins",
+)
+def scan_with_feature(v: Views) -> DataFrame:
+    """A scan with two features of the user's own, merged per group."""
+    own = FeatureRegistry()
+    own.register("series", lambda stem: F.nullif(F.regexp_extract(stem, "^([A-Z]+[0-9])", 1), F.lit("")))
+    own.register("shape", lambda stem: F.nullif(F.regexp_extract(stem, "_(PL|linear|log)$", 1), F.lit("")))
+    return proposals.scan(_twins(v), features=own).features
+
+
 @query(
     """
 SELECT group_key, bool_or(role = 'figure') AND NOT bool_or(role IN ('raw', 'processed')) OR

@@ -44,6 +44,11 @@ CATALOG = {
     ),
     # Factorised derived_from edges: each upstream file of an experiment feeds each downstream one.
     "derivations": "experiment_id string, side string, file_id string",
+    # File links that stay open: one row per candidate, one without a candidate where none is known.
+    "unresolved_links": (
+        "experiment_id string, source_role string, source string, target_role string, reason string, target_stem string, "
+        "ordinal long, candidate string"
+    ),
 }
 
 # Column that readers filter on most; files are clustered by it when written.
@@ -55,6 +60,7 @@ CLUSTER_BY = {
     "metadata_claims": "subject_id",
     "relationships": "source_id",
     "derivations": "file_id",
+    "unresolved_links": "experiment_id",
 }
 
 INVENTORY = (

@@ -24,7 +24,7 @@ from cairn.schemas import CATALOG, CLUSTER_BY
 
 COMMIT_SCHEMA = "version long, folder string, note string"
 # Tables that catalogs written before them lack.
-ADDED_LATER = ("derivations",)
+ADDED_LATER = ("derivations", "unresolved_links")
 
 
 def _commits(spark: SparkSession, root: str) -> DataFrame | None:
