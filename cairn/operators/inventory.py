@@ -81,8 +81,8 @@ def reconcile(
     )
 
 
-def scan_counters(reconciled: DataFrame) -> DataFrame:
-    """One row of session counters."""
+def scan_counters(reconciled: DataFrame, *more: Column) -> DataFrame:
+    """One row of session counters, with further aggregates if wanted."""
 
     def n(*values: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("outcome").isin(*values), 1).otherwise(0)), F.lit(0))
@@ -94,6 +94,7 @@ def scan_counters(reconciled: DataFrame) -> DataFrame:
         n("changed").alias("files_changed"),
         n("restored").alias("files_restored"),
         n("marked_missing").alias("files_marked_missing"),
+        *more,
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators import indexing, inventory, relocation
+from cairn.operators import indexing, inventory, relocation, sessions
 from cairn.plans.projections import Views, view
 from cairn.plans.registry import query
 
@@ -51,6 +51,39 @@ def inventory_counters(v: Views) -> DataFrame:
     return inventory.scan_counters(_reconciled(v))
 
 
+view(
+    "fx_walk",
+    """
+SELECT *, row_number() OVER (ORDER BY split_part(relative_path, '/', 1), split_part(relative_path, '/', 2)) AS place
+FROM fx_diff WHERE outcome NOT IN ('marked_missing', 'still_absent')""",
+    "fx_diff",
+)
+
+
+def _session_sql(call: str, status: str, files: str, missing: str, remaining: str) -> str:
+    kinds = ", ".join(f"count(*) FILTER (WHERE outcome = '{k}') AS files_{k}" for k in ("new", "unchanged", "changed", "restored"))
+    return (
+        f"SELECT {call} AS call, 's2' AS session_id, 2 AS generation, '{status}' AS status, arg_max(relative_path, place) AS checkpoint_path, count(*) AS files_seen, "
+        f"{kinds}, {missing} AS files_marked_missing, {remaining} AS remaining FROM fx_walk WHERE {files}"
+    )
+
+
+@query(
+    _session_sql("1", "active", "place <= 500", "0", "(SELECT count(*) - 500 FROM fx_walk)")
+    + "\nUNION ALL\n"
+    + _session_sql("2", "completed", "true", "(SELECT count(*) FROM fx_diff WHERE outcome = 'marked_missing')", "0"),
+    "fx_diff", "fx_walk",
+)
+def session_counters(v: Views) -> DataFrame:
+    """A pass over the whole listing in two calls: the first handles 500 files, the second all others."""
+    past = v.spark.createDataFrame([("s1", 1, "completed", None, *[0] * len(sessions.COUNTERS), 0, NOW, NOW)], sessions.SESSIONS)
+    one = sessions.scan_batch(v.prior, past, v.new_listing, "s2", NOW, max_files=500)
+    two = sessions.scan_batch(one.records, sessions.replaced(past, one.session), v.new_listing, "s3", NOW)
+    columns = ("session_id", "generation", "status", "checkpoint_path", *sessions.COUNTERS)
+    parts = [s.session.select(F.lit(n).alias("call"), *columns, F.lit(s.remaining).alias("remaining")) for n, s in ((1, one), (2, two))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("SELECT relative_path FROM fx_diff WHERE outcome = 'marked_missing'", "fx_diff")
 def mark_missing(v: Views) -> DataFrame:
     return inventory.newly_missing(v.prior, v.new_listing).select("relative_path")
