@@ -35,6 +35,7 @@ def query(sql: str | None = None, *views: str) -> Callable[[Plan], Plan]:
 
 def _load() -> None:
     from cairn.plans import (  # noqa: F401
+        archive_queries,
         batch_queries,
         catalog_queries,
         inventory_queries,
