@@ -1,32 +1,36 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 A document's set is its distinct 5-word shingles as 64-bit hashes; equal sets are
-one class with a digest.  Set sizes fall into bands whose upper end is 4/3 of the
-lower one, so a pair of sets with a similarity of 3/4 lies in one band or in two
-adjacent ones; it meets under the tag of the smaller set's band, and every set
-signs for its own band and for the one below.
-
-For a smaller set of at most ``r`` elements the two sets differ in at most
-``k = r // 3`` elements.  The feature domain is cut into more than ``k``
-partitions, one subset of the enumeration per partition: a signature is the hash
-of all elements of the set in one partition.  At most ``k`` partitions hold a
-difference, so a similar pair agrees in a partition that is not empty if the two
-sets fill more than ``k`` partitions.  A set that fills fewer also signs a tag's
-common ``sparse`` key: if a pair agrees in no filled partition, both sets fill at
-most ``k`` and meet there.  No similar pair is missed, and empty partitions, which
-would collect everything, sign nothing.
+one class with a digest.  Set sizes fall into bands [4^t, 4^(t+1)); a pair meets
+under the tag of the smaller set's band, so every set signs for its own band and,
+where a set of the band below can be similar to it, for that one too.
+
+A band cuts the feature domain into partitions, and the subsets enumerated are the
+single partitions: a token is the hash of all elements of a set in one partition.
+Sets of n and m elements with a similarity of 3/4 differ in at most
+``k = (n + m) // 7`` elements, so in at most ``k`` partitions, and all other
+partitions hold equal tokens.  Tokens have one order for all sets, rare ones first,
+and a set signs the first ``k + 1`` of its filled partitions: the first token that
+two similar sets share is among them in both, for else ``k + 1`` tokens before it
+would differ.  Two similar sets without any equal token both fill at most ``k``
+partitions; such sets also sign their first ``n // 4 + 1`` elements, one of which
+they share.  No similar pair is missed, no key stands for emptiness, and passages
+that many documents hold are signed last.  The order comes from counts over a
+sample of ``ORDERED`` documents; it decides what the join costs, never its result.
 
 Signatures meet after one shuffle in sorted order.  A pass over each partition
-keeps buckets of two and more classes, once per distinct set of members.  Each
-bucket has a pivot, and only its pairs with the pivot are checked, behind an exact
-bound (parity bits: each differing element flips at most one) and then on whole
-sets.  Members that these links leave in different components can only be similar
-if they share an element outside the pivot, so they meet again in smaller buckets
-under such elements, rare ones first, until no bucket joins two components.  The
-pivot is by turns the member of most buckets, near which a group of near copies
-lies, and the smallest set.  Once the remaining buckets hold no more pairs than there were rows
-in the first ones, or a turn leaves more than nine tenths of their pairs, the pairs
-between components are checked one by one.
+keeps buckets of two and more classes, once per distinct set of members.  Links
+are found in three steps, each between members of different components only:
+
+1. Each class is held against the hub (first member by hash) it shares most
+   buckets with, so a group of copies links at one pair a class.
+2. Of each pair of components that meets in a bucket, the likeliest pair.
+3. All that is left.
+
+Buckets of up to ``SMALL`` members give their pairs of fitting sizes.  Larger ones
+are compared in numpy, in cells of about ``CELL`` rows a side, and only pairs
+within an exact bound leave the task (parity bits: each differing element flips at
+most one).  All candidates are confirmed on whole sets.
 
 Cases: texts of fewer than 5 words have one shingle, the whole sequence; null and
 empty texts have none and stand alone; equal texts are one class; a repeated id
@@ -47,8 +51,12 @@ from cairn.llm.common import blocks, cut_lineage, mix, shuffle_width, table, tex
 from cairn.llm.components import components
 
 WORDS = 5
-SLOTS = 1 << 22
-LEVELS = 1 << 18
+SLOTS = 1 << 24
+LEVELS = 1 << 19
+ORDERED = 20_000
+PARITY_BITS = 1 << 15
+SMALL = 16
+CELL = 2048
 HELD = 200_000
 KNOWN = 500_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -87,11 +95,11 @@ def digest_of(elements: np.ndarray) -> int:
 def parity_of(elements: np.ndarray) -> np.ndarray:
     """Parity bits as words: a bit is odd when an odd number of elements falls on it.
 
-    There are at least twice as many bits as elements, and a power
-    of two, so the bits of a larger set fold onto those of a smaller one.
+    Up to ``PARITY_BITS`` there are at least twice as many bits as elements, and a
+    power of two, so the bits of a larger set fold onto those of a smaller one.
     """
     bits = 64
-    while bits < 2 * len(elements):
+    while bits < min(2 * len(elements), PARITY_BITS):
         bits *= 2
     at = (mix(elements + _FACTORS[4]) % np.uint64(bits)).astype(np.int64)
     odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
@@ -101,66 +109,95 @@ def parity_of(elements: np.ndarray) -> np.ndarray:
 # ---- signatures ---------------------------------------------------------------------
 
 
-def bands(largest: int) -> list[tuple[int, int]]:
-    out, low = [], 1
-    while low <= largest:
-        high = low * 4 // 3
-        out.append((low, high))
-        low = high + 1
-    return out
+def _tokens(elements: np.ndarray, tag: int) -> np.ndarray:
+    """Tokens of the partitions of a tag that a set fills: 2 * 4^tag + 8 of them, so that a set of its sizes fills more than k."""
+    n = 2 * 4**tag + 8
+    part = (mix(elements + np.uint64(tag)) % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    sums = np.add.reduceat(mix(elements[order] ^ np.uint64(0x2545F4914F6CDD1D)), starts)
+    return mix(sums + part[starts].astype(np.uint64) * _FACTORS[0] + np.uint64(tag * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
 
 
-def _bounds() -> np.ndarray:
-    return np.array([low for low, _ in bands(1 << 40)])
+def _tags(size: int) -> list[tuple[int, int]]:
+    """(tag, k) of a set: the largest number of elements in which a partner differs; none below 3 elements, where only equal sets are similar."""
+    if size < 3:
+        return []
+    own = (size.bit_length() - 1) // 2
+    below = 4**own - 1
+    lower = [(own - 1, (size + below) // 7)] if own and 3 * size <= 4 * below else []
+    return [(own, (size + 4 * size // 3) // 7), *lower]
 
 
-def partitions_of(low: int) -> int:
-    """Partitions of a tag: enough that a set of its sizes fills more than k of them."""
-    return int(0.7 * low) + 8
+def _first(tokens: np.ndarray, level: np.ndarray, n: int) -> np.ndarray:
+    """The first n tokens in the common order."""
+    if len(tokens) <= n:
+        return tokens
+    rank = (level[(tokens % np.uint64(LEVELS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
+    return tokens[np.lexsort((tokens, rank))[:n]]
 
 
-def signatures(elements: np.ndarray, lows: np.ndarray) -> np.ndarray:
+def signatures(elements: np.ndarray, level: np.ndarray) -> np.ndarray:
     """All signatures of one set."""
     size = len(elements)
-    own = int(np.searchsorted(lows, size, "right")) - 1
-    out = []
-    for tag in (own, own - 1):
-        if tag < 0:
-            continue
-        low, high = int(lows[tag]), int(lows[tag]) * 4 // 3
-        if tag != own and 3 * size > 4 * high:
-            continue  # no set of the lower band is large enough
-        n = partitions_of(low)
-        part = (mix(elements + np.uint64(tag)) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        sums = np.add.reduceat(mix(elements[order] ^ np.uint64(0x2545F4914F6CDD1D)), starts)
-        out.append(mix(sums + part[starts].astype(np.uint64) * _FACTORS[0] + np.uint64(tag * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)))
-        if len(starts) <= high // 3:
-            out.append(mix(np.array([tag], np.uint64) * _FACTORS[2]))
+    out = [np.zeros(0, np.uint64)]
+    for tag, k in _tags(size):
+        tokens = _tokens(elements, tag)
+        out.append(_first(tokens, level, k + 1))
+        if len(tokens) <= k:
+            out.append(_first(mix(elements * _FACTORS[2] + np.uint64(tag)), level, size // 4 + 1))
     return np.concatenate(out)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(signature, digest) of the sets of a partition, each set once."""
-    lows = _bounds()
-    seen: set[int] = set()
-    for batch in batches:
-        data, offsets = text_buffer(batch.column("text"))
-        for a, b in blocks(offsets):
-            found, owner = [], []
-            for elements in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                if not len(elements) or (digest := digest_of(elements)) in seen:
-                    continue
-                if len(seen) >= KNOWN:
-                    seen.clear()  # a set signed twice only repeats rows
-                seen.add(digest)
-                found.append(signatures(elements, lows))
-                owner.append(digest)
-            if found:
-                digests = np.repeat(np.array(owner, np.int64), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(digests)], names=["signature", "digest"])
+def token_order(docs: DataFrame) -> np.ndarray:
+    """Level of each of ``LEVELS`` slots of tokens: how far, in steps of a quarter power of two, a slot is above twice the mean count.
+
+    Counts come from about ``ORDERED`` documents chosen by a hash.
+    """
+    rows = docs.count()
+    ticket = F.pmod(F.xxhash64(F.col("doc_id"), F.octet_length("text")), F.lit(1_000_000_000))
+    sample = docs.where(ticket < int(1_000_000_000 * min(1, ORDERED / max(1, rows)))).select("text")
+
+    def count(batches):
+        total = np.zeros(LEVELS, np.int64)
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            for a, b in blocks(offsets):
+                for elements in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                    for tag, _ in _tags(len(elements)):
+                        np.add.at(total, (_tokens(elements, tag) % np.uint64(LEVELS)).astype(np.int64), 1)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
+
+    counted = sample.coalesce(shuffle_width(docs.sparkSession)).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(LEVELS)
+    total[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    return (4 * np.log2(np.maximum(1, total / max(1.0, 2 * total.mean())))).astype(np.uint8)
+
+
+def _sign(level: np.ndarray):
+    """A pass that gives (signature, digest) of the sets of a partition, each set once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            for a, b in blocks(offsets):
+                found, owner = [], []
+                for elements in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                    if not len(elements) or (digest := digest_of(elements)) in seen:
+                        continue
+                    if len(seen) >= KNOWN:
+                        seen.clear()  # a set signed twice only repeats rows
+                    seen.add(digest)
+                    found.append(signatures(elements, level))
+                    owner.append(digest)
+                if found:
+                    digests = np.repeat(np.array(owner, np.int64), [len(f) for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(digests)], names=["signature", "digest"])
+
+    return run
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +282,7 @@ def _met(signed: DataFrame) -> DataFrame:
 
 
 def buckets(docs: DataFrame) -> DataFrame:
-    return _met(docs.select("text").mapInArrow(_sign, "signature long, digest long"))
+    return _met(docs.select("text").mapInArrow(_sign(token_order(docs)), "signature long, digest long"))
 
 
 # ---- verification -------------------------------------------------------------------
@@ -261,9 +298,9 @@ def _chosen_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     A bit map of fixed size over the hashed ids of those documents goes to the
     tasks, which build sets only for documents in it.
     """
-    marked = chosen.select(_slot(F.col("doc_id")).alias("slot")).groupBy(F.floor(F.col("slot") / 63).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 63 AS INT))")).alias("bits")).collect()
+    marked = chosen.select(_slot(F.col("doc_id")).alias("slot")).groupBy(F.floor(F.col("slot") / 63).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 63 AS INT))")).alias("bits")).toArrow()
     bits = np.zeros(SLOTS // 63 + 1, np.int64)
-    bits[[r["word"] for r in marked]] = [r["bits"] for r in marked]
+    bits[marked.column("word").to_numpy()] = marked.column("bits").to_numpy()
 
     def build(batches):
         for batch in batches:
@@ -339,130 +376,149 @@ def _labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
     return met.withColumn("label", F.coalesce("label", "digest"))
 
 
-# ---- pivots -------------------------------------------------------------------------
+# ---- links --------------------------------------------------------------------------
 
 
-def _spokes(found: DataFrame, classes: DataFrame, central: bool) -> DataFrame:
-    """pivot, digest: the members of each bucket with its pivot, the member of most buckets or else the smallest set."""
-    if central:
-        weights = found.groupBy("digest").agg((-F.count(F.lit(1))).alias("rank"))
-    else:
-        weights = classes.select("digest", F.col("n").alias("rank"))
-    ranked = found.join(weights, "digest")
-    pivots = ranked.groupBy("bucket").agg(F.min(F.struct("rank", "digest")).alias("first")).select("bucket", F.col("first.digest").alias("pivot"))
-    return cut_lineage(found.join(pivots, "bucket").where("digest <> pivot").select("pivot", "digest").distinct())
+def hubs(found: DataFrame) -> DataFrame:
+    """a, b: each class with the hub it shares most buckets with; a bucket's hub is its first member by hash."""
+    order = F.struct(F.xxhash64("digest").alias("h"), "digest")
+    of = found.groupBy("bucket").agg(F.min(order).alias("first")).select("bucket", F.col("first.digest").alias("hub"))
+    shared = found.join(of, "bucket").where("digest <> hub").groupBy("digest", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("digest").agg(F.max(F.struct("n", "hub")).alias("best")).select("digest", F.col("best.hub").alias("hub"))
+    return best.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"))
 
 
-def filter_of(elements: np.ndarray) -> np.ndarray:
-    """Bits that hold every element: a power of two of them, at least eight an element."""
-    bits = 64
-    while bits < 8 * len(elements):
-        bits *= 2
-    held = np.zeros(bits, bool)
-    held[(mix(elements + _FACTORS[2]) % np.uint64(bits)).astype(np.int64)] = True
-    return np.packbits(held, bitorder="little")
+def _mixed(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, digest, label, size: the buckets that hold several components."""
+    named = _labelled(found, labels)
+    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size")
+    return cut_lineage(named.join(several, "bucket").select("bucket", "digest", "label", "size"))
 
 
-def outside(elements: np.ndarray, bits: np.ndarray, least: int, level: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The elements outside a pivot's filter that a partner must share one of, and whether a partner may share none.
+def _steps(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs within runs of rows, by distance."""
+    last = np.repeat(ends, ends - starts)
+    i, step = np.arange(len(last)), 1
+    while len(i := i[i + step < last[i]]):
+        yield i, i + step
+        step += 1
 
-    Let P be all that the filter holds, the pivot and a few more.  Similar sets x
-    and y share 3/7 (|x| + |y|) elements, at most min(|x & P|, |y & P|) of them in P,
-    so at least 3/7 (|x| + |y|) - |x & P| outside.  ``least`` is the size of the
-    smallest possible partner; rare elements come first.
-    """
-    n = len(elements)
-    at = (mix(elements + _FACTORS[2]) % np.uint64(8 * len(bits))).astype(np.int64)
-    own = elements[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 0]
-    least = max(least, -(-3 * n // 4))
-    needed = -(-3 * (n + least) // 7) - (n - len(own))
-    order = np.lexsort((own, level[(own % np.uint64(LEVELS)).astype(np.int64)]))
-    return own[order][: max(0, len(own) - max(1, needed) + 1)], needed <= 0
 
+def _pairs_of(columns: dict[str, np.ndarray], parity: pa.Array | None, best: bool) -> pa.RecordBatch:
+    """Pairs (a, b) of sorted runs of rows: between components, of fitting sizes, within the parity bound where parities are given.
 
-def _unsigned(column: pa.Array, i: int) -> np.ndarray:
-    return column[i].values.to_numpy().view(np.uint64)
-
-
-def _levels(sets: DataFrame) -> np.ndarray:
-    """How often elements occur, as powers of two for a fixed number of slots; it orders elements and drops none."""
-
-    def count(batches):
-        total = np.zeros(LEVELS, np.int64)
-        for batch in batches:
-            column = batch.column("elements")
-            total += np.bincount((column.flatten().to_numpy().view(np.uint64) % np.uint64(LEVELS)).astype(np.int64), minlength=LEVELS)
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
-
-    counted = sets.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.log2(F.sum("n")).cast("int").alias("level")).toArrow()
-    level = np.zeros(LEVELS, np.uint8)
-    level[counted.column("slot").to_numpy()] = counted.column("level").to_numpy()
-    return level
-
-
-def refined(spokes: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """bucket, digest: smaller buckets in which all links between members of different components lie.
-
-    Members of a pivot's buckets meet again under an element outside the pivot.
-    Those with so much of the pivot that they need no other element meet under one
-    key of the pivot.  The pivot itself is in none of them.
+    With ``best`` one pair of each two components of the rows, that of the fewest flips or nearest sizes.
     """
-    named = _labelled(spokes, labels).join(classes.select("digest", "n"), "digest")
-    several = named.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low <> high").select("pivot", "least")
-    open_ = cut_lineage(named.join(several, "pivot").select("pivot", "digest", "least"))
-    sets = _chosen_sets(docs, _chosen(classes, open_.select("digest").distinct())).where("digest IS NOT NULL").select("digest", "elements")
-    centres = _chosen_sets(docs, _chosen(classes, open_.select(F.col("pivot").alias("digest")).distinct())).where("digest IS NOT NULL")
-    level = _levels(sets)
-
-    def reduce(batches):
-        for batch in batches:
-            column = batch.column("elements")
-            held = [filter_of(_unsigned(column, i)).tobytes() for i in range(len(column))]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(held, pa.binary())], names=["pivot", "bits"])
+    key, n, label, digest = (columns[c] for c in ("key", "n", "label", "digest"))
+    order = np.lexsort((n, key))
+    key, n, label, digest = key[order], n[order], label[order], digest[order]
+    part, crossed = columns["part"][order], columns["crossed"][order]
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    if parity is not None:
+        flat, at = parity.flatten().to_numpy().view(np.uint64), parity.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        width, begin = np.diff(at)[order], at[:-1][order]
+    kept: list[np.ndarray] = []
+
+    def flips_of(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        for w in np.unique(width[i]):
+            for v in (w, 2 * w):
+                rows = np.flatnonzero((width[i] == w) & (width[j] == v))
+                if len(rows):
+                    x = flat[begin[i[rows]][:, None] + np.arange(w)]
+                    y = flat[begin[j[rows]][:, None] + np.arange(v)]
+                    y = y if v == w else y[:, :w] ^ y[:, w:]
+                    out[rows] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return out
+
+    def reduce(rows: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(label[rows[0]], label[rows[1]]), np.maximum(label[rows[0]], label[rows[1]])
+        rank = np.lexsort((rows[2], high, low))
+        low, high = low[rank], high[rank]
+        first = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        return rows[:, rank[first]]
+
+    held = 0
+    for i, j in _steps(edges[:-1], edges[1:]):
+        fits = (label[i] != label[j]) & (4 * n[i] >= 3 * n[j])
+        fits &= ~crossed[i] | (part[i] != part[j])
+        i, j = i[fits], j[fits]
+        if not len(i):
+            continue
+        cost = 1000 * (n[j] - n[i]) // n[j]
+        if parity is not None:
+            flips = flips_of(i, j)
+            near = 7 * flips <= n[i] + n[j]
+            i, j, cost = i[near], j[near], 1000 * flips[near] // n[j[near]]
+        kept.append(np.stack([i, j, cost]))
+        held += len(i)
+        if best and held > 500_000:
+            kept = [reduce(np.concatenate(kept, axis=1))]
+            held = kept[0].shape[1] // 2
+    rows = np.concatenate(kept, axis=1) if kept else np.zeros((3, 0), np.int64)
+    if best and rows.shape[1]:
+        rows = reduce(rows)
+    a, b = np.minimum(digest[rows[0]], digest[rows[1]]), np.maximum(digest[rows[0]], digest[rows[1]])
+    pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def _compare(best: bool):
+    """A pass over rows sorted by ``cell``; a cell, of a bounded number of rows, may span batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            columns = {c: rows.column(c).to_numpy() for c in ("n", "label", "digest", "part", "crossed")}
+            columns["key"] = rows.column("cell").to_numpy()
+            parity = rows.column("parity").combine_chunks() if "parity" in rows.column_names else None
+            return _pairs_of(columns, parity.chunk(0) if isinstance(parity, pa.ChunkedArray) else parity, best)
 
-    def split(batches):
         for batch in batches:
-            pivots, digest, least = (batch.column(c).to_numpy() for c in ("pivot", "digest", "least"))
-            elements, bits = batch.column("elements"), batch.column("bits")
-            keys = []
-            for i, pivot in enumerate(pivots.view(np.uint64)):
-                own, core = outside(_unsigned(elements, i), np.frombuffer(bits[i].as_py(), np.uint8), int(least[i]), level)
-                keys.append(mix((np.append(own, pivot) if core else own) * _FACTORS[1] + mix(np.array([pivot], np.uint64))))
-            if keys:
-                columns = [np.concatenate(keys).view(np.int64), np.repeat(digest, [len(k) for k in keys])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["signature", "digest"])
-
-    filters = centres.mapInArrow(reduce, "pivot long, bits binary").dropDuplicates(["pivot"])
-    keyed = open_.join(filters, "pivot").join(sets, "digest").mapInArrow(split, "signature long, digest long")
-    mixed = _labelled(_met(keyed), labels)
-    several = mixed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    return cut_lineage(mixed.join(several, "bucket").select("bucket", "digest"))
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            cell = held.column("cell").to_numpy()
+            last = int(np.searchsorted(cell, cell[-1], "left"))
+            if last:
+                yield done(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield done(held)
+
+    return run
+
+
+def across(found: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
+    """Distinct candidate pairs (a, b) between components within mixed buckets."""
+    schema = "a long, b long"
+    width = shuffle_width(found.sparkSession)
+    small = found.where(F.col("size") <= SMALL).join(classes.select("digest", "n"), "digest")
+    small = small.select(F.col("bucket").alias("cell"), "digest", "label", "n", F.lit(0).cast("long").alias("part"), F.lit(False).alias("crossed"))
+    large = found.where(F.col("size") > SMALL).withColumn("parts", F.ceil(F.col("size") / CELL))
+    dealt = large.withColumn("part", F.pmod(F.xxhash64("digest", F.lit(9)), F.col("parts")))
+    celled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    row, column = F.least("part", "other"), F.greatest("part", "other")
+    cell = F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", row, column))
+    celled = celled.select(cell.alias("cell"), "digest", "label", "part", (row != column).alias("crossed")).join(classes.select("digest", "n", "parity"), "digest")
+    compared = [d.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_compare(best), schema) for d in (small, celled)]
+    return cut_lineage(compared[0].union(compared[1]).distinct())
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that give the components of all links."""
-    left, good, turn = buckets(docs), None, 0
-    first, before = left.count(), None
-    while True:
-        spokes = _spokes(left, classes, central=turn % 2 == 0)
-        star = spokes.select(F.least("pivot", "digest").alias("a"), F.greatest("pivot", "digest").alias("b"))
-        more = verified(_bounded(star, classes), docs, classes)
-        good = more if good is None else cut_lineage(good.union(more))
-        labels = components(good)
-        left = refined(spokes, labels, docs, classes)
-        size = F.count(F.lit(1))
-        pairs = left.groupBy("bucket").agg((size * (size - 1) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
-        if pairs is None:
-            return good
-        if pairs <= first or (before is not None and 10 * pairs > 9 * before):
-            break
-        turn, before = turn + 1, pairs
-    members = _labelled(left, labels).join(classes.select("digest", "n"), "digest")
-    n, m = F.col("x.n"), F.col("y.n")
-    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label")) & (4 * F.least(n, m) >= 3 * F.greatest(n, m))
-    rest = members.alias("x").join(members.alias("y"), near).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
-    return cut_lineage(good.union(verified(_bounded(rest, classes), docs, classes)))
+    found = buckets(docs)
+    good = verified(_bounded(hubs(found), classes), docs, classes)
+    for best in (True, False):
+        found = _mixed(found, components(good))
+        more = verified(_bounded(across(found, classes, best), classes), docs, classes)
+        good = cut_lineage(good.union(more))
+        found = found.select("bucket", "digest")
+    return good
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -97,31 +97,60 @@ def test_a_large_group_around_the_threshold(spark):
     assert sorted(tuple(r) for r in got) == brute_components(texts)
 
 
-def test_similar_sets_outside_a_pivot_share_a_key():
-    rng, level = np.random.default_rng(3), np.zeros(jaccard.LEVELS, np.uint8)
-    for _ in range(1500):
-        n = int(rng.integers(4, 100))
-        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-        fresh = lambda most: rng.integers(0, 1 << 63, int(rng.integers(0, most + 1))).astype(np.uint64)  # noqa: E731, B023
-        other = np.unique(np.concatenate([s[rng.random(n) < 0.9], fresh(n // 8)]))
-        pivot = np.unique(np.concatenate([s[rng.random(n) < 0.8], fresh(n // 3)]))
-        both = len(np.intersect1d(s, other))
-        if len(other) and 100 * both >= 75 * (n + len(other) - both):
-            bits, least = jaccard.filter_of(pivot), min(n, len(other))
-            (a, x), (b, y) = jaccard.outside(s, bits, least, level), jaccard.outside(other, bits, least, level)
-            assert (x and y) or len(np.intersect1d(a, b))
-
-
 def test_signatures_meet_for_every_similar_pair():
-    lows, rng = jaccard._bounds(), np.random.default_rng(1)
-    for _ in range(1500):
-        n = int(rng.integers(1, 120))
+    rng = np.random.default_rng(1)
+    level, met = rng.integers(0, 40, jaccard.LEVELS).astype(np.uint8), 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 150))
         s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         common = s[: len(s) - int(rng.integers(0, len(s) // 4 + 1))]
         other = np.unique(np.concatenate([common, rng.integers(0, 1 << 63, int(rng.integers(0, len(s) // 3 + 1))).astype(np.uint64)]))
         both = len(np.intersect1d(s, other))
-        if 100 * both >= 75 * (len(s) + len(other) - both):
-            assert set(jaccard.signatures(s, lows).tolist()) & set(jaccard.signatures(other, lows).tolist())
+        if len(other) and 100 * both >= 75 * (len(s) + len(other) - both) and both < max(len(s), len(other)):
+            met += 1
+            assert set(jaccard.signatures(s, level).tolist()) & set(jaccard.signatures(other, level).tolist())
+    assert met > 500
+
+
+def test_sets_that_fill_few_partitions_meet_by_their_elements(monkeypatch):
+    whole = jaccard._tokens
+    monkeypatch.setattr(jaccard, "_tokens", lambda elements, tag: whole(elements, tag)[:1] + elements[:1])
+    level, s = np.zeros(jaccard.LEVELS, np.uint8), np.arange(100, 140, dtype=np.uint64)
+    other = np.concatenate([np.array([7], np.uint64), s[1:]])
+    assert set(jaccard.signatures(s, level).tolist()) & set(jaccard.signatures(other, level).tolist())
+
+
+def test_pairs_of_cells_across_batches_equal_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 90).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(90) < 0.93], rng.integers(0, 1 << 63, int(rng.integers(0, 25))).astype(np.uint64)])) for _ in range(70)]
+    rows = [(k, len(s), jaccard.parity_of(s).tolist()) for k, s in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "digest long, n long, parity array<long>")
+    found = spark.createDataFrame([(1, k, k % 23, 70) for k in range(70)] + [(2, k, k % 23, 5) for k in range(5)], "bucket long, digest long, label long, size long")
+    similar = set()
+    for i in range(70):
+        for j in range(i + 1, 70):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if i % 23 != j % 23 and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                similar.add((i, j))
+    for cell in (jaccard.CELL, 20):
+        jaccard.CELL, before = cell, jaccard.CELL
+        try:
+            got = {tuple(r) for r in jaccard.across(found, classes, False).collect()}
+            best = {tuple(r) for r in jaccard.across(found, classes, True).collect()}
+        finally:
+            jaccard.CELL = before
+        assert len(similar) > 50 and similar <= got
+        assert best <= got and {frozenset((a % 23, b % 23)) for a, b in best} == {frozenset((a % 23, b % 23)) for a, b in got}
+
+
+def test_many_short_texts_and_frequent_lines(spark):
+    rng = random.Random(4)
+    lines = [" ".join(words(8, 500 + k)) for k in range(30)]
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    texts += [" ".join(rng.choice(lines) for _ in range(rng.randrange(1, 6))) for _ in range(500)]
+    got = jaccard.near_duplicates(frame(spark, texts)).collect()
+    assert sorted(tuple(r) for r in got) == brute_components(texts)
 
 
 def test_components_of_a_chain(spark):
