@@ -22,9 +22,10 @@ Signatures meet after one shuffle in sorted order.  A pass over each partition
 keeps buckets of two and more classes, once per distinct set of members.  Links
 are found in three steps, each between members of different components only:
 
-1. Each class is held against the hub (first member by hash) it shares most
-   buckets with, so a group of copies links at one pair a class.
-2. Of each pair of components that meets in a bucket, the likeliest pair.
+1. Each bucket's first member by hash is its hub.  Of the hubs within the bound
+   below, each class is held against the one it shares most buckets with, so a
+   group of copies links at one pair a class.
+2. Each component's likeliest pair in each cell, so no more pairs than rows.
 3. All that is left.
 
 Buckets of up to ``SMALL`` members give their pairs of fitting sizes.  Larger ones
@@ -379,13 +380,15 @@ def _labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
 # ---- links --------------------------------------------------------------------------
 
 
-def hubs(found: DataFrame) -> DataFrame:
-    """a, b: each class with the hub it shares most buckets with; a bucket's hub is its first member by hash."""
+def hubs(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: each class with the hub within the bound it shares most buckets with; a bucket's hub is its first member by hash."""
     order = F.struct(F.xxhash64("digest").alias("h"), "digest")
     of = found.groupBy("bucket").agg(F.min(order).alias("first")).select("bucket", F.col("first.digest").alias("hub"))
     shared = found.join(of, "bucket").where("digest <> hub").groupBy("digest", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("digest").agg(F.max(F.struct("n", "hub")).alias("best")).select("digest", F.col("best.hub").alias("hub"))
-    return best.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"))
+    side = lambda x, name: classes.select(F.col("digest").alias(x), F.struct("n", "parity").alias(name))
+    near = shared.join(side("digest", "of_a"), "digest").join(side("hub", "of_b"), "hub").where(_possible("of_a", "of_b"))
+    best = near.groupBy("digest").agg(F.max(F.struct("n", "hub")).alias("best")).select("digest", F.col("best.hub").alias("hub"))
+    return best.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
 
 
 def _mixed(found: DataFrame, labels: DataFrame) -> DataFrame:
@@ -407,7 +410,7 @@ def _steps(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, n
 def _pairs_of(columns: dict[str, np.ndarray], parity: pa.Array | None, best: bool) -> pa.RecordBatch:
     """Pairs (a, b) of sorted runs of rows: between components, of fitting sizes, within the parity bound where parities are given.
 
-    With ``best`` one pair of each two components of the rows, that of the fewest flips or nearest sizes.
+    With ``best`` one pair of each component and run, that of the fewest flips or nearest sizes.
     """
     key, n, label, digest = (columns[c] for c in ("key", "n", "label", "digest"))
     order = np.lexsort((n, key))
@@ -433,11 +436,11 @@ def _pairs_of(columns: dict[str, np.ndarray], parity: pa.Array | None, best: boo
         return out
 
     def reduce(rows: np.ndarray) -> np.ndarray:
-        low, high = np.minimum(label[rows[0]], label[rows[1]]), np.maximum(label[rows[0]], label[rows[1]])
-        rank = np.lexsort((rows[2], high, low))
-        low, high = low[rank], high[rank]
-        first = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-        return rows[:, rank[first]]
+        run, of = np.tile(key[rows[0]], 2), np.concatenate([label[rows[0]], label[rows[1]]])
+        rank = np.lexsort((np.tile(rows[2], 2), of, run))
+        run, of = run[rank], of[rank]
+        first = np.concatenate([[True], (run[1:] != run[:-1]) | (of[1:] != of[:-1])])
+        return rows[:, np.unique(rank[first] % rows.shape[1])]
 
     held = 0
     for i, j in _steps(edges[:-1], edges[1:]):
@@ -455,7 +458,7 @@ def _pairs_of(columns: dict[str, np.ndarray], parity: pa.Array | None, best: boo
         held += len(i)
         if best and held > 500_000:
             kept = [reduce(np.concatenate(kept, axis=1))]
-            held = kept[0].shape[1] // 2
+            held = 0
     rows = np.concatenate(kept, axis=1) if kept else np.zeros((3, 0), np.int64)
     if best and rows.shape[1]:
         rows = reduce(rows)
@@ -512,7 +515,7 @@ def across(found: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that give the components of all links."""
     found = buckets(docs)
-    good = verified(_bounded(hubs(found), classes), docs, classes)
+    good = verified(hubs(found, classes), docs, classes)
     for best in (True, False):
         found = _mixed(found, components(good))
         more = verified(_bounded(across(found, classes, best), classes), docs, classes)
