@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ STATUSES = ("ready", "stale_catalog", "too_large", "malformed", "unsupported", "
 KINDS = ("image", "table", "slide", "placeholder")
 TABLE_EXTENSIONS = ("csv", "dat", "tsv")
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff")
+# Names and media types of the assets every preview may have.
+SEARCH_ASSET = ("search_text.txt", "search", "text/plain")
+PLACEHOLDER_ASSET = ("placeholder.svg", "placeholder", "image/svg+xml")
+PLACEHOLDER = '<svg xmlns="http://www.w3.org/2000/svg" width="320" height="180"><rect width="320" height="180" fill="#eee"/></svg>'
 
 
 @dataclass(frozen=True)
@@ -106,6 +111,49 @@ def discover(previews: DataFrame, artifacts: DataFrame, sources: DataFrame) -> D
     return joined.withColumn("status", F.when(F.col("is_fresh"), F.col("status")).otherwise("stale_catalog")).withColumnRenamed("is_fresh", "fresh")
 
 
+class PreviewAssets(NamedTuple):
+    """``assets``: preview_id, name, kind, media_type, size_bytes, sha256; ``contents``: sha256, content, each once."""
+
+    assets: DataFrame
+    contents: DataFrame
+
+
+def preview_assets(previews: DataFrame, texts: DataFrame, parts: DataFrame | None = None) -> PreviewAssets:
+    """Assets of previews, their contents stored once under the SHA-256 of their bytes.
+
+    ``previews(preview_id, status)`` come from :func:`preview_status`, ``texts(preview_id,
+    search_text)`` from the readers, ``parts(preview_id, name, kind, media_type, content)`` may
+    add what the readers drew.  A ready preview has its parts and, unless it is empty, its
+    search text; a part of that name replaces the text.  Any other preview, and a ready one
+    without either, has the placeholder.  Contents shuffle by digest after a map-side step, so a
+    placeholder shared by all previews is one row per task.
+    """
+    def fixed(rows: DataFrame, asset: tuple[str, str, str], content: Column) -> DataFrame:
+        name, kind, media = (F.lit(x) for x in asset)
+        return rows.select("preview_id", name.alias("name"), kind.alias("kind"), media.alias("media_type"), F.encode(content, "UTF-8").alias("content"))
+
+    ready = previews.where(F.col("status") == "ready").select("preview_id")
+    drawn = fixed(texts.join(ready, "preview_id", "left_semi").where(F.length("search_text") > 0), SEARCH_ASSET, F.col("search_text"))
+    if parts is not None:
+        own = parts.join(ready, "preview_id", "left_semi").select(*drawn.columns)
+        drawn = own.unionByName(drawn.join(own.select("preview_id", "name"), ["preview_id", "name"], "left_anti").select(*drawn.columns))
+    bare = previews.select("preview_id").join(drawn.select("preview_id"), "preview_id", "left_anti")
+    built = drawn.unionByName(fixed(bare, PLACEHOLDER_ASSET, F.lit(PLACEHOLDER))).withColumn("sha256", F.sha2("content", 256))
+    assets = built.select("preview_id", "name", "kind", "media_type", F.length("content").cast("long").alias("size_bytes"), "sha256")
+    return PreviewAssets(assets, built.groupBy("sha256").agg(F.any_value("content").alias("content")))
+
+
+def asset_problems(assets: DataFrame, contents: DataFrame) -> DataFrame:
+    """preview_id, name, rule: assets whose stored content is missing, or whose bytes do not have the recorded size or digest."""
+    held = contents.select("sha256", F.length("content").cast("long").alias("held_size"), F.sha2("content", 256).alias("held_digest"))
+    rule = (
+        F.when(F.col("held_digest").isNull(), "content is missing")
+        .when(F.col("held_digest") != F.col("sha256"), "content differs from its digest")
+        .when(F.col("held_size") != F.col("size_bytes"), "content differs from its size")
+    )
+    return assets.join(held, "sha256", "left").select("preview_id", "name", rule.alias("rule")).where("rule IS NOT NULL")
+
+
 def _needle(value: str | None, name: str) -> str | None:
     if value is None:
         return None

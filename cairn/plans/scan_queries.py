@@ -450,3 +450,47 @@ def preview_status(v: Views) -> DataFrame:
         "storage_source_id", "relative_path", (size + F.when(size % 5 == 0, 1).otherwise(0)).alias("size_bytes"), "mtime_ns"
     )
     return previews.preview_status(v.artifacts, now).select("artifact_id", "status", "kind")
+
+
+@query(
+    f"""
+WITH built AS (
+  SELECT doc_id, CASE WHEN length(text) > 0 AND doc_id % 11 <> 0 THEN text END AS t FROM documents),
+assets AS (
+  SELECT doc_id, CASE WHEN t IS NULL THEN 'placeholder.svg' ELSE 'search_text.txt' END AS name,
+    CASE WHEN t IS NULL THEN 'placeholder' ELSE 'search' END AS kind,
+    CASE WHEN t IS NULL THEN 'image/svg+xml' ELSE 'text/plain' END AS media_type,
+    strlen(coalesce(t, '{previews.PLACEHOLDER}')) AS size_bytes, sha256(coalesce(t, '{previews.PLACEHOLDER}')) AS sha256 FROM built)
+SELECT *, count(*) OVER (PARTITION BY sha256) AS n_previews, 1 AS n_stored FROM assets""",
+)
+def preview_assets(v: Views) -> DataFrame:
+    """Assets of one preview per document, every eleventh of them malformed; how many previews share a content, stored once."""
+    docs = v.table("documents")
+    status = F.when(F.col("doc_id") % 11 == 0, "malformed").otherwise("ready")
+    built = previews.preview_assets(
+        docs.select(F.col("doc_id").alias("preview_id"), status.alias("status")), docs.select(F.col("doc_id").alias("preview_id"), F.col("text").alias("search_text"))
+    )
+    shared = built.assets.groupBy("sha256").agg(F.count(F.lit(1)).alias("n_previews"))
+    stored = built.contents.groupBy(F.sha2("content", 256).alias("sha256")).agg(F.count(F.lit(1)).cast("int").alias("n_stored"))
+    return built.assets.withColumnRenamed("preview_id", "doc_id").join(shared, "sha256").join(stored, "sha256")
+
+
+@query(
+    """
+SELECT artifact_id, size_bytes % 13 <> 0 AND size_bytes % 5 <> 0 AS fresh,
+  CASE WHEN size_bytes % 13 = 0 OR size_bytes % 5 = 0 THEN 'stale_catalog'
+    WHEN extension IN ('csv','dat','tsv','png','jpg','jpeg','tif','tiff','pptx') THEN 'ready' ELSE 'unsupported' END AS status,
+  CASE WHEN extension IN ('csv','dat','tsv') THEN 'table' WHEN extension = 'pptx' THEN 'slide'
+    WHEN extension IN ('png','jpg','jpeg','tif','tiff') THEN 'image' ELSE 'placeholder' END AS kind
+FROM fx_artifacts WHERE size_bytes % 7 <> 0""",
+    "fx_artifacts",
+)
+def preview_freshness(v: Views) -> DataFrame:
+    """Stored previews of all artifacts after some were catalogued anew and some files changed or went."""
+    size = F.col("size_bytes")
+    stored = previews.preview_status(v.artifacts, v.artifacts.select("storage_source_id", "relative_path", "size_bytes", "mtime_ns"))
+    anew = v.artifacts.withColumn("size_bytes", size + F.when(size % 7 == 0, 1).otherwise(0))
+    now = anew.where(size % 13 != 0).select(
+        "storage_source_id", "relative_path", (size + F.when(size % 5 == 0, 1).otherwise(0)).alias("size_bytes"), "mtime_ns"
+    )
+    return previews.discover(stored, anew, now).select("artifact_id", "fresh", "status", "kind")

@@ -1,5 +1,6 @@
 """Operators against small hand-made cases and plain-Python brute force."""
 
+import hashlib
 import itertools
 import random
 
@@ -480,3 +481,28 @@ def test_preview_points_and_status(spark):
         "a": ("ready", "table", True), "b": ("stale_catalog", "placeholder", False), "c": ("unavailable", "placeholder", False),
         "d": ("unsupported", "placeholder", True), "e": ("too_large", "placeholder", True), "f": ("malformed", "placeholder", True),
     }
+
+
+def test_preview_assets_are_stored_once_and_checked(spark):
+    states = spark.createDataFrame([("p1", "ready"), ("p2", "ready"), ("p3", "malformed"), ("p4", "ready"), ("p5", "unavailable"), ("p6", "ready")], "preview_id string, status string")
+    texts = spark.createDataFrame([("p1", "same"), ("p2", "same"), ("p3", "lost"), ("p4", ""), ("p6", "replaced")], "preview_id string, search_text string")
+    parts = spark.createDataFrame(
+        [("p2", "table.json", "table", "application/json", b"{}"), ("p3", "table.json", "table", "application/json", b"[]"), ("p6", "search_text.txt", "search", "text/plain", "\u00e9".encode())],
+        "preview_id string, name string, kind string, media_type string, content binary",
+    )
+    built = previews.preview_assets(states, texts, parts)
+    got = {(r["preview_id"], r["name"]): (r["size_bytes"], r["sha256"]) for r in built.assets.collect()}
+    of = lambda b: (len(b), hashlib.sha256(b).hexdigest())
+    empty = of(previews.PLACEHOLDER.encode())
+    assert got == {
+        ("p1", "search_text.txt"): of(b"same"), ("p2", "search_text.txt"): of(b"same"), ("p2", "table.json"): of(b"{}"), ("p3", "placeholder.svg"): empty,
+        ("p4", "placeholder.svg"): empty, ("p5", "placeholder.svg"): empty, ("p6", "search_text.txt"): of("\u00e9".encode()),
+    }
+    held = built.contents.collect()
+    assert len(held) == 4 and all(hashlib.sha256(bytes(r["content"])).hexdigest() == r["sha256"] for r in held)
+    assert not previews.asset_problems(built.assets, built.contents).count()
+    broken = spark.createDataFrame([(r["sha256"], b"other" if bytes(r["content"]) == b"{}" else bytes(r["content"])) for r in held if bytes(r["content"]) != b"same"], "sha256 string, content binary")
+    assert {tuple(r) for r in previews.asset_problems(built.assets, broken).collect()} == {
+        ("p1", "search_text.txt", "content is missing"), ("p2", "search_text.txt", "content is missing"), ("p2", "table.json", "content differs from its digest"),
+    }
+    assert previews.preview_assets(states.limit(0), texts, parts).assets.count() == 0
