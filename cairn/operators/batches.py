@@ -297,12 +297,13 @@ def entry_pairs(members: DataFrame, entries: DataFrame) -> DataFrame:
     """Proposals and remote entries matched by position; batches with unequal counts are left out.
 
     ``members(batch_number, item, proposal_id)`` and ``entries(batch_number, item, entry_id)``
-    both count ``item`` from zero.
+    both count ``item`` from zero.  Items are often listed by arrays, whose rows Spark's size
+    estimate leaves out, so the pairs meet in a shuffle and never in a broadcast.
     """
     sizes = members.groupBy("batch_number").agg(F.count(F.lit(1)).alias("n")).join(
         entries.groupBy("batch_number").agg(F.count(F.lit(1)).alias("n")), on=["batch_number", "n"]
     )
-    return members.join(entries, on=["batch_number", "item"]).join(sizes.select("batch_number"), on="batch_number", how="left_semi")
+    return members.join(entries.hint("merge"), on=["batch_number", "item"]).join(sizes.select("batch_number"), on="batch_number", how="left_semi")
 
 
 def upload_status(entry_statuses: DataFrame, key: str = "batch_number") -> DataFrame:

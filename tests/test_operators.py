@@ -506,3 +506,14 @@ def test_preview_assets_are_stored_once_and_checked(spark):
         ("p1", "search_text.txt", "content is missing"), ("p2", "search_text.txt", "content is missing"), ("p2", "table.json", "content differs from its digest"),
     }
     assert previews.preview_assets(states.limit(0), texts, parts).assets.count() == 0
+
+
+def test_entry_pairs_are_not_broadcast(spark):
+    listed = spark.range(40).groupBy((F.col("id") % 4).alias("batch_number")).agg(F.array_sort(F.collect_list("id")).alias("p"))
+    members = listed.select("batch_number", F.posexplode("p").alias("item", "proposal_id"))
+    entries = listed.select("batch_number", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("item")).withColumn("entry_id", F.concat_ws("-", "batch_number", "item"))
+    pairs = batches.entry_pairs(members, entries)
+    plan = pairs._jdf.queryExecution()
+    assert plan.toRdd().count() == 40
+    assert "BroadcastHashJoin [batch_number" in plan.executedPlan().toString()
+    assert not [line for line in plan.executedPlan().toString().splitlines() if "BroadcastHashJoin" in line and "item#" in line]
