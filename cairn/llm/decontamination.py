@@ -7,12 +7,12 @@ in the text around it.  Documents give windows with the steps ``STEPS``, items w
 ``ITEM_STEPS``, so that the two grids meet within a few words.  Weights are TF-IDF
 with document frequencies counted over all documents.
 
-A randomised SVD of the TF-IDF matrix of ``WINDOW`` word passages gives ``RANK`` latent directions: the tasks
-hold a bounded sample of corpus passages (``SAMPLE``, chosen by hash) and all
-benchmark windows, and each of the ``POWER`` + 1 rounds sends back A^T (A Q) for
-its part, a matrix of fixed size per task; the driver orthonormalises the sum.
-Directions are scaled to equal variance, so rare directions count as much as
-common ones.
+A randomised SVD of the TF-IDF matrix of the ``WINDOW`` word passages of all documents and
+items gives ``RANK`` latent directions.  The words of every text are stored once as
+features; each of the ``POWER`` + 1 rounds goes over all of them, multiplies A^T (A Q)
+for its part, a matrix of fixed size per task, which tasks add up in ``SLICES`` slices;
+the driver orthonormalises the one sum.  Directions are scaled to equal variance, so
+rare directions count as much as common ones.
 
 Every passage is then projected and compared by cosine with all benchmark windows
 of its length in blocks.  Pairs of document and item above ``COSINE`` whose passage has at least
@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +46,14 @@ from cairn.llm.common import NOT_ALNUM, blocks, cut_lineage, table, text_buffer,
 FEATURES = 1 << 14
 WINDOW, STEP, ITEM_STEP = 24, 12, 8
 # Window length of each class of items, with its steps in documents and in items, and the least words of its items.
-BLOCK = 4
 STEPS = {8: 4, 12: 4, 16: 4, WINDOW: STEP}
 ITEM_STEPS = {8: 1, 12: 2, 16: 4, WINDOW: ITEM_STEP}
 FROM_WORDS = {8: 0, 12: 12, 16: 16, WINDOW: 30}
 RANK, EXTRA, POWER = 48, 16, 2
-SAMPLE = 20_000
-FIT_TASKS = 6
+SLICES = 32
+# Bytes of features that a task multiplies at a time.
+SPAN = 1 << 18
+GROUP = 8
 # Words on both sides of an item's place that its checks look at, too.
 SLACK = WINDOW // 2
 # Both filters come before the word checks; set from the recall they leave (README).
@@ -90,26 +92,46 @@ def length_class(n: int) -> int:
 # ---- corpus statistics and the latent space -----------------------------------------
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+def stored_features(texts: DataFrame) -> DataFrame:
+    """The features of all words of each text in order, two bytes a word, stored for the rounds over them."""
+
+    def cut(batches):
+        for batch in batches:
+            for _, _, words, bounds in _words(batch):
+                data = features_of(words).astype("<u2").tobytes()
+                offsets = pa.py_buffer((bounds * 2).astype(np.int32))
+                column = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([column], names=["features"])
+
+    return cut_lineage(texts.select("text").mapInArrow(cut, "features binary"))
+
+
+def _spans(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and text bounds of pieces of a batch of stored features."""
+    data, offsets = text_buffer(batch.column("features"))
+    for a, b in blocks(offsets, SPAN):
+        yield data[offsets[a] : offsets[b]].view("<u2").astype(np.int64), (offsets[a : b + 1] - offsets[a]) // 2
+
+
+def document_frequencies(stored: DataFrame) -> tuple[np.ndarray, int]:
     """Documents per feature over the whole corpus; at most FEATURES rows reach the driver."""
 
     def count(batches):
         total, rows = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for a, b, words, bounds in _words(batch):
-                row = np.repeat(np.arange(b - a), np.diff(bounds))
-                pairs = row * FEATURES + features_of(words)
-                seen = np.zeros((b - a) * FEATURES, bool) if (b - a) * FEATURES <= 1 << 24 else None
-                if seen is not None:
+            for features, bounds in _spans(batch):
+                pairs = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * FEATURES + features
+                if len(bounds) <= 1 << 10:
+                    seen = np.zeros((len(bounds) - 1) * FEATURES, bool)
                     seen[pairs] = True
-                    total += seen.reshape(b - a, FEATURES).sum(0)
+                    total += seen.reshape(len(bounds) - 1, FEATURES).sum(0)
                 else:
                     total += np.bincount(np.unique(pairs) % FEATURES, minlength=FEATURES)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], rows))], names=["feature", "documents"])
 
-    got = docs.select("text").mapInArrow(count, "feature long, documents long").groupBy("feature").agg(F.sum("documents").alias("n")).collect()
+    got = stored.mapInArrow(count, "feature long, documents long").groupBy("feature").agg(F.sum("documents").alias("n")).collect()
     out, rows = np.zeros(FEATURES), 0
     for r in got:
         if r["feature"] < 0:
@@ -119,27 +141,6 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, rows
 
 
-def sample_passages(docs: DataFrame, limit: int) -> DataFrame:
-    """About ``limit`` passages of the corpus as arrays of features, chosen by a hash of the id and one place per document."""
-    n = docs.count()
-    share = min(1_000_000, 1_000_000 * limit // max(1, n))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share)
-
-    def cut(batches):
-        for batch in batches:
-            for _, _, words, bounds in _words(batch):
-                out = []
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    starts = window_starts(b - a)
-                    if len(starts):
-                        at = a + starts[int(words[a] >> np.uint64(33)) % len(starts)]
-                        out.append(np.unique(features_of(words[at : min(b, at + WINDOW)])))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["features"])
-
-    return chosen.select("text").mapInArrow(cut, "features array<long>")
-
-
 def _flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(r) for r in rows], np.int64)
     return (np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
@@ -152,46 +153,115 @@ def project(features: np.ndarray, bounds: np.ndarray, matrix: np.ndarray) -> np.
     return np.add.reduceat(matrix[features], bounds[:-1], axis=0)
 
 
-def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """FEATURES x rank matrix, IDF and scaling included, by distributed randomised SVD."""
-    width = rank + EXTRA
-    weights = idf.astype(np.float32)
-    q = np.random.default_rng(seed).standard_normal((FEATURES, width)).astype(np.float32)
-
-    def round_(q):
-        def multiply(batches):
-            out, rows = np.zeros((FEATURES, width), np.float32), 0
-            weighted = q * weights[:, None]
-            for batch in batches:
-                features, bounds = _flat(batch.column("features").to_pylist())
-                if not len(features):
-                    continue
-                y = project(features, bounds, weighted)
-                # Rows of unit length: no passage, whatever it repeats, weighs more than another.
-                norms = np.add.reduceat(weights[features] ** 2, bounds[:-1])
-                rows += len(y)
-                back = np.repeat(y / norms[:, None], np.diff(bounds), axis=0)
-                for k in range(width):
-                    out[:, k] += np.bincount(features, back[:, k], FEATURES).astype(np.float32)
-            out *= weights[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([rows])], names=["part", "rows"])
-
-        # FIT_TASKS matrices of fixed size, one from each task.
-        got = passages.mapInArrow(multiply, "part binary, rows long").collect()
-        total = sum(np.frombuffer(r["part"], np.float32).reshape(FEATURES, width).astype(np.float64) for r in got)
-        return total, sum(r["rows"] for r in got)
+def _square_norms(features: np.ndarray, starts: np.ndarray, ends: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Squared length of the TF-IDF row of each passage; a word it repeats counts with the square of its number."""
+    at = starts[:, None] + np.arange(WINDOW)
+    words = np.where(at < ends[:, None], features[np.minimum(at, len(features) - 1)], FEATURES).astype(np.uint16)
+    words.sort(axis=1)
+    new = np.ones(words.shape, bool)
+    new[:, 1:] = words[:, 1:] != words[:, :-1]
+    run = np.flatnonzero(new)
+    times = np.diff(np.append(run, words.size))
+    return np.add.reduceat(squares[words.ravel()[run]] * times**2, np.cumsum(new.sum(1)) - new.sum(1))
 
+
+def passage_products(features: np.ndarray, bounds: np.ndarray, weights: np.ndarray, weighted: np.ndarray, out: np.ndarray) -> int:
+    """Adds A^T (A Q), transposed and without the weights of A^T, over all passages of a piece of texts; returns their number.
+
+    Passages are pairs of neighbouring blocks of ``STEP`` words, so the last one of a
+    text is shorter; a text of one block is one passage.  Rows have unit length: no passage,
+    whatever it repeats, weighs more than another.  ``weights`` and ``weighted`` have one
+    more row, zero, for places behind a text.
+    """
+    if not len(features):
+        return 0
+    per_row = -(-np.diff(bounds) // STEP)
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    starts = bounds[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)) * STEP
+    ends = np.minimum(starts + STEP, bounds[row + 1])
+    padded = np.append(features, np.full(STEP, FEATURES))
+    sums = np.empty((len(starts), weighted.shape[1]), np.float32)
+    for lo in range(0, len(starts), 2048):
+        sums[lo : lo + 2048] = window_sums(padded, starts[lo : lo + 2048], ends[lo : lo + 2048], STEP, weighted)
+    paired = np.append(row[1:] == row[:-1], False)
+    first = np.flatnonzero(paired | (per_row[row] == 1))
+    two = paired[first]
+    y = sums[first]
+    y[two] += sums[first[two] + 1]
+    norms = _square_norms(features, starts[first], np.where(two, ends[np.minimum(first + 1, len(ends) - 1)], ends[first]), weights.astype(np.float64) ** 2)
+    y /= norms[:, None].astype(np.float32)
+    # Each word gets the products of the passages it stands in: those of its block.
+    back = np.zeros((len(sums) + 1, sums.shape[1]), np.float32)
+    back[first] = y
+    back[first[two] + 1] += y[two]
+    # Words in the order of their features, summed in groups of GROUP words of one feature and then by feature.
+    order = np.argsort(features.astype(np.uint16), kind="stable")
+    block = np.append(np.repeat(np.arange(len(starts)), ends - starts)[order], np.zeros(GROUP, np.int64))
+    times = np.bincount(features, minlength=FEATURES)
+    groups = -(-times // GROUP)
+    of = np.repeat(np.arange(FEATURES), groups)
+    ahead = np.cumsum(times) - times
+    at = ahead[of] + (np.arange(len(of)) - np.repeat(np.cumsum(groups) - groups, groups)) * GROUP
+    until = np.minimum(at + GROUP, (ahead + times)[of])
+    parts = np.empty((len(of), sums.shape[1]), np.float32)
+    for lo in range(0, len(of), 2048):
+        parts[lo : lo + 2048] = window_sums(block, at[lo : lo + 2048], until[lo : lo + 2048], GROUP, back)
+    for k, column in enumerate(np.ascontiguousarray(parts.T)):
+        out[k] += np.bincount(of, column, FEATURES)
+    return len(first)
+
+
+def _product(stored: DataFrame, idf: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, int]:
+    """A^T (A Q) over all passages and their number; tasks add up the parts of the tasks, slice by slice."""
+    width, size = q.shape[1], FEATURES // SLICES
+    weights = np.append(idf, 0.0).astype(np.float32)
+    weighted = np.vstack([q * weights[:-1, None], np.zeros((1, width))]).astype(np.float32)
+
+    def multiply(batches):
+        out, passages = np.zeros((width, FEATURES)), 0
+        for batch in batches:
+            for features, bounds in _spans(batch):
+                passages += passage_products(features, bounds, weights, weighted, out)
+        if passages:
+            sums = (out.T * weights[:-1, None]).astype(np.float32)
+            part, slices = TaskContext.get().partitionId(), sums.reshape(SLICES, size * width)
+            columns = [pa.array(range(SLICES)), pa.array([part] * SLICES), pa.array([s.tobytes() for s in slices], pa.binary()), pa.array([passages] * SLICES)]
+            yield pa.RecordBatch.from_arrays(columns, names=["slice", "part", "sums", "passages"])
+
+    def add(batches):
+        totals: dict[int, list] = {}
+        for batch in batches:
+            for at, sums, passages in zip(batch.column("slice").to_pylist(), batch.column("sums"), batch.column("passages").to_pylist()):
+                own = totals.setdefault(at, [np.zeros(size * width), 0])
+                own[0] += np.frombuffer(sums.as_buffer(), np.float32)
+                own[1] += passages
+        columns = [pa.array(list(totals), pa.int64()), pa.array([t[0].tobytes() for t in totals.values()], pa.binary()), pa.array([t[1] for t in totals.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["slice", "sums", "passages"])
+
+    parts = stored.mapInArrow(multiply, "slice long, part long, sums binary, passages long")
+    # In the order of the tasks, so reruns add up the same.
+    dealt = parts.repartition(SLICES, "slice").sortWithinPartitions("slice", "part")
+    got = dealt.mapInArrow(add, "slice long, sums binary, passages long").collect()
+    total, passages = np.zeros((SLICES, size * width)), 0
+    for r in got:
+        total[r["slice"]], passages = np.frombuffer(r["sums"]), r["passages"]
+    return total.reshape(FEATURES, width), passages
+
+
+def latent_space(stored: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
+    """FEATURES x rank matrix, IDF and scaling included, by distributed randomised SVD over all passages."""
+    q = np.random.default_rng(seed).standard_normal((FEATURES, rank + EXTRA)).astype(np.float32)
     for _ in range(POWER):
-        total, rows = round_(q)
-        if not rows:
+        total, passages = _product(stored, idf, q)
+        if not passages:
             return np.zeros((FEATURES, rank), np.float32)
         q = np.linalg.qr(total)[0].astype(np.float32)
     # One more product gives A^T A in the basis q; its eigenvectors are the right singular vectors.
-    total, rows = round_(q)
+    total, passages = _product(stored, idf, q)
     values, vectors = np.linalg.eigh(q.astype(np.float64).T @ total)
     order = np.argsort(-values)[:rank]
-    scale = np.sqrt(np.maximum(values[order], 1e-9) / rows)
-    return ((q @ vectors[:, order]) / np.maximum(scale, 1e-6) * weights[:, None]).astype(np.float32)
+    scale = np.sqrt(np.maximum(values[order], 1e-9) / passages)
+    return ((q @ vectors[:, order]) / np.maximum(scale, 1e-6) * idf[:, None]).astype(np.float32)
 
 
 # ---- search and checks --------------------------------------------------------------
@@ -238,6 +308,8 @@ class Items:
             features, bounds = _flat([features_of(words[i][s : s + window]) for i, own in zip(mine, starts) for s in own])
             units = _units(project(features, bounds, space)).astype(np.float32)
             self.classes[window] = (units, np.repeat(mine, [len(s) for s in starts]), np.concatenate(starts))
+        # Features that any item of a class has.
+        self.vocabulary = {window: self.has[np.unique(owner)].any(0) for window, (_, owner, _) in self.classes.items()}
 
     def shares(self, windows: np.ndarray, owners: np.ndarray) -> np.ndarray:
         """Part of each window's weight in words that the item has, too."""
@@ -256,39 +328,42 @@ class Items:
         return share, lcs_length(answer, stretch) / len(answer), first
 
 
-def block_sums(features: np.ndarray, bounds: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Latent vectors of all words, their sums in blocks of BLOCK words, and start and row of each block."""
-    per_row = -(-np.diff(bounds) // BLOCK)
-    row = np.repeat(np.arange(len(per_row)), per_row)
-    start = bounds[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)) * BLOCK
-    vectors = space[features]
-    return vectors, np.add.reduceat(vectors, start, axis=0), start, row
+def grid_windows(bounds: np.ndarray, window: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of all windows of one length over the texts of a piece, as ``window_starts`` places them."""
+    size = np.diff(bounds)
+    on_grid = np.where(size >= window, (size - window) // step + 1, size > 0)
+    row = np.repeat(np.arange(len(size)), on_grid)
+    place = (np.arange(len(row)) - np.repeat(np.cumsum(on_grid) - on_grid, on_grid)) * step
+    # One more window ends with a text that the grid does not fill.
+    rest = np.flatnonzero((size > window) & ((size - window) % step != 0))
+    rows = np.concatenate([row, rest])
+    starts = np.concatenate([bounds[row] + place, bounds[rest + 1] - window])
+    return starts, np.minimum(starts + window, bounds[rows + 1]), rows
 
 
-def project_windows(vectors: np.ndarray, run: np.ndarray, start: np.ndarray, row: np.ndarray, bounds: np.ndarray, window: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Latent sums, starts, ends and rows of all windows of one length; ``run`` has the sums of the blocks of a window from each block.
+def window_sums(features: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, space: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``space`` named by windows of ``features``, place by place; its last row is zero and stands behind an end.
 
-    A window that ends with a text off the grid, or is a whole short text, is summed by itself.
+    ``features`` goes on for a window behind the last end.
     """
-    size = np.diff(bounds)
-    kept = np.flatnonzero((start[: len(run)] + window <= bounds[row[: len(run)] + 1]) & ((start - bounds[row])[: len(run)] % step == 0))
-    short = (size > 0) & (size < window)
-    alone = np.flatnonzero(short | ((size > window) & ((size - window) % step != 0)))
-    first = np.maximum(bounds[alone], bounds[alone + 1] - window)
-    places = first[:, None] + np.arange(window)
-    own = (places < bounds[alone + 1][:, None])[:, :, None]
-    ends = (vectors[np.minimum(places, max(0, len(vectors) - 1))] * own).sum(1)
-    starts, rows = np.concatenate([start[kept], first]), np.concatenate([row[kept], alone])
-    return np.concatenate([run[kept], ends]), starts, np.minimum(starts + window, bounds[rows + 1]), rows
-
-
-def _near(features: np.ndarray, windows: tuple, items: Items, window: int, cosine: float, best: dict) -> None:
+    sums = np.zeros((len(starts), space.shape[1]), space.dtype)
+    for place in range(window):
+        at = starts + place
+        sums += space.take(np.where(at < ends, features[at], len(space) - 1), axis=0)
+    return sums
+
+
+def _near(features: np.ndarray, weights: tuple[np.ndarray, np.ndarray], bounds: np.ndarray, items: Items, space: np.ndarray, window: int, cosine: float, best: dict) -> None:
     """Adds to ``best`` the pairs of a window and an item window of one length that pass both filters."""
-    sums, starts, ends, row = windows
+    starts, ends, row = grid_windows(bounds, window, STEPS[window])
     units, owner, at = items.classes[window]
-    for lo in range(0, len(starts), 2048):
-        s, e, r = starts[lo : lo + 2048], ends[lo : lo + 2048], row[lo : lo + 2048]
-        likeness = _units(sums[lo : lo + 2048]) @ units.T
+    # No item knows more of a window than all items together: what they do not know enough is not projected.
+    known, total = (sums[ends] - sums[starts] for sums in weights)
+    open_ = np.flatnonzero((known >= (KNOWN_SHARE - 1e-4) * total) | (ends - starts < window))
+    for lo in range(0, len(open_), 2048):
+        of_block = open_[lo : lo + 2048]
+        s, e, r = starts[of_block], ends[of_block], row[of_block]
+        likeness = _units(window_sums(features, s, e, window, space)) @ units.T
         flat = np.flatnonzero(likeness >= cosine)
         near, of = np.divmod(flat, likeness.shape[1])
         # A short text's window is filled up with its own words.
@@ -302,15 +377,14 @@ def search_words(words: np.ndarray, bounds: np.ndarray, items: Items, space: np.
     """(row, item, cosine, lcs share, answer share, start) of the confirmed pairs of a piece of texts."""
     if not len(words):
         return []
-    features = features_of(words)
-    vectors, sums, start, row = block_sums(features, bounds, space)
+    features = np.append(features_of(words), np.full(WINDOW, FEATURES))
+    space = np.vstack([space, np.zeros((1, space.shape[1]), space.dtype)])
+    weight = items.idf[features[:-WINDOW]].astype(np.float64)
+    total = np.append(0.0, np.cumsum(weight))
     best: dict[tuple[int, int], list] = {}
-    run = sums
-    for k in range(1, max(items.classes, default=0) // BLOCK + 1):
-        # Sums of k blocks in a row, those over the end of a text included; no window takes these.
-        run = sums if k == 1 else run[:-1] + sums[k - 1 :]
-        if k * BLOCK in items.classes:
-            _near(features, project_windows(vectors, run, start, row, bounds, k * BLOCK, STEPS[k * BLOCK]), items, k * BLOCK, cosine, best)
+    for window, mine in items.vocabulary.items():
+        known = np.append(0.0, np.cumsum(weight * mine[features[:-WINDOW]]))
+        _near(features, (known, total), bounds, items, space, window, cosine, best)
     out = []
     documents: dict[int, list[int]] = {}
     for (r, item), hits in best.items():
@@ -350,11 +424,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE)
     listed = cut_lineage(benchmark_words(benchmark))
     n = listed.count()
     parts = max(1, -(-n // PART))
-    frequencies, rows = document_frequencies(docs)
+    stored = stored_features(docs)
+    frequencies, rows = document_frequencies(stored)
     idf = np.log((1 + rows) / (1 + frequencies)) + 1
-    windows = listed.select(F.expr(f"transform(sequence(0, greatest(0, size(words) - {WINDOW}), {ITEM_STEP}), s -> transform(slice(words, s + 1, {WINDOW}), w -> w & {FEATURES - 1}))").alias("each")).select(F.explode("each").alias("one")).select(F.array_distinct("one").alias("features"))
-    passages = cut_lineage(sample_passages(docs, SAMPLE).unionByName(windows).repartition(FIT_TASKS))
-    space = latent_space(passages, idf)
+    space = latent_space(stored.unionByName(stored_features(benchmark)), idf)
     found = None
     for part in range(parts):
         # At most about PART items at a time, whatever the size of the benchmark.

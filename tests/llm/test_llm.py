@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from cairn.llm import decontamination, fingerprints, jaccard, language, mixing, privacy, quality, secrets, tokens, toxicity
+from cairn.llm import common, decontamination, fingerprints, jaccard, language, mixing, privacy, quality, secrets, tokens, toxicity
 from cairn.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -203,6 +203,32 @@ def test_short_paraphrased_items_are_found(spark):
         assert len(got & mine) >= 0.9 * len(mine)
 
 
+def test_latent_products_go_over_all_passages(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, n)) for n in rng.integers(0, 90, 40)] + [None, ""]
+    idf = rng.random(decontamination.FEATURES) + 1
+    q = rng.standard_normal((decontamination.FEATURES, 3)).astype(np.float32)
+    total, passages = decontamination._product(decontamination.stored_features(frame(spark, texts)), idf, q)
+    rows = []
+    for text in filter(None, texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        own = decontamination.features_of(common.word_hashes(data, np.array([0, len(data)]), common.NOT_ALNUM)[0])
+        for at in range(0, max(1, len(own) - decontamination.STEP), decontamination.STEP):
+            row = np.bincount(own[at : at + decontamination.WINDOW], minlength=decontamination.FEATURES) * idf
+            rows.append(row / np.linalg.norm(row))
+    dense = np.array(rows)
+    assert passages == len(rows)
+    assert np.allclose(total, dense.T @ (dense @ q), atol=1e-4)
+
+
+def test_windows_of_a_piece_equal_those_of_each_text():
+    bounds = np.append(0, np.cumsum(np.random.default_rng(1).integers(0, 80, 200)))
+    for window, step in decontamination.STEPS.items():
+        starts, _, rows = decontamination.grid_windows(bounds, window, step)
+        expect = [(i, int(s)) for i, n in enumerate(np.diff(bounds)) for s in decontamination.window_starts(int(n), step, window)]
+        assert sorted(zip(rows.tolist(), (starts - bounds[rows]).tolist())) == expect
+
+
 def test_lcs():
     def plain(a, b):
         row = [0] * (len(b) + 1)
