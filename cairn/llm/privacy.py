@@ -5,17 +5,19 @@ matches without positions, so each text is also split at the pattern: the start
 of a match is the length of all gaps up to it and of all matches before it, a
 running sum over the pieces of one text.
 
-Around every base span (its entity) the words within ``REACH`` characters are its
-terms.  Counts over the corpus say how much a term tells about the entity:
+The words of a text that holds a base span (its entity) are the entity's terms,
+wherever in the text they stand.  Counts over the corpus say how much a term tells
+about the entity:
 
-* occurrences of the term next to the entity and in all documents, whose ratio is
-  the chance of the entity given the term,
-* the information in bits, log2 of that chance over the entity's own share.
+* documents that hold the term, with and without the entity, whose ratio is the
+  chance of the entity given the term,
+* the information in bits, log2 of that chance over the entity's own share of documents.
 
-Terms next to the same entity in at least ``SUPPORT`` different texts, with a
-chance of at least ``CHANCE`` and at least ``BITS`` bits, disclose it.  Their
-spans beside the entity are added: ``term`` (generalised) or, from a chance of
-``CERTAIN``, ``reveal`` (removed).
+Terms with the same entity in at least ``SUPPORT`` different texts, with a chance of
+at least ``CHANCE`` and at least ``BITS`` bits, disclose it.  All their places in the
+texts with the entity are added: ``term`` (generalised) or, from a chance of
+``CERTAIN``, ``reveal`` (removed).  An entity of fewer different texts can have no
+such term, so only the texts of the others are cut into words.
 
 Cases: null text is empty; parts of addresses above 255, card numbers failing the
 check digit and numbers of other lengths are dropped without another try;
@@ -30,11 +32,10 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import cut_lineage, table
 
-REACH = 80
 SUPPORT = 2
 CHANCE, CERTAIN = 0.5, 0.9
 BITS = 8.0
-TERM = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{N}]+"
 BROADCAST_TERMS = 100_000
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("term", "reveal")
@@ -105,32 +106,34 @@ def base_spans(found: DataFrame) -> DataFrame:
     return placed.withColumn("end", F.col("start") + F.length("value"))
 
 
-def _terms(context: Column, origin: Column, cut_left: bool) -> Column:
-    """Whole words of a context with their places; words at its cut edge are left out."""
-    words, gaps = F.regexp_extract_all(context, F.lit(TERM), F.lit(0)), F.split(context, TERM, -1)
-    offset = lambda i: F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(F.array_join(F.slice(words, F.lit(1), i), ""))
-    listed = F.transform(words, lambda w, i: F.struct(F.lower(w).alias("term"), (origin + offset(i)).alias("start"), (origin + offset(i) + F.length(w)).alias("end")))
-    whole = F.length(context) < REACH
-    inside = (lambda t: whole | (t["start"] > origin)) if cut_left else (lambda t: whole | (t["end"] < origin + REACH))
-    return F.filter(listed, inside)
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
 
-def context_terms(spans: DataFrame, found: DataFrame) -> DataFrame:
-    """Terms beside each entity: row, text_hash, entity, term, start, end; a term beside several spans of one entity once.
+def with_entity(spans: DataFrame) -> DataFrame:
+    """Spans with the entity they name."""
+    return spans.withColumn("entity", F.xxhash64("kind", F.lower("value")))
 
-    The context is cut from the text itself, whatever other matches stand in it.
-    """
-    entity = F.xxhash64("kind", F.lower("value"))
-    first = F.greatest(F.col("start") - REACH, F.lit(0))
-    texts = found.where("text IS NOT NULL").select("row", "text")
-    spans = spans.join(texts, "row").select(
-        "row", "text_hash", "kind", "value", "start", "end",
-        F.substring("text", first + 1, F.col("start") - first).alias("before"), F.substring("text", F.col("end") + 1, F.lit(REACH)).alias("after"),
-    )
-    before = _terms(F.col("before"), F.col("start") - F.length("before"), True)
-    after = _terms(F.col("after"), F.col("end"), False)
-    terms = spans.select("row", "text_hash", entity.alias("entity"), F.explode(F.concat(before, after)).alias("t"))
-    return terms.select("row", "text_hash", "entity", "t.term", "t.start", "t.end").distinct()
+
+def repeated_entities(spans: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """Spans of the entities that stand in at least ``support`` different texts."""
+    spans = with_entity(spans)
+    held = spans.groupBy("entity").agg(F.count_distinct("text_hash").alias("texts")).where(F.col("texts") >= support)
+    return spans.join(held.select("entity"), "entity", "left_semi")
+
+
+def context_terms(spans: DataFrame, found: DataFrame) -> DataFrame:
+    """All words of the texts with an entity: row, text_hash, entity, term, start, end; a word with several spans of one entity once."""
+    entities = with_entity(spans).select("row", "text_hash", "entity").distinct()
+    texts = found.where("text IS NOT NULL").join(entities.select("row").distinct(), "row", "left_semi")
+    # As with base spans: a word starts behind all gaps and words before it.
+    pieces = F.arrays_zip(_words(F.col("text")).alias("value"), F.transform(F.split("text", TERM, -1), F.length).alias("gap"))
+    placed = texts.select("row", F.posexplode(pieces).alias("place", "piece")).select("row", "place", "piece.value", "piece.gap")
+    before = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    passed = F.coalesce(F.sum(F.col("gap") + F.coalesce(F.length("value"), F.lit(0))).over(before), F.lit(0))
+    words = placed.withColumn("start", (passed + F.col("gap")).cast("int")).where("value IS NOT NULL")
+    words = words.select("row", F.lower("value").alias("term"), "start", (F.col("start") + F.length("value")).alias("end"))
+    return words.join(entities, "row").select("row", "text_hash", "entity", "term", "start", "end")
 
 
 def disclosing(docs: DataFrame, terms: DataFrame, support: int = SUPPORT, chance: float = CHANCE, bits: float = BITS) -> DataFrame:
@@ -140,19 +143,17 @@ def disclosing(docs: DataFrame, terms: DataFrame, support: int = SUPPORT, chance
     broadcast when their number, taken first, is small; else the counts meet
     them in a shuffle.
     """
-    near = terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"), F.count_distinct("text_hash").alias("texts"))
+    near = terms.groupBy("entity", "term").agg(F.count_distinct("row").alias("together"), F.count_distinct("text_hash").alias("texts"))
     near = cut_lineage(near.where(F.col("texts") >= support))
     wanted = near.select("term").distinct()
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    words = docs.select(F.explode(F.array_distinct(F.transform(_words(F.col("text")), F.lower))).alias("term"))
     corpus = words.join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("everywhere"))
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 1
-    entities = terms.select("entity", "row", "start").groupBy("entity").agg(F.count(F.lit(1)).alias("entity_terms"))
+    entities = terms.groupBy("entity").agg(F.count_distinct("row").alias("entity_rows"))
     met = near.join(corpus, "term").join(entities, "entity")
     share = F.least(F.lit(1.0), F.col("together") / F.col("everywhere"))
-    # Six characters a word: the entity's share of all term positions of the corpus.
-    information = F.log2(share / (F.col("entity_terms") / F.lit(max(1.0, total / 6))))
+    information = F.log2(share / (F.col("entity_rows") / F.lit(float(max(1, docs.count())))))
     return met.select("entity", "term", share.alias("chance")).where((F.col("chance") >= chance) & (information >= bits))
 
 
@@ -160,7 +161,7 @@ def detect(docs: DataFrame, bits: float = BITS) -> tuple[DataFrame, DataFrame]:
     """Stored matches per document row, and all spans: row, kind, start, end."""
     found = matches(docs)
     spans = base_spans(found)
-    terms = cut_lineage(context_terms(spans, found))
+    terms = cut_lineage(context_terms(repeated_entities(spans), found))
     shown = terms.join(disclosing(docs, terms, bits=bits), ["entity", "term"])
     kind = F.when(F.col("chance") >= CERTAIN, F.lit("reveal")).otherwise(F.lit("term"))
     added = shown.groupBy("row", "start", "end").agg(F.max("chance").alias("chance")).select("row", kind.alias("kind"), "start", "end")

@@ -307,6 +307,18 @@ def test_contexts_reach_over_other_numbers(spark):
         assert {"Quintessa", "Zebulonia"} <= shown
 
 
+def test_terms_of_the_whole_text_are_added_at_all_their_places(spark):
+    """Far from the entity, short or a number, and every time they stand in its text."""
+    texts = [f"Lee 7741 {' '.join(words(60, k))} quin@mail.example.com {' '.join(words(60, 20 + k))} LEE and É 7741" for k in range(4)]
+    texts += [f"{' '.join(words(120, 50 + k))} and" for k in range(40)]
+    for r in privacy.report(frame(spark, texts), bits=2.0).where("doc_id < 4").collect():
+        text = texts[r["doc_id"]]
+        shown = [(text[s["start"] : s["end"]], s["start"]) for s in r["spans"] if s["kind"] == "reveal"]
+        for term in ("Lee", "7741", "LEE", "É"):
+            assert [at for got, at in shown if got == term] == [m.start() for m in re.finditer(rf"\b{term}\b", text)]
+        assert "and" not in {got for got, _ in shown}
+
+
 def test_context_terms_are_counted_once(spark):
     docs = frame(spark, ["Quintessa a.b@c.de and a.b@c.de"])
     found = privacy.matches(docs)
