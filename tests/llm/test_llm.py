@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 
 from cairn.llm import common, decontamination, fingerprints, jaccard, language, mixing, privacy, quality, secrets, tokens, toxicity
+from cairn.llm import components as linked
+from cairn.llm.common import cut_lineage
 from cairn.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -158,6 +160,37 @@ def test_components_of_a_chain(spark):
     assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(31)} | {(50, 50), (51, 50)}
 
 
+def test_components_join_links_in_shares_first(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(linked, "cut_lineage", lambda df: cuts.append(cut_lineage(df)) or cuts[-1])
+    dense = [(i, j) for i in range(0, 200, 2) for j in range(i + 2, 200, 2)]
+    long = [(i, i + 1) for i in range(10_000, 12_000)]
+    got = components(spark.createDataFrame(dense + long, "a long, b long").repartition(9))
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(0, 200, 2)} | {(i, 10_000) for i in range(10_000, 12_001)}
+    # One link a node is left, and few rounds: each cut is a round of joins and shuffles.
+    assert cuts[1].count() == 99 + 2000
+    assert len(cuts) <= 6
+
+
+def test_components_of_many_shares(spark, monkeypatch):
+    monkeypatch.setattr(linked, "LOCAL", 7)
+    rng = random.Random(5)
+    links = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(i, i + 1) for i in range(2000, 2100)] + [(4000, 4000), (None, 1), (2, None)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((x, root(x)) for x in parent)
+
+
 # ---- decontamination ----
 
 
