@@ -33,6 +33,7 @@ or benchmark table gives no row; further columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,20 +181,23 @@ def passage_products(features: np.ndarray, bounds: np.ndarray, weights: np.ndarr
     starts = bounds[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)) * STEP
     ends = np.minimum(starts + STEP, bounds[row + 1])
     padded = np.append(features, np.full(STEP, FEATURES))
-    sums = np.empty((len(starts), weighted.shape[1]), np.float32)
+    sums = np.zeros((len(starts) + 1, weighted.shape[1]), np.float32)
     for lo in range(0, len(starts), 2048):
-        sums[lo : lo + 2048] = window_sums(padded, starts[lo : lo + 2048], ends[lo : lo + 2048], STEP, weighted)
+        sums[lo : min(lo + 2048, len(starts))] = window_sums(padded, starts[lo : lo + 2048], ends[lo : lo + 2048], STEP, weighted)
     paired = np.append(row[1:] == row[:-1], False)
     first = np.flatnonzero(paired | (per_row[row] == 1))
     two = paired[first]
-    y = sums[first]
-    y[two] += sums[first[two] + 1]
     norms = _square_norms(features, starts[first], np.where(two, ends[np.minimum(first + 1, len(ends) - 1)], ends[first]), weights.astype(np.float64) ** 2)
-    y /= norms[:, None].astype(np.float32)
-    # Each word gets the products of the passages it stands in: those of its block.
-    back = np.zeros((len(sums) + 1, sums.shape[1]), np.float32)
-    back[first] = y
-    back[first[two] + 1] += y[two]
+    # Each word gets the products of the passages it stands in: those of its block.  A block that no passage begins with gives zero.
+    scale = np.full((len(starts), 1), np.inf, np.float32)
+    scale[first, 0] = norms
+    back = np.zeros_like(sums)
+    for lo in range(0, len(starts), 2048):
+        hi = min(lo + 2048, len(starts))
+        goes_on = paired[lo:hi, None]
+        y = (sums[lo:hi] + sums[lo + 1 : hi + 1] * goes_on) / scale[lo:hi]
+        back[lo:hi] += y
+        back[lo + 1 : hi + 1] += y * goes_on
     # Words in the order of their features, summed in groups of GROUP words of one feature and then by feature.
     order = np.argsort(features.astype(np.uint16), kind="stable")
     block = np.append(np.repeat(np.arange(len(starts)), ends - starts)[order], np.zeros(GROUP, np.int64))
@@ -203,11 +207,12 @@ def passage_products(features: np.ndarray, bounds: np.ndarray, weights: np.ndarr
     ahead = np.cumsum(times) - times
     at = ahead[of] + (np.arange(len(of)) - np.repeat(np.cumsum(groups) - groups, groups)) * GROUP
     until = np.minimum(at + GROUP, (ahead + times)[of])
-    parts = np.empty((len(of), sums.shape[1]), np.float32)
-    for lo in range(0, len(of), 2048):
-        parts[lo : lo + 2048] = window_sums(block, at[lo : lo + 2048], until[lo : lo + 2048], GROUP, back)
-    for k, column in enumerate(np.ascontiguousarray(parts.T)):
-        out[k] += np.bincount(of, column, FEATURES)
+    for lo in range(0, len(of), 1024):
+        own = of[lo : lo + 1024]
+        totals = np.zeros((len(own) + 1, sums.shape[1]))
+        np.cumsum(window_sums(block, at[lo : lo + 1024], until[lo : lo + 1024], GROUP, back), axis=0, dtype=np.float64, out=totals[1:])
+        new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out.T[own[new]] += np.diff(totals[np.append(new, len(own))], axis=0)
     return len(first)
 
 
@@ -218,7 +223,7 @@ def _product(stored: DataFrame, idf: np.ndarray, q: np.ndarray) -> tuple[np.ndar
     weighted = np.vstack([q * weights[:-1, None], np.zeros((1, width))]).astype(np.float32)
 
     def multiply(batches):
-        out, passages = np.zeros((width, FEATURES)), 0
+        out, passages = np.zeros((FEATURES, width)).T, 0
         for batch in batches:
             for features, bounds in _spans(batch):
                 passages += passage_products(features, bounds, weights, weighted, out)
@@ -313,8 +318,24 @@ class Items:
 
     def shares(self, windows: np.ndarray, owners: np.ndarray) -> np.ndarray:
         """Part of each window's weight in words that the item has, too."""
-        weight = self.idf[windows]
-        return (weight * self.has[owners[:, None], windows]).sum(1) / weight.sum(1)
+        weight = self.idf.take(windows)
+        return (weight * self.has.ravel().take(owners[:, None] * FEATURES + windows)).sum(1) / weight.sum(1)
+
+    def hopeless(self, item: int, document: list[int], begins: list[int]) -> set[int]:
+        """Begins of an item in a document whose stretches cannot cover it, told of neighbours at once.
+
+        A common subsequence with a stretch is one with all that lies around it, too.
+        """
+        own, out = self.words[item], set()
+        begins, at = sorted(begins), 0
+        while at < len(begins):
+            end = bisect_right(begins, begins[at] + len(own) // 2)
+            if end - at > 1:
+                around = document[max(0, begins[at] - SLACK) : begins[end - 1] + len(own) + SLACK]
+                if lcs_length(own, around, self.places[item]) / len(own) < COVER:
+                    out.update(begins[at:end])
+            at = end
+        return out
 
     def check(self, item: int, document: list[int], at: int, window_at: int) -> tuple[float, float, int]:
         """LCS and answer share of an item against the stretch of a document around a passage."""
@@ -346,10 +367,11 @@ def window_sums(features: np.ndarray, starts: np.ndarray, ends: np.ndarray, wind
 
     ``features`` goes on for a window behind the last end.
     """
-    sums = np.zeros((len(starts), space.shape[1]), space.dtype)
+    sums, rows = np.zeros((2, len(starts), space.shape[1]), space.dtype)
     for place in range(window):
         at = starts + place
-        sums += space.take(np.where(at < ends, features[at], len(space) - 1), axis=0)
+        # All places are there; clipping them only saves a copy.
+        sums += space.take(np.where(at < ends, features.take(at), len(space) - 1), axis=0, out=rows, mode="clip")
     return sums
 
 
@@ -369,8 +391,9 @@ def _near(features: np.ndarray, weights: tuple[np.ndarray, np.ndarray], bounds:
         # A short text's window is filled up with its own words.
         inside = s[near, None] + np.arange(window) % (e - s)[near, None]
         known = items.shares(features[inside], owner[of]) >= KNOWN_SHARE
-        for w, i in zip(near[known], of[known]):
-            best.setdefault((int(r[w]), int(owner[i])), []).append((-float(likeness[w, i]), int(s[w]), int(at[i])))
+        near, of = near[known], of[known]
+        for row_, item, *hit in zip(*(x.tolist() for x in (r[near], owner[of], -likeness[near, of], s[near], at[of]))):
+            best.setdefault((row_, item), []).append(tuple(hit))
 
 
 def search_words(words: np.ndarray, bounds: np.ndarray, items: Items, space: np.ndarray, cosine: float) -> list[tuple]:
@@ -390,13 +413,14 @@ def search_words(words: np.ndarray, bounds: np.ndarray, items: Items, space: np.
     for (r, item), hits in best.items():
         if r not in documents:
             documents[r] = words[bounds[r] : bounds[r + 1]].tolist()
-        top, seen = None, set()
+        start = int(bounds[r])
+        top, seen = None, {start + begin for begin in items.hopeless(item, documents[r], list({s - start - window_at for _, s, window_at in hits}))}
         for like, s, window_at in sorted(hits):
             # Windows in step show the same stretch; the first has the best cosine.
             if s - window_at in seen:
                 continue
             seen.add(s - window_at)
-            lcs, answer, first = items.check(item, documents[r], s - int(bounds[r]), window_at)
+            lcs, answer, first = items.check(item, documents[r], s - start, window_at)
             if lcs >= COVER and answer >= ANSWER and (top is None or lcs > top[1]):
                 top = (-like, lcs, answer, first)
                 if lcs == 1.0:

@@ -254,6 +254,23 @@ def test_latent_products_go_over_all_passages(spark):
     assert np.allclose(total, dense.T @ (dense @ q), atol=1e-4)
 
 
+def test_stretches_given_up_at_once_cannot_cover_an_item(monkeypatch):
+    rng = random.Random(8)
+    idf, space = np.ones(decontamination.FEATURES), np.ones((decontamination.FEATURES, 4), np.float32)
+    own = [rng.randrange(60) for _ in range(30)]
+    items = decontamination.Items([1], [np.array(own, np.uint64)], space, idf)
+    document = [rng.randrange(60) for _ in range(400)]
+    document[200:230] = [w if rng.random() < 0.8 else 99 for w in own]
+    begins = list(range(-10, 391, 4))
+    calls = []
+    plain = decontamination.lcs_length
+    monkeypatch.setattr(decontamination, "lcs_length", lambda *a: calls.append(1) or plain(*a))
+    given_up = items.hopeless(0, document, begins)
+    assert len(calls) < len(begins) / 2 and len(given_up) > len(begins) / 2
+    covered = {b for b in begins if items.check(0, document, b, 0)[0] >= decontamination.COVER}
+    assert covered and not covered & given_up
+
+
 def test_windows_of_a_piece_equal_those_of_each_text():
     bounds = np.append(0, np.cumsum(np.random.default_rng(1).integers(0, 80, 200)))
     for window, step in decontamination.STEPS.items():
