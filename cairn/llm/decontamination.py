@@ -10,7 +10,7 @@ with document frequencies counted over all documents.
 A randomised SVD of the TF-IDF matrix of the ``WINDOW`` word passages of all documents and
 items gives ``RANK`` latent directions.  The words of every text are stored once as
 features; each of the ``POWER`` + 1 rounds goes over all of them, multiplies A^T (A Q)
-for its part, a matrix of fixed size per task, which tasks add up in ``SLICES`` slices;
+for its part, a matrix of fixed size per task (three tasks a core), which tasks add up in ``SLICES`` slices;
 the driver orthonormalises the one sum.  Directions are scaled to equal variance, so
 rare directions count as much as common ones.
 
@@ -255,6 +255,8 @@ def _product(stored: DataFrame, idf: np.ndarray, q: np.ndarray) -> tuple[np.ndar
 
 def latent_space(stored: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
     """FEATURES x rank matrix, IDF and scaling included, by distributed randomised SVD over all passages."""
+    # A task's sums have a fixed size: a few tasks a core, whatever the number of files, bound what is shuffled.
+    stored = stored.coalesce(3 * stored.sparkSession.sparkContext.defaultParallelism)
     q = np.random.default_rng(seed).standard_normal((FEATURES, rank + EXTRA)).astype(np.float32)
     for _ in range(POWER):
         total, passages = _product(stored, idf, q)

@@ -271,6 +271,15 @@ def test_stretches_given_up_at_once_cannot_cover_an_item(monkeypatch):
     assert covered and not covered & given_up
 
 
+def test_latent_rounds_send_sums_of_a_bounded_number_of_tasks(spark, monkeypatch):
+    texts = [words(60, i) for i in range(80)]
+    plain, widths = decontamination._product, []
+    monkeypatch.setattr(decontamination, "_product", lambda stored, *a: widths.append(stored.rdd.getNumPartitions()) or plain(stored, *a))
+    stored = decontamination.stored_features(frame(spark, texts).repartition(40))
+    space = decontamination.latent_space(stored, np.ones(decontamination.FEATURES), 4)
+    assert space.any() and widths == [3 * spark.sparkContext.defaultParallelism] * (decontamination.POWER + 1)
+
+
 def test_windows_of_a_piece_equal_those_of_each_text():
     bounds = np.append(0, np.cumsum(np.random.default_rng(1).integers(0, 80, 200)))
     for window, step in decontamination.STEPS.items():
