@@ -9,10 +9,10 @@ with document frequencies counted over all documents.
 
 A randomised SVD of the TF-IDF matrix of the ``WINDOW`` word passages of all documents and
 items gives ``RANK`` latent directions.  The words of every text are stored once as
-features; each of the ``POWER`` + 1 rounds goes over all of them, multiplies A^T (A Q)
+features, with the lengths of their passages; each of the ``POWER`` + 1 rounds goes over all of them, multiplies A^T (A Q)
 for its part, a matrix of fixed size per task (three tasks a core), which tasks add up in ``SLICES`` slices;
-the driver orthonormalises the one sum.  Directions are scaled to equal variance, so
-rare directions count as much as common ones.
+the driver orthonormalises the one sum.  The last round needs (A Q)^T (A Q) alone.  Directions are scaled to
+equal variance, so rare directions count as much as common ones.
 
 Every passage is then projected and compared by cosine with all benchmark windows
 of its length in blocks.  Pairs of document and item above ``COSINE`` whose passage has at least
@@ -52,9 +52,12 @@ ITEM_STEPS = {8: 1, 12: 2, 16: 4, WINDOW: ITEM_STEP}
 FROM_WORDS = {8: 0, 12: 12, 16: 16, WINDOW: 30}
 RANK, EXTRA, POWER = 48, 16, 2
 SLICES = 32
-# Bytes of features that a task multiplies at a time.
-SPAN = 1 << 18
+# Bytes of texts that a task cuts and searches, and of features that it multiplies, at a time.
+PIECE = 1 << 18
+SPAN = 1 << 20
 GROUP = 8
+# Rows of sums made at a time, few enough to stay in a core's cache.
+ROWS = 512
 # Words on both sides of an item's place that its checks look at, too.
 SLACK = WINDOW // 2
 # Both filters come before the word checks; set from the recall they leave (README).
@@ -69,7 +72,7 @@ SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer_sha
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row range, word hashes and word bounds of pieces of a batch."""
     data, offsets = text_buffer(batch.column("text"))
-    for a, b in blocks(offsets):
+    for a, b in blocks(offsets, PIECE):
         words, bounds = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NOT_ALNUM)
         yield a, b, words, bounds
 
@@ -107,11 +110,11 @@ def stored_features(texts: DataFrame) -> DataFrame:
     return cut_lineage(texts.select("text").mapInArrow(cut, "features binary"))
 
 
-def _spans(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Features and text bounds of pieces of a batch of stored features."""
+def _spans(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row range, features and text bounds of pieces of a batch of stored features."""
     data, offsets = text_buffer(batch.column("features"))
     for a, b in blocks(offsets, SPAN):
-        yield data[offsets[a] : offsets[b]].view("<u2").astype(np.int64), (offsets[a : b + 1] - offsets[a]) // 2
+        yield a, b, data[offsets[a] : offsets[b]].view("<u2").astype(np.int64), (offsets[a : b + 1] - offsets[a]) // 2
 
 
 def document_frequencies(stored: DataFrame) -> tuple[np.ndarray, int]:
@@ -121,14 +124,11 @@ def document_frequencies(stored: DataFrame) -> tuple[np.ndarray, int]:
         total, rows = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for features, bounds in _spans(batch):
+            for _, _, features, bounds in _spans(batch):
                 pairs = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * FEATURES + features
-                if len(bounds) <= 1 << 10:
-                    seen = np.zeros((len(bounds) - 1) * FEATURES, bool)
-                    seen[pairs] = True
-                    total += seen.reshape(len(bounds) - 1, FEATURES).sum(0)
-                else:
-                    total += np.bincount(np.unique(pairs) % FEATURES, minlength=FEATURES)
+                pairs.sort()
+                new = np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]
+                total += np.bincount(pairs[new] % FEATURES, minlength=FEATURES)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], rows))], names=["feature", "documents"])
 
@@ -154,50 +154,86 @@ def project(features: np.ndarray, bounds: np.ndarray, matrix: np.ndarray) -> np.
     return np.add.reduceat(matrix[features], bounds[:-1], axis=0)
 
 
-def _square_norms(features: np.ndarray, starts: np.ndarray, ends: np.ndarray, squares: np.ndarray) -> np.ndarray:
-    """Squared length of the TF-IDF row of each passage; a word it repeats counts with the square of its number."""
-    at = starts[:, None] + np.arange(WINDOW)
-    words = np.where(at < ends[:, None], features[np.minimum(at, len(features) - 1)], FEATURES).astype(np.uint16)
-    words.sort(axis=1)
-    new = np.ones(words.shape, bool)
-    new[:, 1:] = words[:, 1:] != words[:, :-1]
-    run = np.flatnonzero(new)
-    times = np.diff(np.append(run, words.size))
-    return np.add.reduceat(squares[words.ravel()[run]] * times**2, np.cumsum(new.sum(1)) - new.sum(1))
+def text_blocks(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all blocks of ``STEP`` words, whether each goes on with the next one, and whether a passage begins with it.
 
+    Passages are pairs of neighbouring blocks, so the last one of a text is shorter; a text of one block is one passage.
+    """
+    per_row = -(-np.diff(bounds) // STEP)
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    starts = bounds[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)) * STEP
+    paired = np.append(row[1:] == row[:-1], False)[: len(row)]
+    return starts, np.minimum(starts + STEP, bounds[row + 1]), paired, paired | (per_row[row] == 1)
+
+
+def square_norms(features: np.ndarray, bounds: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Squared length of the TF-IDF row of the passage that begins with each block, infinite where none does.
+
+    A word that a passage repeats counts with the square of its number.
+    """
+    starts, ends, paired, first = text_blocks(bounds)
+    block, short, each = np.repeat(np.arange(len(starts)), ends - starts), features.astype(np.uint16), squares.take(features)
+    own = np.bincount(block, each, len(starts))
+    # (a + b)^2 = a^2 + b^2 + 2ab: each two equal words of one passage add twice their square.
+    same = [np.flatnonzero(short[apart:] == short[:-apart]) for apart in range(1, min(2 * STEP, len(short)))]
+    left = np.concatenate([np.zeros(0, np.int64), *same])
+    at, twice = block.take(left), 2 * each.take(left)
+    blocks_apart = block.take(left + np.repeat(np.arange(1, len(same) + 1), [len(x) for x in same])) - at
+    within, across = blocks_apart == 0, blocks_apart == 1
+    own += np.bincount(at[within], twice[within], len(starts))
+    # Without any words to count it gives integers.
+    both = np.bincount(at[across], twice[across], len(starts)).astype(np.float64)
+    both[:-1] += own[1:]
+    return np.where(first, own + np.where(paired, both, 0.0), np.inf).astype(np.float32)
+
+
+def with_norms(stored: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Stored features with ``square_norms`` of each text, four bytes a passage."""
+    squares = idf.astype(np.float32).astype(np.float64) ** 2
 
-def passage_products(features: np.ndarray, bounds: np.ndarray, weights: np.ndarray, weighted: np.ndarray, out: np.ndarray) -> int:
+    def add(batches):
+        for batch in batches:
+            for a, b, features, bounds in _spans(batch):
+                norms = square_norms(features, bounds, squares).astype("<f4").tobytes()
+                offsets = np.append(0, np.cumsum(-(-np.diff(bounds) // STEP))) * 4
+                column = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(norms)])
+                yield pa.RecordBatch.from_arrays([batch.column("features").slice(a, b - a), column], names=["features", "norms"])
+
+    return stored.mapInArrow(add, "features binary, norms binary")
+
+
+def passage_products(features: np.ndarray, bounds: np.ndarray, norms: np.ndarray, weighted: np.ndarray, out: np.ndarray, last: bool) -> int:
     """Adds A^T (A Q), transposed and without the weights of A^T, over all passages of a piece of texts; returns their number.
 
-    Passages are pairs of neighbouring blocks of ``STEP`` words, so the last one of a
-    text is shorter; a text of one block is one passage.  Rows have unit length: no passage,
-    whatever it repeats, weighs more than another.  ``weights`` and ``weighted`` have one
+    For the ``last`` round it adds (A Q)^T (A Q).  Rows have unit length: no passage,
+    whatever it repeats, weighs more than another.  ``weighted`` has one
     more row, zero, for places behind a text.
     """
     if not len(features):
         return 0
-    per_row = -(-np.diff(bounds) // STEP)
-    row = np.repeat(np.arange(len(per_row)), per_row)
-    starts = bounds[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)) * STEP
-    ends = np.minimum(starts + STEP, bounds[row + 1])
+    starts, ends, paired, first = text_blocks(bounds)
     padded = np.append(features, np.full(STEP, FEATURES))
     sums = np.zeros((len(starts) + 1, weighted.shape[1]), np.float32)
-    for lo in range(0, len(starts), 2048):
-        sums[lo : min(lo + 2048, len(starts))] = window_sums(padded, starts[lo : lo + 2048], ends[lo : lo + 2048], STEP, weighted)
-    paired = np.append(row[1:] == row[:-1], False)
-    first = np.flatnonzero(paired | (per_row[row] == 1))
-    two = paired[first]
-    norms = _square_norms(features, starts[first], np.where(two, ends[np.minimum(first + 1, len(ends) - 1)], ends[first]), weights.astype(np.float64) ** 2)
+    for lo in range(0, len(starts), ROWS):
+        hi = min(lo + ROWS, len(starts))
+        sums[lo:hi] = window_sums(padded, starts[lo:hi], ends[lo:hi], STEP, weighted)
+    goes_on = paired.astype(np.float32)[:, None]
+    scale = (np.sqrt(norms) if last else norms)[:, None]
     # Each word gets the products of the passages it stands in: those of its block.  A block that no passage begins with gives zero.
-    scale = np.full((len(starts), 1), np.inf, np.float32)
-    scale[first, 0] = norms
     back = np.zeros_like(sums)
-    for lo in range(0, len(starts), 2048):
-        hi = min(lo + 2048, len(starts))
-        goes_on = paired[lo:hi, None]
-        y = (sums[lo:hi] + sums[lo + 1 : hi + 1] * goes_on) / scale[lo:hi]
+    for lo in range(0, len(starts), ROWS):
+        hi = min(lo + ROWS, len(starts))
+        y = sums[lo + 1 : hi + 1] * goes_on[lo:hi]
+        y += sums[lo:hi]
+        y /= scale[lo:hi]
+        if last:
+            out += y.T @ y
+            continue
         back[lo:hi] += y
-        back[lo + 1 : hi + 1] += y * goes_on
+        y *= goes_on[lo:hi]
+        back[lo + 1 : hi + 1] += y
+    if last:
+        return int(first.sum())
     # Words in the order of their features, summed in groups of GROUP words of one feature and then by feature.
     order = np.argsort(features.astype(np.uint16), kind="stable")
     block = np.append(np.repeat(np.arange(len(starts)), ends - starts)[order], np.zeros(GROUP, np.int64))
@@ -207,30 +243,35 @@ def passage_products(features: np.ndarray, bounds: np.ndarray, weights: np.ndarr
     ahead = np.cumsum(times) - times
     at = ahead[of] + (np.arange(len(of)) - np.repeat(np.cumsum(groups) - groups, groups)) * GROUP
     until = np.minimum(at + GROUP, (ahead + times)[of])
-    for lo in range(0, len(of), 1024):
-        own = of[lo : lo + 1024]
-        totals = np.zeros((len(own) + 1, sums.shape[1]))
-        np.cumsum(window_sums(block, at[lo : lo + 1024], until[lo : lo + 1024], GROUP, back), axis=0, dtype=np.float64, out=totals[1:])
+    for lo in range(0, len(of), ROWS):
+        own = of[lo : lo + ROWS]
         new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        out.T[own[new]] += np.diff(totals[np.append(new, len(own))], axis=0)
-    return len(first)
+        totals = window_sums(block, at[lo : lo + ROWS], until[lo : lo + ROWS], GROUP, back)
+        out.T[own[new]] += np.add.reduceat(totals, new, axis=0, dtype=np.float64)
+    return int(first.sum())
 
 
-def _product(stored: DataFrame, idf: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, int]:
-    """A^T (A Q) over all passages and their number; tasks add up the parts of the tasks, slice by slice."""
-    width, size = q.shape[1], FEATURES // SLICES
-    weights = np.append(idf, 0.0).astype(np.float32)
-    weighted = np.vstack([q * weights[:-1, None], np.zeros((1, width))]).astype(np.float32)
+def _product(stored: DataFrame, idf: np.ndarray, q: np.ndarray, last: bool = False) -> tuple[np.ndarray, int]:
+    """A^T (A Q), for the ``last`` round (A Q)^T (A Q), over all passages and their number; tasks add up the parts of the tasks, slice by slice."""
+    width = q.shape[1]
+    rows, slices = (width, 1) if last else (FEATURES, SLICES)
+    size = rows // slices
+    weights = idf.astype(np.float32)[:, None]
+    weighted = np.vstack([q * weights, np.zeros((1, width))]).astype(np.float32)
+    if "norms" not in stored.columns:
+        stored = with_norms(stored, idf)
 
     def multiply(batches):
-        out, passages = np.zeros((FEATURES, width)).T, 0
+        out, passages = np.zeros((rows, width)).T, 0
         for batch in batches:
-            for features, bounds in _spans(batch):
-                passages += passage_products(features, bounds, weights, weighted, out)
+            data, offsets = text_buffer(batch.column("norms"))
+            for a, b, features, bounds in _spans(batch):
+                norms = data[offsets[a] : offsets[b]].view("<f4").astype(np.float32)
+                passages += passage_products(features, bounds, norms, weighted, out, last)
         if passages:
-            sums = (out.T * weights[:-1, None]).astype(np.float32)
-            part, slices = TaskContext.get().partitionId(), sums.reshape(SLICES, size * width)
-            columns = [pa.array(range(SLICES)), pa.array([part] * SLICES), pa.array([s.tobytes() for s in slices], pa.binary()), pa.array([passages] * SLICES)]
+            sums = (out.T if last else out.T * weights).astype(np.float32)
+            part, sums = TaskContext.get().partitionId(), sums.reshape(slices, size * width)
+            columns = [pa.array(range(slices)), pa.array([part] * slices), pa.array([s.tobytes() for s in sums], pa.binary()), pa.array([passages] * slices)]
             yield pa.RecordBatch.from_arrays(columns, names=["slice", "part", "sums", "passages"])
 
     def add(batches):
@@ -245,18 +286,18 @@ def _product(stored: DataFrame, idf: np.ndarray, q: np.ndarray) -> tuple[np.ndar
 
     parts = stored.mapInArrow(multiply, "slice long, part long, sums binary, passages long")
     # In the order of the tasks, so reruns add up the same.
-    dealt = parts.repartition(SLICES, "slice").sortWithinPartitions("slice", "part")
+    dealt = parts.repartition(slices, "slice").sortWithinPartitions("slice", "part")
     got = dealt.mapInArrow(add, "slice long, sums binary, passages long").collect()
-    total, passages = np.zeros((SLICES, size * width)), 0
+    total, passages = np.zeros((slices, size * width)), 0
     for r in got:
         total[r["slice"]], passages = np.frombuffer(r["sums"]), r["passages"]
-    return total.reshape(FEATURES, width), passages
+    return total.reshape(rows, width), passages
 
 
 def latent_space(stored: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
     """FEATURES x rank matrix, IDF and scaling included, by distributed randomised SVD over all passages."""
     # A task's sums have a fixed size: a few tasks a core, whatever the number of files, bound what is shuffled.
-    stored = stored.coalesce(3 * stored.sparkSession.sparkContext.defaultParallelism)
+    stored = cut_lineage(with_norms(stored, idf)).coalesce(3 * stored.sparkSession.sparkContext.defaultParallelism)
     q = np.random.default_rng(seed).standard_normal((FEATURES, rank + EXTRA)).astype(np.float32)
     for _ in range(POWER):
         total, passages = _product(stored, idf, q)
@@ -264,8 +305,8 @@ def latent_space(stored: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
             return np.zeros((FEATURES, rank), np.float32)
         q = np.linalg.qr(total)[0].astype(np.float32)
     # One more product gives A^T A in the basis q; its eigenvectors are the right singular vectors.
-    total, passages = _product(stored, idf, q)
-    values, vectors = np.linalg.eigh(q.astype(np.float64).T @ total)
+    total, passages = _product(stored, idf, q, True)
+    values, vectors = np.linalg.eigh(total)
     order = np.argsort(-values)[:rank]
     scale = np.sqrt(np.maximum(values[order], 1e-9) / passages)
     return ((q @ vectors[:, order]) / np.maximum(scale, 1e-6) * idf[:, None]).astype(np.float32)
@@ -318,10 +359,11 @@ class Items:
         # Features that any item of a class has.
         self.vocabulary = {window: self.has[np.unique(owner)].any(0) for window, (_, owner, _) in self.classes.items()}
 
-    def shares(self, windows: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        """Part of each window's weight in words that the item has, too."""
+    def shares(self, windows: np.ndarray, of: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """Part of the weight of the window ``of`` each pair in words that the item has, too."""
         weight = self.idf.take(windows)
-        return (weight * self.has.ravel().take(owners[:, None] * FEATURES + windows)).sum(1) / weight.sum(1)
+        known = self.has.ravel().take(owners[:, None] * FEATURES + windows.take(of, axis=0))
+        return (weight.take(of, axis=0) * known).sum(1) / weight.sum(1).take(of)
 
     def hopeless(self, item: int, document: list[int], begins: list[int]) -> set[int]:
         """Begins of an item in a document whose stretches cannot cover it, told of neighbours at once.
@@ -369,11 +411,11 @@ def window_sums(features: np.ndarray, starts: np.ndarray, ends: np.ndarray, wind
 
     ``features`` goes on for a window behind the last end.
     """
+    at = starts + np.arange(window)[:, None]
     sums, rows = np.zeros((2, len(starts), space.shape[1]), space.dtype)
-    for place in range(window):
-        at = starts + place
+    for place in np.where(at < ends, features.take(at), len(space) - 1):
         # All places are there; clipping them only saves a copy.
-        sums += space.take(np.where(at < ends, features.take(at), len(space) - 1), axis=0, out=rows, mode="clip")
+        sums += space.take(place, axis=0, out=rows, mode="clip")
     return sums
 
 
@@ -384,26 +426,30 @@ def _near(features: np.ndarray, weights: tuple[np.ndarray, np.ndarray], bounds:
     # No item knows more of a window than all items together: what they do not know enough is not projected.
     known, total = (sums[ends] - sums[starts] for sums in weights)
     open_ = np.flatnonzero((known >= (KNOWN_SHARE - 1e-4) * total) | (ends - starts < window))
-    for lo in range(0, len(open_), 2048):
-        of_block = open_[lo : lo + 2048]
+    for lo in range(0, len(open_), ROWS):
+        of_block = open_[lo : lo + ROWS]
         s, e, r = starts[of_block], ends[of_block], row[of_block]
         likeness = _units(window_sums(features, s, e, window, space)) @ units.T
         flat = np.flatnonzero(likeness >= cosine)
+        if not len(flat):
+            continue
         near, of = np.divmod(flat, likeness.shape[1])
         # A short text's window is filled up with its own words.
-        inside = s[near, None] + np.arange(window) % (e - s)[near, None]
-        known = items.shares(features[inside], owner[of]) >= KNOWN_SHARE
+        inside = s[:, None] + np.arange(window) % (e - s)[:, None]
+        # Neighbouring pairs of a window and one item have one share.
+        item = owner[of]
+        new = np.append(True, (near[1:] != near[:-1]) | (item[1:] != item[:-1]))
+        known = (items.shares(features[inside], near[new], item[new]) >= KNOWN_SHARE)[np.cumsum(new) - 1]
         near, of = near[known], of[known]
         for row_, item, *hit in zip(*(x.tolist() for x in (r[near], owner[of], -likeness[near, of], s[near], at[of]))):
             best.setdefault((row_, item), []).append(tuple(hit))
 
 
 def search_words(words: np.ndarray, bounds: np.ndarray, items: Items, space: np.ndarray, cosine: float) -> list[tuple]:
-    """(row, item, cosine, lcs share, answer share, start) of the confirmed pairs of a piece of texts."""
+    """(row, item, cosine, lcs share, answer share, start) of the confirmed pairs of a piece of texts; ``space`` ends with a row of zeros."""
     if not len(words):
         return []
     features = np.append(features_of(words), np.full(WINDOW, FEATURES))
-    space = np.vstack([space, np.zeros((1, space.shape[1]), space.dtype)])
     weight = items.idf[features[:-WINDOW]].astype(np.float64)
     total = np.append(0.0, np.cumsum(weight))
     best: dict[tuple[int, int], list] = {}
@@ -466,11 +512,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE)
 
 def _search(docs: DataFrame, ids: list, words: list[np.ndarray], space: np.ndarray, idf: np.ndarray, cosine: float) -> DataFrame:
     def run(batches):
-        items = Items(ids, words, space, idf)
+        items, padded = Items(ids, words, space, idf), np.vstack([space, np.zeros((1, space.shape[1]), space.dtype)])
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for a, _, hashes, bounds in _words(batch):
-                hits = search_words(hashes, bounds, items, space, cosine) if ids else []
+                hits = search_words(hashes, bounds, items, padded, cosine) if ids else []
                 if hits:
                     columns = [[doc_ids[a + h[0]] for h in hits], [items.ids[h[1]] for h in hits], *([h[k] for h in hits] for k in range(2, 6))]
                     types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32())

@@ -254,6 +254,37 @@ def test_latent_products_go_over_all_passages(spark):
     assert np.allclose(total, dense.T @ (dense @ q), atol=1e-4)
 
 
+def test_last_latent_round_multiplies_projections_with_stored_norms(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, n)) for n in rng.integers(0, 90, 40)] + [None, ""]
+    idf = rng.random(decontamination.FEATURES) + 1
+    q = rng.standard_normal((decontamination.FEATURES, 3)).astype(np.float32)
+    stored = decontamination.with_norms(decontamination.stored_features(frame(spark, texts)), idf)
+    total, passages = decontamination._product(stored, idf, q)
+    gram, again = decontamination._product(stored, idf, q, True)
+    assert passages == again and gram.shape == (3, 3)
+    assert np.allclose(gram, q.T @ total, rtol=1e-3, atol=1e-3)
+    # Lengths of passages that repeat words, in the order of the passages of each text.
+    weights = idf.astype(np.float32).astype(np.float64)
+    for row in stored.collect():
+        own = np.frombuffer(row["features"], "<u2").astype(np.int64)
+        norms = np.frombuffer(row["norms"], "<f4")
+        passage = [own[at : at + decontamination.WINDOW] for at in range(0, max(1, len(own) - decontamination.STEP), decontamination.STEP)] if len(own) else []
+        expect = [((np.bincount(p, minlength=decontamination.FEATURES) * weights) ** 2).sum() for p in passage]
+        assert len(norms) == -(-len(own) // decontamination.STEP) and np.isinf(norms[len(expect) :]).all()
+        assert np.allclose(norms[: len(expect)], expect, rtol=1e-6)
+
+
+def test_document_frequencies_of_many_short_and_long_texts(spark):
+    texts = [" ".join(words(5 + i % 60, i)) for i in range(1500)] + [None, ""]
+    got, rows = decontamination.document_frequencies(decontamination.stored_features(frame(spark, texts)))
+    expect = np.zeros(decontamination.FEATURES)
+    for text in filter(None, texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        expect[np.unique(decontamination.features_of(common.word_hashes(data, np.array([0, len(data)]), common.NOT_ALNUM)[0]))] += 1
+    assert rows == len(texts) and (got == expect).all()
+
+
 def test_stretches_given_up_at_once_cannot_cover_an_item(monkeypatch):
     rng = random.Random(8)
     idf, space = np.ones(decontamination.FEATURES), np.ones((decontamination.FEATURES, 4), np.float32)
