@@ -6,6 +6,9 @@ listing needs no Python worker and keeps the regexes inside one projection.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,26 +63,37 @@ def normalize_component(name: Column) -> Column:
 
 
 def decimal(text: Column) -> Column:
-    """Number in which ``p`` may stand for the decimal point; blank gives null."""
-    return F.replace(blank_to_null(text), F.lit("p"), F.lit(".")).try_cast("double")
+    """Number in which ``p`` may stand for the decimal point; blank is no number and gives null."""
+    return F.replace(text, F.lit("p"), F.lit(".")).try_cast("double")
+
+
+def _holds(norm: Column, parts: Iterable[str]) -> Column:
+    """Whether a stem has one of some plain texts, far cheaper than the regular expressions it spares."""
+    return reduce(Column.__or__, [F.contains(norm, F.lit(part)) for part in parts])
+
 
+def _marked(norm: Column, marker: str) -> Column:
+    """Whether a digit stands before the marker, as in every token that the marker ends."""
+    return F.contains(norm, F.lit(marker)) & _holds(norm, [digit + marker for digit in "0123456789"])
 
-def _number(norm: Column, marker: str, pattern: str, group: int = 1) -> Column:
+
+def _number(norm: Column, marker: str, pattern: str) -> Column:
     """Number of a token; stems without the token's marker skip the regular expression."""
-    return F.when(F.contains(norm, F.lit(marker)), decimal(F.regexp_extract(norm, pattern, group)))
+    return F.when(_marked(norm, marker), decimal(F.regexp_extract(norm, pattern, 1)))
 
 
-def _integer(norm: Column, marker: str, pattern: str, group: int = 1) -> Column:
-    found = blank_to_null(F.regexp_extract(norm, pattern, group)).try_cast("long")
-    return F.when(F.contains(norm, F.lit(marker)), found)
+def _integer(marked: Column, norm: Column, pattern: str) -> Column:
+    return F.when(marked, F.regexp_extract(norm, pattern, 1).try_cast("long"))
 
 
 def sample_id(norm: Column) -> Column:
-    found = F.upper(blank_to_null(F.regexp_extract(norm, SAMPLE, 0)))
-    out = found
-    for alias, target in SAMPLE_ALIASES.items():
-        out = F.when(found == alias, F.lit(target)).otherwise(out)
-    return out
+    def named(found: Column) -> Column:
+        out = F.upper(blank_to_null(found))
+        for alias, target in SAMPLE_ALIASES.items():
+            out = F.when(F.upper(found) == alias, F.lit(target)).otherwise(out)
+        return out
+
+    return let(F.regexp_extract(norm, SAMPLE, 0), named)
 
 
 def temperature(norm: Column) -> Column:
@@ -95,15 +109,16 @@ def excitation_wavelength(norm: Column) -> Column:
 
 
 def measurement_type(norm: Column) -> Column:
-    return F.when(norm.rlike(LUMINESCENCE), "photoluminescence").when(
-        norm.rlike(ABSORPTION), "absorption"
+    return F.when(_holds(norm, ["pl"]) & norm.rlike(LUMINESCENCE), "photoluminescence").when(
+        _holds(norm, ["ref", "dr", "absorb"]) & norm.rlike(ABSORPTION), "absorption"
     )
 
 
 def rotations(norm: Column) -> Column:
     """All rotation angles in order of appearance; null when there are none."""
     found = F.regexp_extract_all(norm, F.lit(ROTATION), F.lit(1))
-    return F.when(F.contains(norm, F.lit("deg")) & (F.size(found) > 0), F.transform(found, decimal))
+    angles = let(found, lambda texts: F.when(F.size(texts) > 0, F.transform(texts, decimal)))
+    return F.when(F.contains(norm, F.lit("deg")), angles)
 
 
 def point_label(stem: Column) -> Column:
@@ -114,12 +129,17 @@ def metadata_struct(stem: Column, norm: Column) -> Column:
     """The thirteen filename fields of one stem; ``norm`` is ``normalize_stem(stem)``.
 
     Bound as one unit: thirteen regular expressions unrolled into generated code
-    would exceed the method size the JVM still compiles.
+    would exceed the method size the JVM still compiles.  Inside the binding nothing
+    shares what it repeats, so each expression is searched for in one place.
     """
-    return let(norm, lambda bound: _fields(stem, bound))
+    exposure = F.when(F.contains(norm, F.lit("sx")), F.regexp_extract(norm, INTEGRATION, 0))
+    return let(
+        F.struct(norm.alias("norm"), exposure.alias("exposure")),
+        lambda bound: _fields(stem, bound["norm"], bound["exposure"]),
+    )
 
 
-def _fields(stem: Column, norm: Column) -> Column:
+def _fields(stem: Column, norm: Column, exposure: Column) -> Column:
     values = {
         "sample_id": sample_id(norm),
         "temperature_K": temperature(norm),
@@ -127,12 +147,12 @@ def _fields(stem: Column, norm: Column) -> Column:
         "excitation_wavelength_nm": excitation_wavelength(norm),
         "measurement_type": measurement_type(norm),
         "center_wavelength_nm": _number(norm, "nmc", CENTER),
-        "integration_time_s": _number(norm, "sx", INTEGRATION, 1),
-        "averages": _integer(norm, "sx", INTEGRATION, 2),
+        "integration_time_s": decimal(F.substring_index(exposure, "sx", 1)),
+        "averages": F.substring_index(exposure, "sx", -1).try_cast("long"),
         "excitation_power_uW": _number(norm, "uw", POWER),
-        "grating_grooves_per_mm": _integer(norm, "g", GRATING),
+        "grating_grooves_per_mm": _integer(_marked(norm, "g"), norm, GRATING),
         "rotations_deg": rotations(norm),
-        "stage_position": _integer(norm, "stage", STAGE),
+        "stage_position": _integer(_holds(norm, ["stage"]), norm, STAGE),
         "measurement_point_label": point_label(stem),
     }
     return F.struct(*[values[name].alias(name) for name in METADATA_FIELDS])

@@ -137,6 +137,36 @@ def test_filename_features(spark):
     assert features(spark, list(cases)) == list(cases.values())
 
 
+def test_each_pattern_of_a_stem_is_searched_for_once(spark):
+    df = spark.createDataFrame([("a", "b")], "stem string, norm string")
+    plan = df.select(filename.metadata_struct(F.col("stem"), F.col("norm")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    once = ["SAMPLE", "TEMPERATURE", "FIELD", "EXCITATION", "LUMINESCENCE", "ABSORPTION", "CENTER", "POWER", "INTEGRATION", "GRATING", "ROTATION", "STAGE"]
+    assert {name: plan.count(getattr(filename, name) + ",") + plan.count(getattr(filename, name) + ")") for name in once} == dict.fromkeys(once, 1)
+
+
+def test_markers_spare_only_patterns_that_cannot_match(spark):
+    pieces = ["4k", "kpl", "4kref", "٣k", "2tp3", "1p5t", "rot45deg", "stage3", "300g", "g", "dr_r", "drr", "absorb", "ref", "pl", "5p5sx1", "sx1", "3sx", "10uw", "633nm", "7.5nmc", "yz356", ""]
+    stems = [f"{a}_{b}" for a in pieces for b in pieces] + [None]
+    df = spark.createDataFrame([(s,) for s in stems], "norm string")
+
+    def found(pattern, group=1):
+        return F.nullif(F.regexp_extract("norm", pattern, group), F.lit(""))
+
+    def number(pattern, group=1):
+        return F.replace(found(pattern, group), F.lit("p"), F.lit(".")).try_cast("double")
+
+    expect = {
+        "temperature_K": number(filename.TEMPERATURE), "magnetic_field_T": number(filename.FIELD), "excitation_wavelength_nm": number(filename.EXCITATION),
+        "measurement_type": F.when(F.col("norm").rlike(filename.LUMINESCENCE), "photoluminescence").when(F.col("norm").rlike(filename.ABSORPTION), "absorption"),
+        "center_wavelength_nm": number(filename.CENTER), "integration_time_s": number(filename.INTEGRATION), "averages": found(filename.INTEGRATION, 2).try_cast("long"),
+        "excitation_power_uW": number(filename.POWER), "grating_grooves_per_mm": found(filename.GRATING).try_cast("long"), "stage_position": found(filename.STAGE).try_cast("long"),
+    }
+    read = df.withColumn("m", filename.metadata_struct(F.col("norm"), F.col("norm")))
+    for name, value in expect.items():
+        assert read.where(~F.col(f"m.{name}").eqNullSafe(value)).count() == 0, name
+        assert read.where(F.col(f"m.{name}").isNotNull()).count() > 0, name
+
+
 def test_point_labels_keep_case(spark):
     labels = ["p1", "p1n1", "pa1", "pc1", "pX", "pX1", "PX1"]
     got = features(spark, [f"D1000x_{label}_x" for label in labels])
