@@ -41,17 +41,26 @@ PROFILE_FIELDS = (
 )
 PROFILE_ELECTRICAL = ("bias_start_V", "bias_stop_V", "fixed_top_gate_V", "active_gate_configuration")
 
+FILE_COLUMNS = ("experiment_id", "role", "storage_source_id", "relative_path", "stem", "unresolved")
+
+# Rounds of joins after which a table's size is taken anew.
+SIZED_EVERY = 8
+
 # Files an unresolved group may have and still be listed by path in its warning.
 NAME_LIMIT = 1_000
 
 
 @dataclass(frozen=True)
 class Linked:
-    """``experiments`` one row each; ``files`` one row per (experiment, storage reference)."""
+    """``experiments`` one row each; ``files`` one row per (experiment, storage reference).
+
+    ``placed`` are the files with device and ordinal, as long as no decision has moved any.
+    """
 
     experiments: DataFrame
     files: DataFrame
     absorbed: DataFrame
+    placed: DataFrame | None = None
 
 
 def strip_derivatives(stem: Column) -> Column:
@@ -172,14 +181,13 @@ def number_experiments(groups: DataFrame) -> DataFrame:
     )
 
 
-def _decided(numbered: DataFrame, files: DataFrame, reviewed: DataFrame) -> DataFrame:
+def _decided(located: DataFrame, reviewed: DataFrame) -> DataFrame:
     """(absorbed_id, experiment_id, raw_stem) of each decision that finds both its experiments.
 
     ``reviewed(processed_stem, raw_stem)`` is a table of human adjudications.
     The first experiment in (device, ordinal) order on either side takes part.
     """
     where = F.struct("device_id", "ordinal", "experiment_id")
-    located = files.join(numbered.select("device_id", "unresolved", "canonical", "ordinal", "experiment_id"), on=["device_id", "unresolved", "canonical"])
     derived = located.where(F.col("role").isin("processed", "figure")).withColumn("processed_stem", strip_derivatives(F.col("stem")))
     kept = derived.join(reviewed, on="processed_stem").groupBy("processed_stem", "raw_stem").agg(F.min(where).alias("kept"))
     raw = located.where(F.col("role") == "raw").withColumn("raw_stem", F.col("stem"))
@@ -191,14 +199,39 @@ def _decided(numbered: DataFrame, files: DataFrame, reviewed: DataFrame) -> Data
     )
 
 
-def _jumped(steps: DataFrame, rounds: int) -> DataFrame:
-    """Each absorbed experiment with the end of its chain; every round doubles the way."""
-    for _ in range(rounds):
+def _cut_round(df: DataFrame, number: int) -> DataFrame:
+    """``cut_lineage`` of a numbered round of joins; every ``SIZED_EVERY``-th restores the rows' own size.
+
+    A join's estimated size is the product of its sides' and a cut keeps it, so its
+    digits double from round to round; a table kept in storage states what it holds.
+    """
+    if number % SIZED_EVERY:
+        return cut_lineage(df)
+    kept = df.persist()
+    kept.count()
+    cut = cut_lineage(kept.select("*"))
+    kept.unpersist()
+    return cut
+
+
+def _jumped(steps: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """(each absorbed experiment with the end of its chain, whether all chains have ended).
+
+    Every round doubles the way; the first that moves nothing is the last, so the
+    longest chain decides on the rounds and not the number of decisions.
+    """
+    for number in range(1, rounds + 1):
         onward = steps.select(F.col("absorbed_id").alias("experiment_id"), F.col("experiment_id").alias("__next"))
-        steps = cut_lineage(
-            steps.join(onward, on="experiment_id", how="left").select("absorbed_id", F.coalesce("__next", "experiment_id").alias("experiment_id"))
+        jumped = _cut_round(
+            steps.join(onward, on="experiment_id", how="left").select(
+                "absorbed_id", F.coalesce("__next", "experiment_id").alias("experiment_id"), F.col("__next").isNotNull().alias("__moved")
+            ),
+            number,
         )
-    return steps
+        steps = jumped.drop("__moved")
+        if jumped.where("__moved").isEmpty():
+            return steps, True
+    return steps, False
 
 
 def final_experiments(steps: DataFrame) -> DataFrame:
@@ -209,7 +242,9 @@ def final_experiments(steps: DataFrame) -> DataFrame:
     id stays, and its own decision falls.
     """
     rounds = max(1, steps.count().bit_length())
-    ends = _jumped(steps, rounds)
+    ends, ended = _jumped(steps, rounds)
+    if ended:
+        return ends
     # After so many steps a chain has left the absorbed experiments, unless it runs in a ring.
     ring = ends.join(steps.select(F.col("absorbed_id").alias("experiment_id")), on="experiment_id", how="left_semi").select("experiment_id").distinct()
     if not ring.limit(1).count():
@@ -217,19 +252,20 @@ def final_experiments(steps: DataFrame) -> DataFrame:
     around = steps.join(ring.withColumnRenamed("experiment_id", "absorbed_id"), on="absorbed_id", how="left_semi").select(
         F.col("absorbed_id").alias("node"), F.col("experiment_id").alias("next"), F.least("absorbed_id", "experiment_id").alias("least")
     )
-    for _ in range(rounds):
+    for number in range(1, rounds + 1):
         onward = around.select(F.col("node").alias("next"), F.col("next").alias("__next"), F.col("least").alias("__least"))
-        around = cut_lineage(around.join(onward, on="next").select("node", F.col("__next").alias("next"), F.least("least", "__least").alias("least")))
+        around = _cut_round(around.join(onward, on="next").select("node", F.col("__next").alias("next"), F.least("least", "__least").alias("least")), number)
     stay = around.where(F.col("node") == F.col("least")).select(F.col("node").alias("absorbed_id"))
-    return _jumped(steps.join(stay, on="absorbed_id", how="left_anti"), rounds)
+    ends, _ = _jumped(steps.join(stay, on="absorbed_id", how="left_anti"), rounds)
+    return ends
 
 
-def _merge_reviewed(numbered: DataFrame, files: DataFrame, reviewed: DataFrame) -> DataFrame:
+def _merge_reviewed(located: DataFrame, reviewed: DataFrame) -> DataFrame:
     """(absorbed_id, experiment_id, raw_stem): every absorbed experiment with the one that finally holds its raw files.
 
     Of several decisions that absorb one experiment the first by stems counts.
     """
-    decided = cut_lineage(_decided(numbered, files, reviewed))
+    decided = cut_lineage(_decided(located, cut_lineage(reviewed.select("processed_stem", "raw_stem"))))
     first = decided.groupBy("absorbed_id").agg(F.min(F.struct("processed_stem", "raw_stem", "experiment_id")).alias("d"))
     steps = cut_lineage(first.select("absorbed_id", F.col("d.experiment_id").alias("experiment_id")))
     stems = first.select("absorbed_id", F.col("d.raw_stem").alias("raw_stem"))
@@ -262,8 +298,18 @@ def _name_unresolved(groups: DataFrame, files: DataFrame, keys: list[str]) -> Da
     return counted.join(named, on=keys, how="left").withColumn("unresolved_note", note).drop("__n", "__paths")
 
 
-def derive_experiments(devices: DataFrame, artifacts: DataFrame, reviewed: DataFrame | None = None) -> Linked:
-    """Derived experiments with metadata, and their files with roles."""
+def derive_experiments(devices: DataFrame, artifacts: DataFrame, reviewed: DataFrame | None = None, plain: Linked | None = None) -> Linked:
+    """Derived experiments with metadata, and their files with roles.
+
+    ``plain`` is the result for the same tables without decisions, where a caller
+    made it to find the decisions; they are then applied to it.
+    """
+    if plain is None:
+        plain = _derived(devices, artifacts)
+    return plain if reviewed is None else _reviewed(plain, reviewed)
+
+
+def _derived(devices: DataFrame, artifacts: DataFrame) -> Linked:
     # Each result feeds several later plans; stored once instead of being derived again.
     located = cut_lineage(data_files(devices, artifacts))
     files = cut_lineage(best_roles(canonical_stems(located)))
@@ -276,10 +322,8 @@ def derive_experiments(devices: DataFrame, artifacts: DataFrame, reviewed: DataF
     minima = {"first_path": F.col("relative_path"), "local_device_id": F.col("local_device_id")}
     groups = merge_variants(group_variants(with_readings(files), keys, minima, variants), warn_figures=False)
     numbered = number_experiments(_name_unresolved(groups, files, keys))
-    ids_only = numbered.select("device_id", "unresolved", "canonical", "experiment_id")
-    file_rows = files.join(ids_only, on=["device_id", "unresolved", "canonical"]).select(
-        "experiment_id", "role", "storage_source_id", "relative_path", "stem", "unresolved"
-    )
+    ids_only = numbered.select("device_id", "unresolved", "canonical", "ordinal", "experiment_id")
+    placed = files.join(ids_only, on=keys).select("device_id", "ordinal", *FILE_COLUMNS)
     experiments = numbered.select(
         "experiment_id",
         "device_id",
@@ -298,10 +342,16 @@ def derive_experiments(devices: DataFrame, artifacts: DataFrame, reviewed: DataF
         F.lit("unknown").alias("review_state"),
         F.lit(PARSER_VERSION).alias("parser_version"),
     )
-    if reviewed is None:
-        schema = "absorbed_id string, experiment_id string, raw_stem string"
-        return Linked(experiments, file_rows, devices.sparkSession.createDataFrame([], schema))
-    merge = _merge_reviewed(numbered, files, reviewed)
+    schema = "absorbed_id string, experiment_id string, raw_stem string"
+    return Linked(experiments, placed.select(*FILE_COLUMNS), devices.sparkSession.createDataFrame([], schema), placed)
+
+
+def _reviewed(plain: Linked, reviewed: DataFrame) -> Linked:
+    """``plain`` with the files and experiments that ``reviewed`` decisions move and absorb."""
+    experiments = plain.experiments
+    placed = cut_lineage(plain.placed)
+    file_rows = placed.select(*FILE_COLUMNS)
+    merge = _merge_reviewed(placed, reviewed)
     gone = merge.select("absorbed_id", "experiment_id")
     moved = (
         file_rows.where(F.col("role") == "raw")

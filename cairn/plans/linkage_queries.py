@@ -205,13 +205,13 @@ JOIN fx_derived d ON g.device_id = d.device_id AND g.canonical = d.canonical AND
 )
 def reviewed_merge(v: Views) -> DataFrame:
     """Chained decisions: every matched experiment with derived files takes the next one's raw files, to the end of the chain."""
-    plain = linkage.derive_experiments(v.devices, v.artifacts).experiments.where(~F.col("needs_review"))
+    plain = linkage.derive_experiments(v.devices, v.artifacts)
     by_name = Window.partitionBy("device_id").orderBy("canonical")
-    named = plain.select("device_id", "canonical", (F.col("n_processed") + F.col("n_figure") > 0).alias("feeds"), F.lead("canonical").over(by_name).alias("raw_stem"))
+    named = plain.experiments.where(~F.col("needs_review")).select("device_id", "canonical", (F.col("n_processed") + F.col("n_figure") > 0).alias("feeds"), F.lead("canonical").over(by_name).alias("raw_stem"))
     reviewed = named.where(F.col("feeds") & F.col("raw_stem").isNotNull()).select(
         F.col("canonical").alias("processed_stem"), "raw_stem", F.lit("review").alias("source_reference"), F.array().cast("array<string>").alias("evidence")
     )
-    found = linkage.derive_experiments(v.devices, v.artifacts, reviewed).experiments
+    found = linkage.derive_experiments(v.devices, v.artifacts, reviewed, plain).experiments
     return found.select("experiment_id", "device_id", "n_raw", "n_processed", "n_figure", "needs_review", "review_state")
 
 

@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from cairn import schemas
 from cairn.operators import (
     batches, devices, documents, fingerprint, indexing, inventory, lineage, linkage, ordering, previews, proposals, quality, relocation, retrieval,
 )
+from cairn.plans import linkage_queries
+from cairn.session import cut_lineage
 
 LISTING = schemas.LISTING
 
@@ -208,6 +212,35 @@ def test_reviewed_matches_in_a_ring_keep_the_smallest(spark, rows):
     assert got == [("b", "a"), ("c", "a"), ("p", "q"), ("x", "a"), ("y", "a")]
 
 
+def test_rounds_follow_the_longest_chain(spark, rows, monkeypatch):
+    stored = []
+    monkeypatch.setattr(linkage, "cut_lineage", lambda df: stored.append(1) or cut_lineage(df))
+    pairs = [(f"{k:03}-c", f"{k:03}-b") for k in range(100)] + [(f"{k:03}-b", f"{k:03}-a") for k in range(100)]
+    steps = spark.createDataFrame(pairs, "absorbed_id string, experiment_id string")
+    got = rows(linkage.final_experiments(steps), "absorbed_id")
+    assert got == sorted((gone, f"{gone[:3]}-a") for gone, _ in pairs)
+    assert len(stored) == 2
+
+
+def test_rounds_do_not_multiply_the_estimated_size(spark, rows, capsys):
+    chain = spark.createDataFrame([(f"{k + 1:03}", f"{k:03}") for k in range(200)], "absorbed_id string, experiment_id string")
+    ends = linkage.final_experiments(chain)
+    capsys.readouterr()
+    ends.explain("cost")
+    told = capsys.readouterr().out
+    assert "sizeInBytes" in told and not re.search(r"sizeInBytes=\S*E\+", told)
+    assert {r[1] for r in rows(ends)} == {"000"} and ends.count() == 200
+
+
+def test_reviewed_merge_derives_the_files_once(spark, rows, monkeypatch):
+    names = [f"D9 x/Initial Data/D9_{k}K.csv" for k in (1, 2, 3)] + [f"D9 x/Processed Data/D9_{k}K_PL.dat" for k in (1, 2)]
+    scan, derived, data_files = scanned(spark, names), [], linkage.data_files
+    monkeypatch.setattr(linkage, "data_files", lambda *tables: derived.append(1) or data_files(*tables))
+    found = linkage_queries.reviewed_merge(SimpleNamespace(devices=scan.devices, artifacts=scan.artifacts))
+    assert rows(found.select("experiment_id", "n_raw", "n_processed", "review_state")) == [("D9-0000", 3, 1, "accepted")]
+    assert len(derived) == 1
+
+
 def test_reviewed_match_absorbs_the_raw_experiment(spark, device_scan, rows):
     reviewed = spark.createDataFrame(
         [("D345_9T_633nm", "D345_7T_633nm", "packet.md", ["same gate"])], "processed_stem string, raw_stem string, source_reference string, evidence array<string>"
